@@ -95,10 +95,19 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AND n = most AS kept, text_sha256 FROM g
 """
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lakewarden.llm.tokens import token_index
+
+    return token_index(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_source_mixing": op4_source_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_token_output": op9_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {
