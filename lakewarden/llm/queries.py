@@ -39,6 +39,18 @@ GROUP BY doc_id, item_id, n HAVING count(*) / n >= 0.8
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewarden.llm.mixing import mixing_report
 
@@ -105,6 +117,8 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_token_output": op9_token_output,

@@ -99,9 +99,15 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, np.ndarr
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes between words: white space, or all that is no ASCII letter or digit and no part of a longer character.
+BLANKS = _space
+NON_LETTERS = np.ones(256, dtype=bool)
+NON_LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each text the index of its first word (one more than texts)."""
-    inside = ~_space[data]
+    inside = ~between[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     begin = offsets[:-1][offsets[:-1] < offsets[1:]]
