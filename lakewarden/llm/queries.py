@@ -107,6 +107,34 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AND n = most AS kept, text_sha256 FROM g
 """
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lakewarden.llm.chat import formatting_report
+
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return formatting_report(turns, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm.warc import archive_report
+
+    return archive_report(_table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM g
+"""
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -121,6 +149,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_warc": op8_warc,
     "op9_token_output": op9_token_output,
 }
 
@@ -128,4 +158,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
     "op4_source_mixing": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op8_warc": OP8_SQL,
 }
