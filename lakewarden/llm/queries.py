@@ -90,6 +90,12 @@ FROM c
 """
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewarden.llm.exact_dedup import keepers
 
@@ -148,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
+    "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_warc": op8_warc,
