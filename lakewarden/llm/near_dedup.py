@@ -161,6 +161,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5, ba
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` but for all documents of a component other than the one with the least doc_id."""
-    found = near_duplicates(docs, threshold, width).where("NOT kept").select("doc_id").distinct()
-    return docs.join(stage(found, "near-dropped"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` but for all documents of a component other than the one with the least doc_id.
+
+    Of rows with words that repeat the doc_id that stays, the one whose text has the least hash stays.
+    """
+    found = stage(near_duplicates(docs, threshold, width).where("n_shingles > 0 AND doc_id IS NOT NULL"), "near-found")
+    dropped = found.where("NOT kept").select("doc_id").distinct()
+    staying = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = stage(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-repeated")
+    if repeated.isEmpty():
+        return staying
+    worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    several = staying.where(worded).join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
+    others = staying.where(~worded).unionByName(staying.where(worded).join(repeated, "doc_id", "left_anti").select(*docs.columns))
+    return others.unionByName(one.select(*docs.columns))

@@ -149,6 +149,12 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm.substrings import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -159,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_warc": op8_warc,
     "op9_token_output": op9_token_output,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
