@@ -29,6 +29,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,15 +51,15 @@ ESCAPE = 15
 #: Text bytes in a shard, about.
 SHARD_BYTES = 32 << 20
 #: Distinct pieces that a worker remembers, some 200 bytes each.
-MEMORY = 600_000
+MEMORY = 1_200_000
 
 _counts = np.array([*COUNT, 1])
 _bits = np.array([*BITS, 64])
 _cut = re.compile(" (?<=[!-~À-ɏ] )(?=[!-~À-ɏ])")
 _whole = re.compile(r"[!-~À-ɏ](?:[^ ]*[!-~À-ɏ])?\Z")
 _ends_well = re.compile(r"[!-~À-ɏ]\Z")
-#: A letter at the end of the searched range.
-_letters = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]$")
+#: Letters, a mark, and perhaps the same once more on the next line.
+_word = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)(?:\n([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?))?\Z")
 
 
 def _classes(values: np.ndarray) -> np.ndarray:
@@ -93,6 +94,8 @@ def simple8b_encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray,
         ahead = COUNT[s] - held
         most[:, :-ahead] = np.maximum(most[:, :-ahead], most[:, ahead:])
         held = COUNT[s]
+        if most[:, :block].min() > max(s, 1):
+            break  # no run of so many small ids, so none of more and smaller ones
         np.putmask(selector, most <= max(s, 1), s)
     # The words' positions: all blocks take a step at a time.
     width = block + pad
@@ -253,52 +256,63 @@ class ShardReader:
 
 class CutEncoder:
     """Ids of whole texts; each distinct piece between single spaces goes through the library once while it is
-    remembered. Two generations of pieces are kept: what is still used moves to the younger one."""
+    remembered. Two generations of pieces are kept: what is still used moves to the younger one.
+
+    A piece that is one run of letters is one pre-token of a byte-level tokenizer and goes to the library's
+    merge model directly; any other piece takes the library's whole way.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
-        for token, number in vocabulary.items():  # byte-level vocabularies have one character for each byte
-            self.bytes_of[number] = len(token)
+        self.plain = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel)
+        self.merge = self.tokenizer.model.tokenize
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(k) for k in (0x20, *range(0x41, 0x250)) if k == 0x20 or chr(k).isalpha()]
+        #: How the vocabulary spells a space and each letter's bytes.
+        self.spelling = {ord(c): spelled.pre_tokenize_str(c)[0][0] for c in letters}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        """The library's ids of each text. Texts that all begin with a space are coded in one call, and the
-        tokens' lengths in bytes tell where each text's ids end."""
-        if len(texts) > 1:
-            (coded,) = self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)
-            ids = np.array(coded.ids, dtype="<u4")
-            ends = np.cumsum(self.bytes_of[ids])
-            wanted = np.cumsum([len(text.encode()) for text in texts])
-            stops = np.searchsorted(ends, wanted)
-            if len(ends) and ends[-1] == wanted[-1] and np.array_equal(ends[stops], wanted):
-                data, stops = ids.tobytes(), ((stops + 1) * 4).tolist()
-                return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember these pieces as they are coded after a space."""
-        if len(self.young) + len(pieces) > MEMORY // 2:
-            self.young, self.old = {}, self.young
-        fresh: list[str] = []
-        for piece in pieces:
-            coded = self.old.get(piece)
-            if coded is None and piece[-1] in ".," and _letters.search(piece, 0, len(piece) - 1):
-                # A letter's run ends before the mark, and the next space ends the mark's.
-                base = self.young.get(piece[:-1]) or self.old.get(piece[:-1])
-                coded = base and base + self._mark(piece[-1])
-            if coded is None:
-                fresh.append(piece)
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> bytes | None:
+        """A piece as it is coded after a space; None if white space beside the space might change that."""
+        coded = self.old.get(piece)
+        if coded is None:
+            word = _word.match(piece) if self.plain else None
+            if word is None:
+                if not _whole.match(piece):
+                    return None
+                coded = self._library([" " + piece])[0]
+            elif word[2] or word[3]:  # a run of letters ends before a mark or line break; a space ends the piece
+                coded = self.young.get(word[1]) or self._piece(word[1])
+                coded += self._mark(word[2]) if word[2] else b""
+                coded += self._line(word[3]) if word[3] else b""
+                coded += self._mark(word[4]) if word[4] else b""
             else:
-                self.young[piece] = coded
-        if fresh:
-            self.young.update(zip(fresh, self._library([" " + piece for piece in fresh]), strict=True))
+                coded = self._letters(" " + piece)
+        if len(self.young) >= MEMORY // 2:
+            self.young, self.old = {}, self.young
+        self.young[piece] = coded
+        return coded
+
+    def _letters(self, run: str) -> bytes:
+        return array("I", [t.id for t in self.merge(run.translate(self.spelling))]).tobytes()
+
+    def _line(self, word: str) -> bytes:
+        """A line break and the run of letters after it, which are two pre-tokens."""
+        key = "\n" + word  # pieces begin with a visible character, so this is no piece's key
+        coded = self.young.get(key) or self.old.get(key)
+        if coded is None:
+            coded = self._mark("\n") + self._letters(word)
+        self.young[key] = coded
+        return coded
 
     def _mark(self, mark: str) -> bytes:
         key = " " + mark  # no piece holds a space, so this is no piece's key
@@ -310,17 +324,14 @@ class CutEncoder:
         first, *rest = text.split(" ")
         if not rest or not _ends_well.search(first):
             return self._by_cuts(text)
-        try:
-            coded = b"".join(map(self.young.__getitem__, rest))
-        except KeyError:
-            unknown = [piece for piece in dict.fromkeys(rest) if piece not in self.young]
-            if not all(map(_whole.match, unknown)):
-                return self._by_cuts(text)
-            if len(self.young) + len(unknown) > MEMORY // 2:
-                unknown = list(dict.fromkeys(rest))
-            self._learn(unknown)
-            coded = b"".join(map(self.young.__getitem__, rest))
-        return np.frombuffer(self._library([first])[0] + coded, dtype="<u4")
+        coded = list(map(self.young.get, rest))
+        if None in coded:
+            for k, own in enumerate(coded):
+                if own is None:
+                    coded[k] = own = self.young.get(rest[k]) or self._piece(rest[k])
+                    if own is None:
+                        return self._by_cuts(text)
+        return np.frombuffer(self._library([first])[0] + b"".join(coded), dtype="<u4")
 
     def _by_cuts(self, text: str) -> np.ndarray:
         """Texts with other white space beside their spaces: only cuts between two visible characters are safe."""
