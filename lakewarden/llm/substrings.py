@@ -111,6 +111,13 @@ class Sampled:
             found[at[self.inside[at] & (self.least[at] == self.values[p])]] = True
         return np.flatnonzero(found)
 
+    def owner(self, windows: np.ndarray) -> np.ndarray:
+        """The first sampled position of each window, which depends on the window's bytes alone."""
+        owner = np.full(len(windows), -1, dtype=np.int64)
+        for ahead in range(self.width - 1, -1, -1):
+            owner = np.where(self.values[windows + ahead] == self.least[windows], windows + ahead, owner)
+        return owner
+
 
 # Packing
 
@@ -368,7 +375,10 @@ def _asked_windows(shards: int, length: int, gram: int):
                 starts = found.windows_of(_positions(blobs))
                 hashes = range_hash(found.sums, starts, starts + length)
                 same = np.ones(len(starts), dtype=np.int64)
-                packer.add(hashes >> np.uint64(40), [hashes & _low40, (hashes >> np.uint64(24)) & _low40], starts, doc_id * same, number * same)
+                # Windows go by the sampled suffix they hold, so neighbours stay together.
+                suffix = found.owner(starts)
+                route = range_hash(found.sums, suffix, suffix + gram) >> np.uint64(40)
+                packer.add(route, [hashes & _low40, (hashes >> np.uint64(24)) & _low40], starts, doc_id * same, number * same)
                 if packer.held >= PACK:
                     yield from packer.rows()
         yield from packer.rows()
