@@ -8,9 +8,9 @@
    that lie in one component are done. In the others some members outside the largest component are pivots
    and are compared with the members of other components: first by size, then by the joint likelihood of the
    registers, then exactly on the full sets. A pivot has then met everything in its bucket and leaves it.
-   Links contract components, and the number of pivots a bucket may have grows fourfold by round, so the
-   rounds are few, the pairs are about as many as the bucket's rows where its members are alike, and no link
-   is lost to a cap.
+   Links contract components. One round settles nearly all buckets. What is left shares much but not enough,
+   such as a common passage; those members get an exact second key, the prefix of rarest shingles, and go on
+   in rounds with ever more pivots until every bucket is settled. No link is lost to a cap.
 4. Components come from star contraction on the links.
 
 A pair at the threshold of 0.85 shares none of the 32 bands of 6 registers with a probability of 3e-7; the
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewarden.llm.components import components
@@ -40,8 +40,8 @@ from lakewarden.llm.textkernels import pieces, shingle_hashes, shingle_sets, wor
 BANDS = 32
 ROWS = 6
 MARGIN = 0.16
-#: Pivots in a bucket in the first round, and how much more there may be by round.
-PIVOTS, GROWTH = 2, 4
+#: Pivots in a bucket in the first round and in the first over rare shingles, and how many times more by round there.
+PIVOTS, RARE_PIVOTS, GROWTH = 2, 16, 16
 
 
 def _signatures(width: int, registers: int):
@@ -107,31 +107,64 @@ class _Search:
         return counted.where(100 * F.col("both") >= self.hundredths * (F.col("sum") - F.col("both"))).select("a", "b").distinct()
 
 
-def _rounds(buckets: DataFrame, labels: DataFrame, search: _Search) -> DataFrame:
-    """``rep, label`` once every bucket (key, rep, n) lies in one component or has been compared through."""
-    ratio = search.hundredths
-    pivots = PIVOTS
+def _open_rows(buckets: DataFrame, labels: DataFrame, pivots: int) -> DataFrame:
+    """The rows of buckets that still hold several components and a row that may be met, with this round's pivots."""
+    seen = buckets.join(labels, "rep")
+    by_label = seen.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.max("met").alias("met"))
+    keys = by_label.groupBy("key").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.max("met").alias("any"))
+    keys = keys.where("labels > 1 AND any").select("key", F.col("top.label").alias("largest"), (F.col("total") - F.col("top.c")).alias("outside"))
+    draw = F.pmod(F.xxhash64("key", "rep", F.lit(pivots)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = (F.col("label") != F.col("largest")) & (draw * F.col("outside") < pivots)
+    return seen.join(keys, "key").select("key", "rep", "n", "met", "place", "label", chosen.alias("pivot"))
+
+
+def _round(rows: DataFrame, labels: DataFrame, search: _Search) -> DataFrame:
+    """Compare pivots with what they may be linked to in their buckets, and contract the components."""
+    p = rows.where("pivot").select("key", F.col("rep").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), F.col("place").alias("place_p"))
+    # All that two sets share comes no earlier than the first key they share, which bounds it from above.
+    most = F.least(F.col("n") - F.col("place"), F.col("n_p") - F.col("place_p")) + 1
+    enough = most * (100 + search.hundredths) >= (F.col("n") + F.col("n_p")) * search.hundredths
+    pairs = p.join(rows, "key").where((F.col("label") != F.col("label_p")) & enough).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
+    links = stage(search.links(pairs.distinct()), "near-links")
+    name = lambda of, end: labels.select(F.col("rep").alias(of), F.col("label").alias(end))
+    edges = links.join(name("a", "la"), "a").join(name("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    roots = components(edges)
+    return stage(labels.join(roots, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("root", "label").alias("label")), "near-labels")
+
+
+def _prefix_buckets(reps: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
+    """Buckets by rare shingle: an exact second key for the members of buckets that pivots did not settle.
+
+    With the shingles in order of their number of sets, the smaller of two linked sets has one of its first
+    ``n - ceil(2t / (1 + t) * n) + 1`` (``met``) among the larger one's first ``n - ceil(t * n) + 1``. Sets that
+    agree in a common passage only share none of those, so they are not compared again.
+    """
+    n = F.size("shingles").cast("long")
+    own = sets.join(reps, "rep", "left_semi").select("rep", n.alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("key"))
+    own = stage(own, "near-shingles")
+    counted = own.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    order = Window.partitionBy("rep", "set").orderBy("held", "key")
+    ranked = own.join(counted, "key").withColumn("place", F.row_number().over(order))
+    first = F.expr(f"n - (2 * {hundredths} * n + {99 + hundredths}) div {100 + hundredths} + 1")
+    last = F.expr(f"n - ({hundredths} * n + 99) div 100 + 1")
+    return ranked.where((F.col("place") <= last) & (F.col("held") > 1)).select("key", "rep", "n", (F.col("place") <= first).alias("met"), "place")
+
+
+def _linked(buckets: DataFrame, labels: DataFrame, sets: DataFrame, search: _Search) -> DataFrame:
+    """``rep, label`` once all that share a bucket (key, rep, n) are in one component or have been compared."""
+    rows = stage(_open_rows(buckets.withColumns({"met": F.lit(True), "place": F.lit(1)}), labels, PIVOTS), "near-open")
+    labels = _round(rows, labels, search)
+    left = _open_rows(rows.where("NOT pivot").select("key", "rep", "n", "met", "place"), labels, PIVOTS)
+    unsettled = stage(left.select("rep").distinct(), "near-unsettled")
+    if unsettled.isEmpty():
+        return labels
+    buckets, pivots = stage(_prefix_buckets(unsettled, sets, search.hundredths), "near-prefixes"), RARE_PIVOTS
     while True:
-        seen = buckets.join(labels, "rep")
-        by_label = seen.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        open_keys = by_label.groupBy("key").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-        open_keys = open_keys.where("labels > 1").select("key", F.col("top.label").alias("largest"), (F.col("total") - F.col("top.c")).alias("outside"))
-        draw = F.pmod(F.xxhash64("key", "rep", F.lit(pivots)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = (F.col("label") != F.col("largest")) & (draw * F.col("outside") < pivots)
-        rows = stage(seen.join(open_keys, "key").select("key", "rep", "n", "label", chosen.alias("pivot")), "near-buckets")
+        rows = stage(_open_rows(buckets, labels, pivots), "near-open")
         if rows.isEmpty():
             return labels
-        p = rows.where("pivot").select("key", F.col("rep").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
-        met = p.join(rows, "key").where("label <> label_p").where(F.least("n", "n_p") * 100 >= F.greatest("n", "n_p") * ratio)
-        pairs = met.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        links = stage(search.links(pairs), "near-links")
-        name = lambda of, end: labels.select(F.col("rep").alias(of), F.col("label").alias(end))
-        edges = links.join(name("a", "la"), "a").join(name("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        roots = components(edges)
-        labels = stage(
-            labels.join(roots, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("root", "label").alias("label")), "near-labels"
-        )
-        buckets = rows.where("NOT pivot").select("key", "rep", "n")
+        labels = _round(rows, labels, search)
+        buckets = rows.where("NOT pivot").select("key", "rep", "n", "met", "place")
         pivots *= GROWTH
 
 
@@ -153,7 +186,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5, ba
     active = stage(buckets.select("rep").distinct(), "near-active")
     texts = docs.join(active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = stage(texts.mapInArrow(_full_sets(width), "rep long, shingles array<long>"), "near-sets")
-    labels = _rounds(buckets, active.select("rep", F.col("rep").alias("label")), _Search(registers, sets, threshold))
+    labels = _linked(buckets, active.select("rep", F.col("rep").alias("label")), sets, _Search(registers, sets, threshold))
     placed = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(labels, "rep", "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(linked, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
