@@ -1,12 +1,14 @@
 """Audit: four append-only tables, partitioned by date, and views of the latest records.
 
-Appends never change a row, so writers don't conflict and nothing is retried. Readers take the latest record of each
+Appends never change a row. Spark's committer allows one append to a table at a time, so the threads of a driver take
+turns; drivers that run side by side use a ``pool`` of tables each. Readers take the latest record of each
 submission by one aggregation with ``max_by``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import threading
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
@@ -51,6 +53,9 @@ def bucket_of(submission_id: Column, buckets: int) -> Column:
     return F.pmod(F.conv(F.right(F.translate(submission_id, "-", ""), F.lit(15)), 16, 10).cast("bigint"), F.lit(buckets))
 
 
+_turn = threading.Lock()
+
+
 class AuditLog:
     """The audit tables of a database."""
 
@@ -73,7 +78,8 @@ class AuditLog:
         schema = T.StructType.fromDDL(f"{_BASE}, {TABLES[table]}")
         data = [tuple({"date_updated": now.date(), "time_updated": now, **row}.get(f.name) for f in schema) for row in rows]
         names = self.spark.table(self._name(table)).columns
-        self.spark.createDataFrame(data, schema).select(*names).coalesce(1).write.mode("append").insertInto(self._name(table))
+        with _turn:
+            self.spark.createDataFrame(data, schema).select(*names).coalesce(1).write.mode("append").insertInto(self._name(table))
 
     def mark(self, status: str, submission_ids: Iterable[str], result: str | None = None, job_run_id: int | None = None) -> None:
         if status not in STATUSES:

@@ -194,20 +194,14 @@ def read_xml(
     spark: SparkSession, path: str, schema: T.StructType, *, record_tag: str, root_tag: str | None = None, trim_cells: bool = True,
     null_values: Sequence[str] = NULL_TOKENS, sanitise_multiline: bool = True, n_records_to_read: int | None = None,
     xsd_location: str | None = None, xsd_error_code: str = "XSDValidationError", xsd_error_message: str | None = None,
-    encoding: str = "utf-8", namespace: str | None = None, exclude_attribute: bool = True, **_: Any,
+    encoding: str = "utf-8", exclude_attribute: bool = True, **_: Any,
 ) -> DataFrame:
-    """Records are the elements of ``record_tag``; a namespace prefix is found in the head of the file if not given."""
+    """Records are the elements of ``record_tag`` under any namespace prefix."""
     head = guard(spark, path).decode(encoding, errors="replace")
     if xsd_location:
         _validate_xsd(spark, path, head, xsd_location, xsd_error_code, xsd_error_message)
-    tag = f"{namespace}:{record_tag}" if namespace else record_tag
-    if not namespace and f"<{record_tag}" not in head:
-        import re
-
-        prefixed = re.search(rf"<([\w.-]+):{re.escape(record_tag)}[\s/>]", head)
-        tag = f"{prefixed[1]}:{record_tag}" if prefixed else tag
     frame = spark.read.format("xml").options(
-        rowTag=tag, ignoreNamespace=True, excludeAttribute=exclude_attribute, charset=encoding, nullValue="", mode="PERMISSIVE",
+        rowTag=record_tag, ignoreNamespace=True, excludeAttribute=exclude_attribute, charset=encoding, nullValue="", mode="PERMISSIVE",
     ).schema(schema).load(path)
     if n_records_to_read is not None:
         frame = frame.limit(n_records_to_read)
@@ -222,9 +216,9 @@ def _validate_xsd(spark: SparkSession, path: str, head: str, xsd: str, code: str
     root = re.search(r"<([A-Za-z_][\w.:-]*)", re.sub(r"<[?!][^>]*>", "", head))
     if root is None:
         raise ReaderError(f"{path} has no element")
-    schema = T.StructType([T.StructField("_corrupt_record", T.StringType())])
+    schema = T.StructType([T.StructField("_unused", T.StringType()), T.StructField("_corrupt_record", T.StringType())])
     row = spark.read.format("xml").options(rowTag=root[1], rowValidationXSDPath=xsd, mode="PERMISSIVE").schema(schema).load(path).limit(1).collect()
-    if not row or row[0][0] is not None:
+    if not row or row[0]["_corrupt_record"] is not None:
         raise SubmissionRejected(code, message or "The file does not fit its schema definition")
 
 
