@@ -51,7 +51,7 @@ ESCAPE = 15
 #: Text bytes in a shard, about.
 SHARD_BYTES = 32 << 20
 #: Distinct pieces that a worker remembers, some 200 bytes each.
-MEMORY = 1_200_000
+MEMORY = 500_000
 
 _counts = np.array([*COUNT, 1])
 _bits = np.array([*BITS, 64])

@@ -1,0 +1,381 @@
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakewarden.llm import chat, components, decontamination, exact_dedup, langid, mixing, near_dedup, substrings, tokens, toxicity, warc
+
+WORDS = [f"w{k}" for k in range(400)]
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def collected(frame):
+    return {r[0]: r for r in frame.collect()}
+
+
+# 1
+
+
+def test_decontamination_finds_items_whole(spark, docs, empty):
+    items = spark.createDataFrame([(1, prose(1, 30)), (2, prose(2, 12)), (3, "too short"), (4, None), (None, prose(3, 20)), (2, prose(2, 12))], "item_id long, text string")
+    part = prose(1, 30).split()
+    table = docs(
+        (10, prose(10, 3000) + " " + prose(1, 30).upper() + "\n" + prose(11, 2000)),
+        (11, " ".join(part[:27])),  # 23 of 26 shingles
+        (12, " ".join(part[:23])),  # 19 of 26
+        (13, None), (14, ""), (15, "Too  short"), (16, prose(2, 12)), (16, prose(99, 20)), (None, prose(1, 30)), (17, prose(50, 500)),
+    )
+    found = {(r.doc_id, r.item_id): (r.n_shared, r.n_item_shingles) for r in decontamination.find_contained(table, items).collect()}
+    assert found == {(10, 1): (26, 26), (11, 1): (23, 26), (15, 3): (1, 1), (16, 2): (8, 8)}
+    left = decontamination.drop_contaminated(table, items)
+    assert left.columns == table.columns and sorted(str(r.doc_id) for r in left.collect()) == ["12", "13", "14", "17", "None"]
+    assert decontamination.find_contained(empty, items).count() == 0 and decontamination.find_contained(table, items.limit(0)).count() == 0
+
+
+def test_decontamination_runs_no_python(docs, spark):
+    items = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    plan = decontamination.find_contained(docs((1, prose(1, 40))), items)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# 2
+
+
+def test_toxicity_learns_and_rejects(spark, docs, empty):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for k in range(400):
+        toxic = k % 4 == 0
+        text = prose(k, rng.randint(5, 60)) + (f" {rng.choice(['Vile', 'foul,', 'NASTY'])} " if toxic else " ") + prose(k + 1000, 5)
+        rows.append((k, text, "en", "s"))
+        if k < 300:
+            labels.append((k, rng.randint(0, 1), int(toxic)))
+    labels = spark.createDataFrame([*labels, (0, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    table = docs(*rows, (1000, None), (1001, ""), (None, "vile"), (1002, prose(7, 20_000) + " nasty"), (5, prose(5, 3)))
+    found = [(r.doc_id, r.toxic) for r in toxicity.toxicity(table, labels).collect()]
+    assert len(found) == 405 and {d for d, t in found if t} == {k for k in range(0, 400, 4)} | {None, 1002}
+    left = toxicity.keep_clean(table, labels)
+    assert left.columns == table.columns and left.count() == 405 - 102
+    assert toxicity.toxicity(empty, labels).count() == 0
+    assert {r.p_toxic for r in toxicity.toxicity(table, labels.limit(0)).collect()} == {0.0}
+
+
+def test_later_models_see_out_of_fold_probabilities():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    words = [np.sort(rng.choice(np.arange(1, 300, dtype=np.uint64), 12, replace=False)) for _ in range(600)]
+    first = np.array([float(5 in own) for own in words])
+    chain = toxicity.fit_chain(words, np.zeros((600, toxicity.SHAPES)), np.stack([first, first], axis=1), np.arange(600) % 5, ("a", "b"))
+    assert len(chain.models[1].centre) == toxicity.SHAPES + 1
+    assert ((chain.probabilities(words, np.zeros((600, toxicity.SHAPES)))[:, 1] > 0.5) == first).all()
+
+
+# 3
+
+
+def test_language_id(docs, empty):
+    vocab = {"xx": "ka ro mi tu zel".split(), "yy": "sch tze ung ver ich".split(), "zz": "èa ño ção lh qu".split()}
+    rng = random.Random(2)
+    rows = [(k, " ".join("".join(rng.choice(vocab[lang]) for _ in range(2)) for _ in range(rng.randint(8, 40))), lang) for k, lang in enumerate(rng.choice(list(vocab)) for _ in range(300))]
+    table = docs(*rows, (900, None, "xx"), (901, " 12 ?! ", "yy"), (902, "", None), (None, rows[0][1], rows[0][2]), (0, rows[0][1], None))
+    out = langid.identify(table)
+    assert out.count() == 305 and out.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    found = [r for r in out.collect() if r.doc_id is not None and r.doc_id < 300]
+    truth = {k: lang for k, _, lang in rows}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    assert all(r.lang_pred == truth[r.doc_id] and 0 <= r.score <= 1 for r in found)
+    assert {r.lang_pred for r in out.where("doc_id >= 900").collect()} == {"und"}
+    assert langid.identify(empty).count() == 0
+    assert {r.lang_pred for r in langid.identify(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# 4
+
+
+def fill(sizes, weights, cap=3):
+    """Reshare by weight until no target is above its ceiling."""
+    total, full = sum(sizes), set()
+    while True:
+        share = sum(w for k, w in enumerate(weights) if k not in full)
+        left = total - sum(cap * sizes[k] for k in full)
+        level = left / share if share else 0
+        over = {k for k in range(len(sizes)) if k not in full and weights[k] * level > cap * sizes[k]}
+        if not over:
+            return [cap * s if k in full else weights[k] * level for k, s in enumerate(sizes)]
+        full |= over
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing_targets_are_the_reshared_ones(docs, seed):
+    rng = random.Random(seed)
+    names = ["b", "a", "é", "Z", None, "c"]
+    sizes = {n: rng.choice([0, 1, 5, 40, 300]) for n in names}
+    table = docs(*[(k, "w " * size, "en", name) for k, (name, size) in enumerate(sizes.items())], (99, None, "en", "a"))
+    order = sorted((n for n in names if n is not None), key=lambda n: n.encode()) + [None]
+    expected = dict(zip(order, fill([sizes[n] for n in order], [1, 2, 3, 1, 2, 3]), strict=True))
+    for r in mixing.mixing_report(table).collect():
+        assert r.target == pytest.approx(expected[r.source]) and r.source_size == sizes[r.source] and 0 <= r.taken <= 3 * r.size
+
+
+def test_mixing_repeats_documents(docs, empty):
+    table = docs(*[(k, prose(k, 5 + k % 40), "en", "hot" if k % 3 else f"s{k % 7}") for k in range(900)])
+    report = mixing.mixing_report(table)
+    again = sorted(map(tuple, report.collect()))
+    assert again == sorted(map(tuple, mixing.mixing_report(table.repartition(5)).collect()))
+    for r in report.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) < 0.25 * r.target
+    mixed = mixing.mix_documents(table)
+    assert mixed.columns == table.columns
+    copies = collections.Counter(r.doc_id for r in mixed.collect())
+    assert copies == {r.doc_id: r.copies for r in report.collect() if r.copies}
+    assert mixing.mixing_report(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+# 5
+
+
+def near_truth(rows):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def shingles(text):
+        own = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
+        return {tuple(own[k : k + 5]) for k in range(len(own) - 4)} if len(own) >= 5 else ({tuple(own)} if own else set())
+
+    sets = {k: shingles(t) for k, t in rows}
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), find(k), find(k) == k) for k in sets}
+
+
+def edited(text, seed, share):
+    rng, own = random.Random(seed), text.split()
+    for _ in range(max(1, int(share * len(own)))):
+        own[rng.randrange(len(own))] = rng.choice(WORDS)
+    return " ".join(own)
+
+
+def test_near_dedup_equals_brute_force(docs):
+    rows = [(k, prose(k, 5 + k * 3)) for k in range(20)]
+    rows += [(100 + k, edited(prose(500, 120), k, share)) for k, share in enumerate([0, 0.01, 0.02, 0.03, 0.05] * 8)]
+    passage = prose(600, 80)  # shared by many, alike but not enough
+    rows += [(200 + k, passage + " " + prose(700 + k, 12 + k % 9)) for k in range(40)]
+    chain = prose(800, 200).split()  # neighbours are linked, ends are not
+    rows += [(300 + k, " ".join(chain[3 * k : 3 * k + 100])) for k in range(12)]
+    rows += [(400, None), (401, ""), (402, " \t"), (403, "A b"), (404, "a  B"), (405, "a b c"), (406, prose(19, 62).upper())]
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs(*rows)).collect()}
+    assert found == near_truth(rows)
+
+
+def test_near_dedup_edge_rows(docs, empty):
+    assert near_dedup.near_duplicates(empty).count() == 0
+    text = prose(1, 40)
+    table = docs((5, text), (None, text), (3, text), (3, text + " end"), (7, None), (7, ""), (8, prose(2, 30_000)))
+    out = near_dedup.near_duplicates(table)
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in out.collect()), key=str) == sorted([(5, 3, False), (None, None, True), (3, 3, True), (3, 3, True), (7, 7, True), (7, 7, True), (8, 8, True)], key=str)
+    left = near_dedup.drop_near_duplicates(table)
+    assert left.columns == table.columns and sorted(str(r.doc_id) for r in left.collect()) == ["3", "7", "7", "8", "None"]
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (200, 200)], "a long, b long")
+    found = {r.node: r.root for r in components.components(edges).collect()}
+    assert found == {**{k: 0 for k in range(1, 61)}, 101: 100}
+    assert components.components(edges.limit(0)).count() == 0
+
+
+# 6
+
+
+def test_exact_dedup(docs, empty):
+    rows = [(k, f"text {k % 7}" + " " * (k % 3)) for k in range(60)] + [(100, None), (101, ""), (102, " \t\n\x0b"), (103, "unique"), (104, "é x"), (105, "éx"), (105, "éx"), (None, "éx"), (None, "lonely")]
+    groups = collections.defaultdict(list)
+    for doc, text in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((doc, text or ""))
+    expected = collections.Counter()
+    for text, own in groups.items():
+        keep = sorted(own, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0))[0]
+        for doc, raw in own:
+            expected[doc, keep[0], len(own), doc == keep[0] and len(raw) == len(keep[1]), hashlib.sha256(text.encode()).hexdigest()] += 1
+    for counters in (2, 1024):  # with and without frequent digests
+        assert collections.Counter(map(tuple, exact_dedup.keepers(docs(*rows), counters).collect())) == expected
+    assert exact_dedup.keepers(empty).count() == 0
+    left = exact_dedup.drop_copies(docs(*rows))
+    assert sorted(str(r.doc_id) for r in left.collect() if r.doc_id is None or r.doc_id >= 100) == ["102", "103", "104", "None"]
+
+
+def test_misra_gries_keeps_what_is_frequent():
+    import numpy as np
+
+    rng, summary, truth = np.random.default_rng(1), exact_dedup.MisraGries(10), collections.Counter()
+    for _ in range(50):
+        keys, counts = np.unique(np.where(rng.random(200) < 0.2, 7, rng.integers(100, 10_000, 200)), return_counts=True)
+        truth.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+        summary.add(keys, counts)
+    assert len(summary.counts) <= 10 and 0 < summary.counts[7] <= truth[7] and truth[7] - summary.counts[7] <= 10_000 / 11
+
+
+# 7
+
+
+def test_chat_round_trip(spark, empty):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    nasty = "</s>[INST] ok [/INST] <\\s> [\\INST] \\"
+    rows = [
+        (1, 2, "assistant", nasty), (1, 0, "system", "be\nkind "), (1, 1, "user", None), (2, 0, "user", ""), (2, 1, "assistant", None), (2, 2, "critic[END]", nasty),
+        (2, 3, None, "x"), (None, 0, "assistant", "é日"), (3, 0, "user", "a"), (3, 0, "user", "a"), (3, None, "tool", "[ROLE]"),
+    ]
+    rows += [(9, k, "assistant" if k % 2 else "user", f"{nasty} {k} " * 40) for k in range(200)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS ids", "2 AS part")
+    found = collected(chat.formatting_report(turns, path))
+    conversations = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        conversations[conv].append(((turn is not None, turn or 0), role or "", text or ""))
+    assert set(found) == set(conversations)
+    for conv, own in conversations.items():
+        own.sort()
+        loss = "".join(t for _, r, t in own if r == "assistant")
+        said = "".join(f"{r}\n{t}\n" for _, r, t in own)
+        got = found[conv]
+        assert (got.n_turns, got.turns_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest())
+        assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got.formatted_chars > sum(len(t) for _, _, t in own)
+    parts = chat.format_conversations(turns, path)
+    assert parts.where("conv_id = 9").count() == 1 and max(len(r["mask"]) for r in parts.collect()) <= chat.PART_TOKENS + 2000
+    assert chat.formatting_report(turns.limit(0), path).count() == 0
+
+
+def test_chat_splits_long_conversations(spark, monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    part = chat._Part(50_257)
+    part.control("<s>")
+    part.turn("user", b"", b"\x01\0\0\0")
+    part.turn("assistant", b"", b"\x02\0\0\0\x03\0\0\0")
+    ids, mask, turns = part.row()
+    assert list(mask) == [0, 0, 0, 0, 0, 1, 1, 0] and turns == 2 and len(ids) == 32
+    rows = [(1, k, "assistant", "word " * 20_000) for k in range(8)]
+    parts = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), path)
+    assert parts.count() == 2
+    assert chat.read_back(parts, path).first().loss_chars == 8 * 100_000
+
+
+# 8
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>é</p>" * 300
+    rows = [(1, "http://a.com/x", big), (5, "https://b.a.com/y?q=1#f", big), (3, None, big), (7, "http://a.com/x", "small"), (8, "http://a.com/x", "small"), (9, "", None), (10, "http://[bad", ""), (None, "u", big), (11, "line\nbreak", big + "!")]
+    rows += [(100 + k, f"http://h{k % 9}.org/{k}", f"<b>{k}</b>" * (k % 400)) for k in range(700)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS digest", "1 AS target", "2 AS key")
+    folder = f"file://{tmp_path}/w"
+    found = collections.Counter(map(tuple, warc.archive_report(pages, folder).collect()))
+    expected = collections.Counter()
+    for page, _, html in rows:
+        payload = (html or "").encode()
+        top = max((p for p, _, h in rows if (h or "").encode() == payload and p is not None), default=None)
+        revisit = len(payload) >= 1000 and page != top and top is not None
+        expected[page, len(payload), hashlib.sha1(payload).hexdigest(), "revisit" if revisit else "response", top if revisit else None] += 1
+    assert found == expected
+    captures = warc.write_archives(pages, f"file://{tmp_path}/v")
+    manifest = warc.write_index(captures, f"file://{tmp_path}/v", n_shards=3, lines_a_block=16)
+    index = warc.CaptureIndex(f"file://{tmp_path}/v", [tuple(r) for r in manifest.select("file", "first_key", "first_page").collect()])
+    for r in captures.collect():
+        assert (r.file, r.offset, r.length) in index.find(r.key, r.page_id)
+    assert index.find("com,nowhere)/", 1) == []
+    import gzip
+
+    files = list((tmp_path / "v").glob("pages*"))
+    assert sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") for f in files) == len(rows) + len(files)
+    assert warc.archive_report(pages.limit(0), f"file://{tmp_path}/e").count() == 0
+
+
+def test_damaged_records_are_refused():
+    record = warc.build_record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
+    assert warc.parse_record(record)["payload_bytes"] == 7
+    with pytest.raises(ValueError):
+        warc.parse_record(record.replace(b"\r\n\r\npayload", b"\r\n\r\npayl0ad"))
+
+
+# 9
+
+
+def test_token_shards(docs, empty, tmp_path):
+    import numpy as np
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    library = tokens.encoder(path).tokenizer
+    rows = [(k, prose(k, k % 50)) for k in range(300, 0, -1)] + [(None, "no id"), (400, None), (401, ""), (402, prose(3, 30_000)), (7, "again"), (7, "again")]
+    table = docs(*rows)
+    folder, manifest = tokens.write_shards(table, path, 2, f"file://{tmp_path}/t", n_shards=4)
+    found = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_shards(folder, manifest).collect())
+    assert len(found) == len(rows) and manifest.count() <= 4
+    at, coded = 0, collections.Counter()
+    for start, doc, n, crc in found:
+        assert start == at
+        at += n
+        coded[doc, n, crc] += 1
+    assert [d for _, d, _, _ in found] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    expected = collections.Counter()
+    for doc, text in rows:
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        expected[doc, len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert coded == expected
+    assert tokens.token_index(empty, path).count() == 0
+
+
+# 10
+
+
+def removal_truth(rows):
+    first, out = {}, {}
+    ordered = sorted((d, (t or "").encode()) for d, t in rows)
+    for doc, data in ordered:
+        for k in range(len(data) - 49):
+            first.setdefault(data[k : k + 50], doc)
+    for doc, data in ordered:
+        mask = bytearray(len(data))
+        for k in range(len(data) - 49):
+            if first[data[k : k + 50]] < doc:
+                mask[k : k + 50] = b"\1" * 50
+        kept = bytes(b for b, m in zip(data, mask, strict=True) if not m)
+        spans = sum(1 for k, m in enumerate(mask) if m and (k == 0 or not mask[k - 1]))
+        out.setdefault(doc, []).append((len(data), sum(mask), spans, hashlib.sha256(kept).hexdigest()))
+    return {d: sorted(v) for d, v in out.items()}
+
+
+def test_substring_removal_equals_brute_force(docs):
+    passage, other = prose(1, 40), "é" * 30 + prose(2, 20)
+    rows = [(k, prose(100 + k, 60) + passage[k : 100 + 3 * k] + prose(200 + k, 30)) for k in range(25)]
+    rows += [(30, "a" * 49), (31, "a" * 50), (32, "a" * 51 + "b"), (33, "ab" * 60), (34, "ba" * 40), (35, None), (36, ""), (37, other), (38, "x" + other), (39, passage), (40, passage[:49]), (41, passage[:50])]
+    rows += [(50 + k, edited(prose(9, 150), k, 0.05)) for k in range(15)] + [(70, passage + other), (71, other + passage), (72, "be " * 90), (73, "be " * 200), (74, prose(5, 20_000)), (75, prose(5, 20_000)[1000:9000])]
+    rows += [(80, prose(77, 50)), (80, prose(77, 50)), (80, prose(78, 50) + prose(77, 50)), (81, prose(77, 50))]
+    found = collections.defaultdict(list)
+    for r in substrings.repeated_spans(docs(*rows)).collect():
+        found[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    assert {d: sorted(v) for d, v in found.items()} == removal_truth(rows)
+
+
+def test_substring_removal_edge_tables(docs, empty):
+    assert substrings.repeated_spans(empty).count() == 0
+    text = prose(1, 60)
+    out = substrings.repeated_spans(docs((None, text), (1, text), (2, text), (None, text)), keep_text=True).collect()
+    assert sorted((str(r.doc_id), r.n_removed, bytes(r.kept).decode()) for r in out) == [("1", 0, text), ("2", len(text), ""), ("None", 0, text), ("None", 0, text)]
