@@ -97,7 +97,10 @@ class LogisticModel:
             place = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
             hit = self.words[place] == flat
             sparse[owner[hit], place[hit]] = 1
-        return np.concatenate([sparse, (dense - self.centre) / self.scale, np.ones((len(words), 1))], axis=1)
+        # Texts far longer than those trained on must not be judged by their length.
+        shape = np.clip((dense - self.centre) / self.scale, -3, 3)
+        shape[[len(own) == 0 for own in words], :SHAPES] = 0
+        return np.concatenate([sparse, shape, np.ones((len(words), 1))], axis=1)
 
     def probability(self, words: Sequence[np.ndarray], dense: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -105,8 +108,8 @@ class LogisticModel:
         return 1 / (1 + np.exp(-np.clip(self._matrix(words, dense) @ self.weights, -40, 40)))
 
 
-def fit_logistic(words: list[np.ndarray], dense: np.ndarray, label: np.ndarray, most: int = WORDS, penalty: float = 0.05) -> LogisticModel:
-    """Select words, then Newton's method on the penalised likelihood."""
+def fit_logistic(words: list[np.ndarray], dense: np.ndarray, label: np.ndarray, most: int = WORDS, penalty: float = 0.02, shape_penalty: float = 20.0) -> LogisticModel:
+    """Select words, then Newton's method with halved steps on the penalised likelihood, which is convex."""
     n, n_positive = len(label), int(label.sum())
     if min(n_positive, n - n_positive) < LEAST:
         return LogisticModel(constant=n_positive / n if n else 0.0)
@@ -123,17 +126,29 @@ def fit_logistic(words: list[np.ndarray], dense: np.ndarray, label: np.ndarray,
     model = LogisticModel(np.sort(known[best]), centre=dense.mean(axis=0), scale=np.maximum(dense.std(axis=0), 1e-6))
     x = model._matrix(words, dense)
     ridge = np.full(x.shape[1], penalty)
+    ridge[len(model.words) : len(model.words) + SHAPES] = shape_penalty
     ridge[-1] = 1e-6
     beta = np.zeros(x.shape[1])
     beta[-1] = np.log(n_positive / (n - n_positive))
-    for _ in range(30):
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.sum(np.logaddexp(0, z) - label * z) + (ridge * b * b).sum() / 2)
+
+    now = loss(beta)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
         gradient = x.T @ (label - p) - ridge * beta
         hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(hessian, gradient)
-        beta += step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-6:
+        while (then := loss(beta + step)) > now and np.abs(step).max() > 1e-9:  # Newton's step may overshoot
+            step = step / 2
+        if then > now:
+            break
+        beta = beta + step
+        if now - then < 1e-9 * max(now, 1.0):
             break
+        now = then
     model.weights = beta
     return model
 
