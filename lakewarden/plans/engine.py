@@ -183,7 +183,7 @@ class Pipeline:
                 self._mark(stage, submission)
                 info = self.spark.createDataFrame([(submission.submission_id, submission.dataset_id, Path(submission.path).stem)], "submission_id string, dataset_id string, file_name string")
                 step = iter(range(1 << 30))
-                outcome = engine.rules(typed, {"dve_submission_info": info}, lambda f: write_parquet(f, f"{folder}/filters/{next(step)}"))
+                outcome = engine.rules(typed, {"submission_info": info}, lambda f: write_parquet(f, f"{folder}/filters/{next(step)}"))
                 catalog = outcome.catalog
                 for name in entities:
                     if name in catalog.entities:

@@ -227,7 +227,7 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return stringified(spark.read.parquet(path), schema)
 
 
-#: Names that dataset documents may use for these readers.
+# Names that dataset documents use for these readers.
 ALIASES = {
     "CSVFileReader": "csv", "SparkCSVReader": "csv", "DuckDBCSVReader": "csv", "PolarsToDuckDBCSVReader": "csv",
     "DuckDBCSVRepeatingHeaderReader": "repeating_header_csv", "SparkJSONReader": "json", "DuckDBJSONReader": "json",
