@@ -41,7 +41,7 @@ BANDS = 32
 ROWS = 6
 MARGIN = 0.16
 #: Pivots in a bucket in the first round and in the first over rare shingles, and how many times more by round there.
-PIVOTS, RARE_PIVOTS, GROWTH = 1, 4, 4
+PIVOTS, RARE_PIVOTS, GROWTH = 2, 2, 4
 
 
 def _signatures(width: int, registers: int):
