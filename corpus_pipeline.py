@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard similarity of 0.85 on five-word shingles)."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near-duplicates (Jaccard similarity of 0.8 on five-word shingles)."""
+    return drop_near_duplicates(docs, threshold=0.8, bands=48)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

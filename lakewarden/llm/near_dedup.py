@@ -13,8 +13,9 @@
    in rounds with ever more pivots until every bucket is settled. No link is lost to a cap.
 4. Components come from star contraction on the links.
 
-A pair at the threshold of 0.85 shares none of the 32 bands of 6 registers with a probability of 3e-7; the
-register estimate discards only below ``threshold - MARGIN``, six standard errors. Nothing else is lossy.
+A pair at the threshold of 0.85 shares none of the 32 bands of 6 registers with a probability of 3e-7, and a pair
+at 0.8 none of 48 bands with 5e-7 (of 32 with 6e-5, so a lower threshold needs more ``bands``); the register
+estimate discards only below ``threshold - MARGIN``, six standard errors. Nothing else is lossy.
 
 Defined cases: words as in the contract (runs without white space, A-Z lower-cased); a text of one to four
 words is one shingle; a null or blank text has an empty set and is linked with nothing; a row with a null
@@ -193,12 +194,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5, ba
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5, bands: int = BANDS) -> DataFrame:
     """The rows of ``docs`` but for all documents of a component other than the one with the least doc_id.
 
     Of rows with words that repeat the doc_id that stays, the one whose text has the least hash stays.
     """
-    found = stage(near_duplicates(docs, threshold, width).where("n_shingles > 0 AND doc_id IS NOT NULL"), "near-found")
+    found = stage(near_duplicates(docs, threshold, width, bands).where("n_shingles > 0 AND doc_id IS NOT NULL"), "near-found")
     dropped = found.where("NOT kept").select("doc_id").distinct()
     staying = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = stage(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-repeated")

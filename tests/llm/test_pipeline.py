@@ -71,6 +71,18 @@ def test_stages_take_effect(spark, corpus):
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect()), key=lambda r: r[1]) == plain
 
 
+def test_near_dedup_stage_takes_pairs_from_four_fifths(spark, corpus):
+    rows, gone = [], set()
+    for k in range(40):
+        own = prose(8000 + k, 100).split()
+        end = 10 if k % 2 else 14  # 86 / 106 = 0.811 and 82 / 110 = 0.745 of the shingles are shared
+        rows += [(k, " ".join(own)), (100 + k, " ".join([*own[: 100 - end], *prose(9000 + k, end).split()]))]
+        gone |= {100 + k} if k % 2 else set()
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, corpus[0]).select("doc_id").collect()}
+    assert left == {d for d, _ in rows} - gone
+
+
 def test_registration():
     import __spark_entry__ as entry
 
