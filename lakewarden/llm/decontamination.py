@@ -11,13 +11,16 @@ of them before a row is made. Candidates are verified by exact shingle containme
 A signature table of up to ``BROADCAST_ROWS`` rows is broadcast; a larger one is joined by shuffle.
 
 Defined cases: words are runs of characters other than white space, lower-cased; a text of one to four
-words has its whole sequence as the only shingle; null or blank texts have none and match nothing; items
-or documents without an id are never reported; rows that repeat an id are one item or document whose
+words has its whole sequence as the only shingle; an item of that length is found inside any document, whose
+runs of as many words are probed too, unless ``short_inside`` is off (then only in a document that is those words,
+the rule of the registered query's SQL); null or blank texts have none and match nothing; items or documents without an id are never reported; rows that repeat an id are one item or document whose
 shingles are united; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,24 +34,39 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), BLANK), "")
 
 
-def shingled(df: DataFrame, id_col: str, width: int = 5) -> DataFrame:
-    """``id, shingles``: hashes of every run of ``width`` words, in order and with repeats."""
+def _short(words: Column) -> Column:
+    return F.xxhash64(F.concat_ws(" ", words), F.lit("short"))
+
+
+def shingled(df: DataFrame, id_col: str, width: int = 5, lengths: Sequence[int] = ()) -> DataFrame:
+    """``id, shingles``: hashes of every run of ``width`` words, in order and with repeats, and of runs of ``lengths``."""
     words = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _words(F.col("text")).alias("words"))
     words = words.where(F.size("words") > 0)
     runs = F.transform(
         F.sequence(F.lit(0), F.size("words") - width),
         lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(width)]),
     )
-    whole = F.array(F.xxhash64(F.concat_ws(" ", "words"), F.lit("short")))
-    return words.select("id", F.when(F.size("words") >= width, runs).otherwise(whole).alias("shingles"))
+    shingles = F.when(F.size("words") >= width, runs).otherwise(F.array(_short(F.col("words"))))
+    for n in lengths:
+        starts = F.sequence(F.lit(1), F.size("words") - n + 1)
+        short = F.transform(starts, lambda i: _short(F.slice("words", i, n)))  # noqa: B023
+        shingles = F.concat(shingles, F.when(F.size("words") >= n, short).otherwise(F.array().cast("array<bigint>")))
+    return words.select("id", shingles.alias("shingles"))
+
+
+def _short_lengths(items: DataFrame, width: int) -> list[int]:
+    """The distinct numbers of words of the items that are shorter than a shingle."""
+    sizes = items.where(F.col("item_id").isNotNull()).select(F.size(_words(F.col("text"))).alias("n"))
+    return sorted(r["n"] for r in sizes.where((F.col("n") > 0) & (F.col("n") < width)).distinct().collect())
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5, short_inside: bool = True) -> DataFrame:
     """Pairs ``doc_id, item_id, n_item_shingles, n_shared, containment`` with containment >= threshold."""
+    lengths = _short_lengths(items, width) if short_inside else []
     item_rows = shingled(items, "item_id", width)
     item_sets = stage(
         item_rows.groupBy(F.col("id").alias("item_id"))
@@ -63,23 +81,23 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, wi
     )
     facts = signatures.agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("cutoff")).first()
     cutoff = facts["cutoff"] if facts["cutoff"] is not None else -(1 << 63)
-    probes = shingled(docs, "doc_id", width).select(
+    probes = shingled(docs, "doc_id", width, lengths).select(
         "id", F.explode(F.filter("shingles", lambda h: h <= F.lit(cutoff))).alias("h")
     )
     candidates = stage(
         probes.join(_sized(signatures, facts["n"]), "h").groupBy("id", "item_id").agg(F.count(F.lit(1)).alias("hits")),
         "contain-candidates",
     ).select(F.col("id").alias("doc_id"), "item_id")
-    return _verified(docs, item_sets, candidates, threshold, width)
+    return _verified(docs, item_sets, candidates, threshold, width, lengths)
 
 
-def _verified(docs: DataFrame, item_sets: DataFrame, candidates: DataFrame, threshold: float, width: int) -> DataFrame:
+def _verified(docs: DataFrame, item_sets: DataFrame, candidates: DataFrame, threshold: float, width: int, lengths: Sequence[int]) -> DataFrame:
     """Exact containment of each candidate pair, over the documents that are in one."""
     suspects = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     wanted = item_sets.select("item_id", "n_item_shingles", F.explode("shingles").alias("h"))
     count = item_sets.agg(F.sum("n_item_shingles")).first()[0] or 0
     shared = (
-        shingled(suspects, "doc_id", width)
+        shingled(suspects, "doc_id", width, lengths)
         .select(F.col("id").alias("doc_id"), F.explode(F.array_distinct("shingles")).alias("h"))
         .join(_sized(wanted, count), "h")
         .groupBy("doc_id", "item_id", "n_item_shingles")

@@ -14,7 +14,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewarden.llm.decontamination import find_contained
 
-    return find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    # As in the SQL, an item of one to four words is found only as a whole document.
+    return find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), short_inside=False)
 
 
 OP1_SQL = r"""

@@ -40,6 +40,19 @@ def test_decontamination_finds_items_whole(spark, docs, empty):
     assert decontamination.find_contained(empty, items).count() == 0 and decontamination.find_contained(table, items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items_inside(spark, docs):
+    items = spark.createDataFrame([(1, "alpha"), (2, "Alpha beta"), (3, "one two three four"), (4, prose(1, 30)), (5, "beta gamma")], "item_id long, text string")
+    table = docs(
+        (10, prose(10, 40) + " ALPHA\nbeta " + prose(11, 20)), (11, "one two three four"), (12, "zero one two  three four five six"),
+        (13, "one two three"), (14, "beta alpha"), (15, "gamma one two three"), (16, "x beta gamma"), (17, prose(1, 30) + " alpha"), (None, "alpha"), (18, None),
+    )
+    found = {(r.doc_id, r.item_id): (r.n_shared, r.n_item_shingles) for r in decontamination.find_contained(table, items).collect()}
+    assert found == {(10, 1): (1, 1), (10, 2): (1, 1), (11, 3): (1, 1), (12, 3): (1, 1), (14, 1): (1, 1), (16, 5): (1, 1), (17, 1): (1, 1), (17, 4): (26, 26)}
+    assert {str(r.doc_id) for r in decontamination.drop_contaminated(table, items).collect()} == {"13", "15", "18", "None"}
+    whole = decontamination.find_contained(table, items, short_inside=False)
+    assert {(r.doc_id, r.item_id) for r in whole.collect()} == {(11, 3), (17, 4)}
+
+
 def test_decontamination_runs_no_python(docs, spark):
     items = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
     plan = decontamination.find_contained(docs((1, prose(1, 40))), items)._jdf.queryExecution().executedPlan().toString()
