@@ -7,8 +7,9 @@ space, in which one-versus-rest kernel ridge regression is a small linear system
 ``presence(x) . landmarks' . K^(-1/2) . weights / sqrt(|x|)``; as the product is associative, everything to
 the right of ``presence(x)`` is one matrix and whole blocks of texts are scored by one matrix product each.
 
-The fit uses a bounded sample, ``PER_LANGUAGE`` texts of each of the ``LANGUAGES`` most frequent languages,
-taken by a hash of the id; counts are over all rows. Every text is predicted, whole.
+The fit uses a bounded sample, up to ``PER_LANGUAGE`` texts of every language and fewer where ``LABELLED`` texts are
+not enough for that, but at least one, taken by a hash of the id; counts are over all rows. No language is left out;
+the weights take 256 KiB a language. Every text is predicted, whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing can
 be learned; rows with a null lang or text are not learned from; a null doc_id hashes as an empty text; rows
@@ -31,7 +32,7 @@ from lakewarden.llm.textkernels import pieces
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 300
-LANGUAGES = 200
+LABELLED = 60_000
 LANDMARKS = 256
 RIDGE = 1e-3
 #: Texts in a matrix product.
@@ -72,27 +73,34 @@ class LanguageModel:
         return (matrix.astype(np.float32) @ self.weights) / np.sqrt(size)[:, None]
 
 
+def _unit_rows(sets: list[np.ndarray]) -> np.ndarray:
+    rows = np.zeros((len(sets), BUCKETS), dtype=np.float32)
+    for k, own in enumerate(sets):
+        rows[k, own] = 1 / np.sqrt(len(own))
+    return rows
+
+
 def fit(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
     """Nyström features from evenly spaced texts of each language, then one ridge system for all languages."""
     languages = sorted(set(labels))
     kept = [(s, x) for s, x in zip(sets, labels, strict=True) if len(s)]
     if not kept:
         return LanguageModel([], np.zeros((BUCKETS, 0), dtype=np.float32))
-    rows = np.zeros((len(kept), BUCKETS), dtype=np.float32)
-    for k, (own, _) in enumerate(kept):
-        rows[k, own] = 1 / np.sqrt(len(own))
     each = max(1, landmarks // len(languages))
+    owned: dict[str, list[int]] = {language: [] for language in languages}
+    for k, (_, x) in enumerate(kept):
+        owned[x].append(k)
     chosen: list[int] = []
-    for language in languages:
-        own = [k for k, (_, x) in enumerate(kept) if x == language]
+    for own in owned.values():
         chosen += [own[i] for i in np.unique(np.linspace(0, len(own) - 1, min(each, len(own))).astype(int))] if own else []
-    marks = rows[chosen]
+    marks = _unit_rows([kept[k][0] for k in chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
-    features = (rows @ marks.T).astype(np.float64) @ root
-    targets = np.array([[float(x == language) for language in languages] for _, x in kept])
-    solved = np.linalg.solve(features.T @ features + ridge * len(kept) * np.eye(features.shape[1]), features.T @ targets)
+    blocks = [_unit_rows([own for own, _ in kept[k : k + BLOCK]]) @ marks.T for k in range(0, len(kept), BLOCK)]
+    features = np.concatenate(blocks).astype(np.float64) @ root
+    targets = np.stack([features[own].sum(axis=0) for own in owned.values()], axis=1)
+    solved = np.linalg.solve(features.T @ features + ridge * len(kept) * np.eye(features.shape[1]), targets)
     return LanguageModel(languages, (marks.T.astype(np.float64) @ (root @ solved)).astype(np.float32))
 
 
@@ -106,15 +114,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int32()))], names=["lang", "place", "grams"])
 
 
-def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, landmarks: int = LANDMARKS) -> LanguageModel:
+def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, labelled: int = LABELLED, landmarks: int = LANDMARKS) -> LanguageModel:
     """Fit on a bounded sample of the rows of ``docs`` (doc_id, text, lang) where ``learn`` holds."""
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    ticket = F.xxhash64(F.lit("langid"), "doc_id", "text")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(ticket).alias("least")).collect()
     if not counts:
         return fit([], [])
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * per_language / r["count"]))])
+    per_language = min(per_language, max(1, labelled // len(counts)))
+    rates = [(r["lang"], min(1.0, 1.5 * per_language / r["count"]), r["least"]) for r in counts]
+    drawn = F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, rate double, least long"))
     place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = usable.withColumn("place", place).where(F.col("place") < rates[F.col("lang")]).select("lang", "place", "text")
+    placed = usable.select("lang", place.alias("place"), ticket.alias("ticket"), "text").join(drawn, "lang")
+    # The row with the least ticket is there for a language of which the draw takes none.
+    sample = placed.where("place < rate OR ticket = least").select("lang", "place", "text")
     rows = sample.mapInArrow(_sets, "lang string, place double, grams array<int>").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
     taken: dict[str, int] = {}
     sets, labels = [], []

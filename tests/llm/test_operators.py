@@ -111,6 +111,18 @@ def test_language_id(docs, empty):
     assert {r.lang_pred for r in langid.identify(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_learns_every_language(docs):
+    rng = random.Random(6)
+    vocab = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(230)}
+    rows = [(8 * k + i, " ".join(rng.choices(own, k=40)), lang) for k, (lang, own) in enumerate(vocab.items()) for i in range(8)]
+    model = langid.train(docs(*rows), F.lit(True))
+    assert model.languages == sorted(vocab)
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs(*rows), model).collect()}
+    assert found == {k: lang for k, _, lang in rows}
+    few = langid.train(docs(*rows), F.lit(True), labelled=100)
+    assert few.languages == sorted(vocab)
+
+
 # 4
 
 
