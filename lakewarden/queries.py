@@ -126,6 +126,11 @@ step_query(
     [steps.LeftJoin(entity="region", target="nation", join_condition="nation.n_nationkey BETWEEN region.r_regionkey * 3 AND region.r_regionkey * 3 + 2", new_columns=("nation.n_name",))],
     "SELECT region.*, n_name FROM region LEFT JOIN nation ON n_nationkey BETWEEN r_regionkey * 3 AND r_regionkey * 3 + 2",
 )
+step_query(
+    "op_theta_join_events", ("orders", "events"),
+    [steps.LeftJoin(entity="orders", target="events", join_condition="events.event_id BETWEEN orders.o_orderkey * 3 AND orders.o_orderkey * 3 + 2", new_columns=("events.event_id", "events.event_type"))],
+    "SELECT orders.*, event_id, event_type FROM orders LEFT JOIN events ON event_id BETWEEN o_orderkey * 3 AND o_orderkey * 3 + 2",
+)
 step_query(
     "op_one_to_one_join", ("orders", "customer"),
     [steps.OneToOneJoin(entity="orders", target="customer", join_condition="orders.o_custkey = customer.c_custkey", new_columns={"customer.c_name": "c_name"})],
@@ -475,6 +480,13 @@ def _reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reject_records(found.typed, found.messages, "rows").drop(RECORD_INDEX)
 
 
+@query("contract_reject_antijoin_documents", "SELECT doc_id AS id, source AS name, n_chars FROM documents WHERE doc_id % 3 <> 0")
+def _reject_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = add_record_index(table(spark, sf_dir, "documents").selectExpr("if(doc_id % 3 = 0, concat(doc_id, 'x'), cast(doc_id as string)) AS id", "source AS name", "cast(n_chars as string) AS n_chars"))
+    found = apply_contract(_contract({"id": "int", "name": "str", "n_chars": "int"}), "rows", rows)
+    return reject_records(found.typed, found.messages, "rows").drop(RECORD_INDEX)
+
+
 # Messages, report, audit
 
 
