@@ -1,0 +1,60 @@
+"""A real suffix array for op10: all suffixes ordered by their first 50 bytes, by doubling, in one batch and one process.
+
+``python bench_suffix_array.py [SF_DIR]`` prints its CPU seconds a GB and the bytes it would remove. It has no
+levels, no merging and no shuffle, all of which would come on top.
+"""
+
+import sys
+import time
+
+import numpy as np
+import pyarrow.parquet as pq
+
+LENGTH = 50
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys and the rank of each, equal keys alike."""
+    order = np.argsort(keys)
+    fresh = np.zeros(len(keys), dtype=np.int64)
+    fresh[1:] = keys[order][1:] != keys[order][:-1]
+    rank = np.empty(len(keys), dtype=np.uint64)
+    rank[order] = np.cumsum(fresh)
+    return order, rank
+
+
+def paired(rank: np.ndarray, ahead: int) -> np.ndarray:
+    later = np.concatenate([rank[ahead:], np.zeros(ahead, dtype=np.uint64)])
+    return rank << np.uint64(32) | later
+
+
+def main(folder: str) -> None:
+    table = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")
+    texts = [(t or "").encode() for t in table.column("text").to_pylist()]
+    began = time.process_time()
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
+    keys = np.zeros(len(data), dtype=np.uint64)
+    for k in range(8):
+        keys |= padded[k : k + len(data)] << np.uint64(56 - 8 * k)
+    for ahead in (8, 16, 18):  # ranks by 8, 16, 32 and 50 bytes
+        keys = paired(ranked(keys)[1], ahead)
+    order, rank = ranked(keys)
+    built = time.process_time() - began
+    inside = np.zeros(len(data), dtype=bool)
+    inside[: len(data) - LENGTH + 1] = doc[: len(data) - LENGTH + 1] == doc[LENGTH - 1 :]
+    order = order[inside[order]]
+    fresh = np.flatnonzero(np.diff(rank[order].astype(np.int64), prepend=-1))
+    least = np.repeat(np.minimum.reduceat(doc[order], fresh), np.diff(np.append(fresh, len(order))))
+    starts = order[doc[order] > least]
+    change = np.zeros(len(data) + 1, dtype=np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + LENGTH, -1)
+    removed = int((np.cumsum(change) > 0).sum())
+    spent = time.process_time() - began
+    print(f"{len(data)} bytes: suffix array {built:.1f} CPU s, with the scan {spent:.1f}; {built / len(data) * 1e9:.0f} and {spent / len(data) * 1e9:.0f} CPU s a GB of text; {removed} bytes removed")
+
+
+if __name__ == "__main__":
+    main(sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1")
