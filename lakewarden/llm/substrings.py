@@ -2,34 +2,35 @@
 
 A byte is removed if a 50-byte string that covers it also starts in a document with a smaller doc_id.
 
-**Sampled suffixes.** Of every window of ``LENGTH`` bytes the positions where the hash of the next ``GRAM``
-bytes is least are sampled, so equal windows are sampled at equal places and a suffix array of the sampled
-suffixes (some 7% of all) has every match. As only equality of whole windows counts, the arrays are in the
-order of the suffixes' hashes.
-
-**Shards.** Sampled suffixes go to shards by hash, packed in columns (5 bytes of the gram's hash, 5 of the
-hash of its context, which are all bytes that a window around it can reach, position and document by
-difference). A shard's number of entries is set by ``SHARD_BYTES`` of text, whatever the corpus.
-
-**Index family.** In a shard the documents come in batches of ascending doc_id. Each batch gets its suffix
-array, is scanned against itself and the arrays of the existing levels, and becomes a level; levels of about
-equal size merge, so there are O(log n) of them. An entry whose whole context occurs in an earlier document
-is settled. One that shares the gram but not the context with an earlier document is asked about: its windows
-and those of the contexts it might match are hashed whole, and go through the same family once more.
-
-Texts are shuffled twice, compressed; no document, pair or match is dropped on the way.
-
-Defined cases: a null text is empty; a text of fewer than 50 bytes loses nothing; a null doc_id is neither
-smaller nor larger than any, so its text is left alone; rows that repeat a doc_id don't affect each other; an
-empty table gives an empty result; other columns are ignored. False matches need equal 80-bit hashes (64-bit
-ones for whole windows) within one shard.
+**Pieces.** A window is a run of ``LENGTH`` bytes of a document. Its anchor is the run of ``GRAM`` bytes in it with the
+least hash, so equal windows have equal anchors. Neighbouring windows with equal anchors make a piece, which is the bytes
+they cover. Every window is in one piece, and pieces go to shards by their anchors, with their bytes: equal windows meet.
+
+**Before the shuffle.** A piece whose bytes are also a piece of an earlier document among those that the task has at
+hand is all repeated; that is settled there. So what many documents share comes to its shard once for each run of some
+``FLUSH`` bytes. An anchor with more pieces than a shard should hold (found on a sample of documents that grows with the
+corpus; it decides only the way that windows take) has its windows dealt by their whole content.
+
+**Index family.** In a shard the pieces come in batches of ascending doc_id. Each batch gets a suffix array (``starts``
+in the order of the next bytes), which is merge-scanned against the arrays of the existing levels: entries side by side
+that agree in all bytes asked for are a match. What is new becomes a level, and levels of about equal size merge, so
+there are O(log n) of them. The family is used twice: over the suffixes at the anchors, which shows the pieces that might
+have a match, and over all suffixes of those where a window starts. All matches are of bytes, never of hashes; one is
+missed only if two different anchors in one piece have equal 32-bit hashes, the least of all in it (some 1e-8 a piece).
+
+**Removal.** Matched runs are packed by the range of documents they belong to, so that a range's runs and its
+compressed texts meet in one task, runs first.
+
+Defined cases: a null text is empty; a text of fewer than 50 bytes loses nothing; a null doc_id is neither smaller nor
+larger than any, so its text is left alone; rows that repeat a doc_id don't affect each other; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,22 +40,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.scratch import stage
-from lakewarden.llm.textkernels import mix, pieces, powers, prefix_sums, range_hash
 from lakewarden.llm.textkernels import _INVERSE as INVERSE
+from lakewarden.llm.textkernels import mix, pieces, powers, prefix_sums, range_hash
 
 LENGTH = 50
-GRAM = 24
-#: Text bytes whose sampled suffixes make a shard, about.
-SHARD_BYTES = 16 << 20
-#: Entries in a batch of the index family, and entries that a task packs at a time.
-BATCH = 1 << 17
-PACK = 1 << 21
+GRAM = 16
+#: Text bytes whose pieces make a shard, and text bytes in a range of documents, about.
+SHARD_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
+#: Bytes of pieces that a task packs at a time, suffixes in a batch of the index family, text bytes sampled at a time.
+FLUSH = 24 << 20
+BATCH = 1 << 18
 PIECE = 1 << 18
-
-_low40 = np.uint64((1 << 40) - 1)
+#: Texts in which frequent anchors are looked for: all of up to so many bytes, and never less than this share.
+SAMPLE_BYTES, SAMPLE_SHARE = 16 << 20, 1 / 1024
 
 
-# Sampling
+# Pieces
 
 
 def _order_values(sums: np.ndarray, n: int, gram: int) -> np.ndarray:
@@ -65,58 +67,66 @@ def _order_values(sums: np.ndarray, n: int, gram: int) -> np.ndarray:
     return (raw >> np.uint64(32)).astype(np.uint32)
 
 
-def _sliding(values: np.ndarray, width: int, extreme) -> np.ndarray:
-    """Minimum or maximum of each run of ``width`` values, by doubling."""
+def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each run of ``width`` values, by doubling."""
     span = 1
     while span < width:
         step = min(span, width - span)
-        values = extreme(values[:-step], values[step:])
+        values = np.minimum(values[:-step], values[step:])
         span += step
     return values
 
 
-class Sampled:
-    """The windows and sampled positions of a run of texts."""
+class Pieces:
+    """The pieces of a run of texts: ``start`` and ``windows`` (their number), the anchors' values and places."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-        self.offsets, self.length, self.gram, self.width = offsets, length, gram, length - gram + 1
         n = len(data)
-        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        self.positions = np.empty(0, dtype=np.int64)
-        self.least = np.empty(0, dtype=np.uint32)
+        self.start = self.windows = np.empty(0, dtype=np.int64)
+        self.value = np.empty(0, dtype=np.uint32)
+        self.doc = self.anchor = self.start
         if n < length:
             return
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         self.sums = prefix_sums(data)
-        self.values = _order_values(self.sums, n, gram)
-        self.inside = self.doc[: n - length + 1] == self.doc[length - 1 :]
-        self.least = _sliding(self.values, self.width, np.minimum)
-        # A position is sampled if its value is the least of a window that holds it.
-        pad = np.zeros(self.width - 1, dtype=np.int64)
-        around = np.where(self.inside, self.least.astype(np.int64) + 1, 0)
-        most = _sliding(np.concatenate([pad, around, pad]), self.width, np.maximum)
-        self.positions = np.flatnonzero(most == self.values.astype(np.int64) + 1)
-
-    def contexts(self, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        doc = self.doc[positions]
-        begin = np.maximum(positions - (self.width - 1), self.offsets[doc])
-        return begin, np.minimum(positions + self.length, self.offsets[doc + 1])
-
-    def windows_of(self, positions: np.ndarray) -> np.ndarray:
-        """The windows in which one of these positions has the least value."""
-        found = np.zeros(len(self.least), dtype=bool)
-        for back in range(self.width):
-            at = positions - back
-            own = (at >= 0) & (at < len(found))
-            at, p = at[own], positions[own]
-            found[at[self.inside[at] & (self.least[at] == self.values[p])]] = True
-        return np.flatnonzero(found)
-
-    def owner(self, windows: np.ndarray) -> np.ndarray:
-        """The first sampled position of each window, which depends on the window's bytes alone."""
-        owner = np.full(len(windows), -1, dtype=np.int64)
-        for ahead in range(self.width - 1, -1, -1):
-            owner = np.where(self.values[windows + ahead] == self.least[windows], windows + ahead, owner)
-        return owner
+        values = _order_values(self.sums, n, gram)
+        least = _sliding_min(values, length - gram + 1)
+        inside = doc[: n - length + 1] == doc[length - 1 :]
+        fresh = np.ones(len(least) + 1, dtype=bool)
+        fresh[1:-1] = (least[1:] != least[:-1]) | ~inside[:-1] | ~inside[1:]
+        edges = np.flatnonzero(fresh)
+        kept = inside[edges[:-1]]
+        self.start, self.windows = edges[:-1][kept], np.diff(edges)[kept]
+        self.value, self.doc = least[self.start], doc[self.start]
+        self.anchor = np.full(len(self.start), -1)
+        for ahead in range(length - gram, -1, -1):
+            self.anchor = np.where(values[self.start + ahead] == self.value, ahead, self.anchor)
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``start[i], start[i] + 1, ...``, ``count[i]`` numbers for each i, one after another."""
+    ends = np.cumsum(count)
+    return np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _equal_bytes(text: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size[i]`` bytes at ``one[i]`` are those at ``other[i]``; no size is 0."""
+    if not len(size):
+        return np.zeros(0, dtype=bool)
+    same = text[_spread(one, size)] == text[_spread(other, size)]
+    return np.logical_and.reduceat(same, np.cumsum(size) - size)
+
+
+def _repeats(text: np.ndarray, start: np.ndarray, size: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a piece's bytes are also those of a piece of a smaller document. Digests find them, bytes decide."""
+    order = np.lexsort((doc, digest))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = digest[order][1:] != digest[order][:-1]
+    leader = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    found = np.zeros(len(order), dtype=bool)
+    later = np.flatnonzero((doc[order] > doc[leader]) & (size[order] == size[leader]))
+    found[order[later]] = _equal_bytes(text, start[order[later]], start[leader[later]], size[leader[later]])
+    return found
 
 
 # Packing
@@ -128,260 +138,315 @@ def _differences(values: np.ndarray) -> bytes:
     return steps.view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
-def _sums(data: bytes, kind, n: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.cumsum(np.frombuffer(data, dtype=np.uint8).reshape(size, n).T.copy().view(kind).reshape(-1), dtype=kind)
+def _pack(columns: list[tuple[str, np.ndarray]], tail: bytes = b"") -> bytes:
+    head = b"".join(_differences(values.astype(kind)) for kind, values in columns)
+    return struct.pack("<i", len(columns[0][1])) + zstandard.ZstdCompressor(level=3).compress(head + tail)
 
 
-def _pack(keys: list[np.ndarray], position: np.ndarray, doc: np.ndarray, number: np.ndarray) -> bytes:
-    """Entries of one shard: 40-bit keys, and position, doc_id and row number by difference, compressed."""
-    head = b"".join(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for key in keys)
-    tail = _differences(position.astype("<u4")) + _differences(doc.astype("<i8")) + _differences(number.astype("<u4"))
-    return struct.pack("<iB", len(position), len(keys)) + head + zstandard.ZstdCompressor(level=1).compress(tail)
+def _unpack(blob: bytes, kinds: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    (n,) = struct.unpack_from("<i", blob)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), dtype=np.uint8)
+    columns, at = [], 0
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        planes = data[at : at + n * size].reshape(size, n)
+        columns.append(np.cumsum(planes.T.copy().view(kind).reshape(-1), dtype=kind).astype(np.int64))
+        at += n * size
+    return columns, data[at:]
 
 
-def _unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    n, n_keys = struct.unpack_from("<iB", blob)
-    at, keys = 5, []
-    for _ in range(n_keys):
-        wide = np.zeros((n, 8), dtype=np.uint8)
-        wide[:, :5] = np.frombuffer(blob, dtype=np.uint8, count=5 * n, offset=at).reshape(n, 5)
-        keys.append(wide.view("<u8").reshape(-1))
-        at += 5 * n
-    tail = zstandard.ZstdDecompressor().decompress(blob[at:])
-    return keys, _sums(tail[: 4 * n], "<u4", n), _sums(tail[4 * n : 12 * n], "<i8", n), _sums(tail[12 * n :], "<u4", n)
+#: Columns of pieces (doc_id, row number, position, bytes, place of the anchor) and of runs (doc_id, row number, begin, bytes).
+PIECE_KINDS = ["<i8", "<i4", "<u4", "<u4", "<u4"]
+RUN_KINDS = ["<i8", "<i4", "<u4", "<u4"]
 
 
-class _Packer:
-    """Gathers entries and hands them out by shard."""
+def _range_of(doc: np.ndarray, number: np.ndarray, ranges: int) -> np.ndarray:
+    return (mix(doc.astype(np.uint64) ^ mix(number.astype(np.uint64))) % np.uint64(ranges)).astype(np.int64)
 
-    def __init__(self, shards: int):
-        self.shards, self.held, self.parts = shards, 0, []
 
-    def add(self, route: np.ndarray, keys: list[np.ndarray], position: np.ndarray, doc: np.ndarray, number: np.ndarray) -> None:
-        if len(position):
-            self.parts.append(((route % np.uint64(self.shards)).astype(np.int32), *keys, position, doc, number))
-            self.held += len(position)
+def _groups(keys: np.ndarray, *order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key and its rows, in the order of the other arrays (first one first)."""
+    rows = np.lexsort((*order[::-1], keys))
+    edges = np.append(np.flatnonzero(np.diff(keys[rows], prepend=-1)), len(rows))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(keys[rows[a]]), rows[a:b]
+
+
+class _Runs:
+    """Gathers matched runs and hands them out by range of documents."""
+
+    def __init__(self, ranges: int):
+        self.ranges, self.parts, self.held = ranges, [], 0
+
+    def add(self, doc: np.ndarray, number: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        if len(doc):
+            self.parts.append((doc, number, begin, size))
+            self.held += len(doc)
+
+    def blobs(self) -> Iterator[tuple[int, bytes]]:
+        if self.parts:
+            doc, number, begin, size = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+            for key, rows in _groups(_range_of(doc, number, self.ranges), doc, number, begin):
+                yield key, _pack([(kind, c[rows]) for kind, c in zip(RUN_KINDS, (doc, number, begin, size), strict=True)])
+        self.parts, self.held = [], 0
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
-            return
-        shard, *columns = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        ids, blobs = [], []
-        for s in np.flatnonzero(np.diff(edges)):
-            *keys, position, doc, number = (c[order[edges[s] : edges[s + 1]]] for c in columns)
-            ids.append(int(s))
-            blobs.append(_pack(keys, position, doc, number))
-        self.held, self.parts = 0, []
-        for k in range(0, len(ids), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 64], pa.int32()), pa.array(blobs[k : k + 64], pa.binary())], names=["shard", "blob"])
-
-
-def _suffixes(shards: int, length: int, gram: int):
-    """Rows of (doc_id, number, text) to packed sampled suffixes by shard."""
+
+def _batches(rows: Iterator[tuple[int, bytes]], first: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a number and bytes, a few megabytes at a time."""
+    keys, blobs, held = [], [], 0
+    for key, blob in rows:
+        keys.append(key)
+        blobs.append(blob)
+        held += len(blob)
+        if held >= 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=[first, "blob"])
+            keys, blobs, held = [], [], 0
+    if keys:
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=[first, "blob"])
+
+
+def _anchors(length: int, gram: int):
+    """The anchors of texts and their numbers of pieces in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(shards)
         for batch in batches:
-            doc_ids, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, data, offsets in pieces(batch.column(2), PIECE):
-                found = Sampled(data, offsets, length, gram)
-                p = found.positions
-                if len(p):
-                    grams = range_hash(found.sums, p, p + gram)
-                    contexts = range_hash(found.sums, *found.contexts(p))
-                    own = found.doc[p]
-                    packer.add(grams >> np.uint64(40), [grams & _low40, contexts & _low40], p - offsets[own], doc_ids[row + own], numbers[row + own])
-                if packer.held >= PACK:
-                    yield from packer.rows()
-        yield from packer.rows()
+            for _, data, offsets in pieces(batch.column(0), PIECE):
+                value, count = np.unique(Pieces(data, offsets, length, gram).value, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(count.astype(np.int64))], names=["value", "count"])
 
     return run
 
 
-# The index family
+def _dealt(shards: int, ranges: int, heavy: np.ndarray, length: int, gram: int):
+    """Rows of (doc_id, number, text) to packed pieces by shard, and to runs settled here under -1 - range."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        runs, held = _Runs(ranges), 0
+
+        def flush() -> Iterator[tuple[int, bytes]]:
+            nonlocal held
+            text = np.concatenate([p[0] for p in parts])
+            size, doc, number, position, anchor, route, digest = (np.concatenate(c) for c in list(zip(*parts, strict=True))[1:])
+            start = np.cumsum(size) - size
+            parts.clear()
+            held = 0
+            settled = _repeats(text, start, size, digest, doc)
+            runs.add(doc[settled], number[settled], position[settled], size[settled])
+            left = np.flatnonzero(~settled)
+            for shard, rows in _groups((route[left] % np.uint64(shards)).astype(np.int64), doc[left], number[left], position[left]):
+                own = left[rows]
+                columns = zip(PIECE_KINDS, (doc[own], number[own], position[own], size[own], anchor[own]), strict=True)
+                yield shard, _pack(list(columns), text[_spread(start[own], size[own])].tobytes())
+            for key, blob in runs.blobs():
+                yield -1 - key, blob
+
+        def taken() -> Iterator[tuple[int, bytes]]:
+            nonlocal held
+            for batch in batches:
+                doc_ids, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for row, data, offsets in pieces(batch.column(2), PIECE):
+                    found = Pieces(data, offsets, length, gram)
+                    if not len(found.start):
+                        continue
+                    start, windows, doc, anchor, value = found.start, found.windows, found.doc, found.anchor, found.value
+                    route = mix(value.astype(np.uint64) + np.uint64(1))
+                    single = np.zeros(len(start), dtype=bool)
+                    if len(heavy):
+                        often = np.isin(value, heavy)
+                        single = np.concatenate([single[~often], np.ones(int(windows[often].sum()), dtype=bool)])
+                        each = lambda c: np.concatenate([c[~often], np.repeat(c[often], windows[often])])  # noqa: B023, E731
+                        starts = np.concatenate([start[~often], _spread(start[often], windows[often])])
+                        # The anchor of a single window is only where its suffix is looked at first: its beginning.
+                        doc, anchor, route, start, windows = each(doc), np.where(single, 0, each(anchor)), each(route), starts, np.where(single, 1, each(windows))
+                    size = windows + (length - 1)
+                    digest = range_hash(found.sums, start, start + size)
+                    parts.append((data[_spread(start, size)], size, doc_ids[row + doc], numbers[row + doc].astype(np.int64), start - offsets[doc], anchor, np.where(single, digest, route), digest))
+                    held += int(size.sum())
+                    if held >= FLUSH:
+                        yield from flush()
+            if parts:
+                yield from flush()
+
+        yield from _batches(taken(), "shard")
 
-class _Level:
-    """The first occurrences of a run of batches: suffixes' hashes in order, and the same by context."""
+    return run
 
-    def __init__(self, gram: np.ndarray, entry: np.ndarray, context: np.ndarray):
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.entry = gram[order], entry[order]
-        self.context = np.sort(context)
 
-    def merged(self, other: _Level) -> _Level:
-        return _Level(
-            np.concatenate([self.gram, other.gram]), np.concatenate([self.entry, other.entry]), np.concatenate([self.context, other.context])
-        )
+# The index family
 
 
-def _first_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key (stable) and, for each place in that order, where its group begins."""
-    order = np.argsort(keys, kind="stable")
-    fresh = np.ones(len(keys), dtype=bool)
-    fresh[1:] = keys[order][1:] != keys[order][:-1]
-    return order, np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
+def _words(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The next ``n`` (at most 8) bytes as a number that orders as they do; ``text`` ends in 8 spare bytes."""
+    values = np.lib.stride_tricks.sliding_window_view(text, 8)[at].view(">u8").reshape(-1).astype(np.uint64)
+    return values >> np.uint64(64 - 8 * n)
+
+
+def suffix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes by their next ``length`` bytes (ties as given), and for each place but the first in
+    that order whether it agrees with the one before in all of them. Runs that are in order already merge fast."""
+    key = _words(text, starts, min(8, length))
+    order = np.argsort(key, kind="stable")
+    equal = key[order][1:] == key[order][:-1]
+    for ahead in range(8, length, 8):
+        if not equal.any():
+            break
+        tied = np.zeros(len(order), dtype=bool)
+        tied[1:] = equal
+        tied[:-1] |= equal
+        at = np.flatnonzero(tied)
+        group = np.concatenate([[0], np.cumsum(~equal)])[at]
+        own = order[at]
+        key = _words(text, starts[own] + ahead, min(8, length - ahead))
+        inner = np.lexsort((key, group))
+        order[at], key = own[inner], key[inner]
+        equal[at[1:] - 1] = (group[1:] == group[:-1]) & (key[1:] == key[:-1])
+    return order, equal
 
 
 class IndexFamily:
-    """Levels of geometrically growing size over the batches added so far, in ascending order of documents."""
-
-    def __init__(self):
-        self.levels: list[_Level] = []
-
-    def add(self, gram: np.ndarray, context: np.ndarray, doc: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scan a batch and make it a level. Its documents ascend and follow all before.
-
-        Returns for each entry whether an earlier document has its context, whether one has its gram only,
-        and the earlier or own entries (by number) whose contexts are in question for the latter.
-        """
-        order, first = _first_of(context)
-        settled = np.zeros(len(doc), dtype=bool)
-        ordered = context[order]
-        known = doc[order] > doc[order][first]
+    """Suffix arrays of geometrically growing size over the batches added so far. A level has different suffixes only,
+    each in the place where it came first: a pair of arrays, where it starts in the text and its number."""
+
+    def __init__(self, text: np.ndarray, length: int):
+        self.text, self.length = text, length
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _scan(self, level: tuple[np.ndarray, np.ndarray], starts: np.ndarray) -> np.ndarray:
+        """For each suffix of an array the number of its match in a level, or -1, by one merge of the two."""
+        order, equal = suffix_order(self.text, np.concatenate([level[0], starts]), self.length)
+        found = np.full(len(starts), -1)
+        hit = np.flatnonzero(equal)
+        found[order[hit + 1] - len(level[0])] = level[1][order[hit]]
+        return found
+
+    def add(self, starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Scan a batch and make what is new a level. Returns for each suffix the number of the first that equals it."""
+        order, equal = suffix_order(self.text, starts, self.length)
+        group = np.concatenate([[0], np.cumsum(~equal)]) if len(order) else order
+        leaders = order[np.concatenate([[True], ~equal])] if len(order) else order
+        first, fresh = numbers[leaders].copy(), np.ones(len(leaders), dtype=bool)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level.context, ordered), len(level.context) - 1)
-            known |= level.context[at] == ordered
-        settled[order] = known
-        origin = np.zeros(len(doc), dtype=bool)  # the first of its context anywhere
-        origin[order[np.unique(first)]] = True
-        origin &= ~settled
-
-        order, first = _first_of(gram)
-        ordered = gram[order]
-        earlier = doc[order] > doc[order][first]
-        ranges = [(level, np.searchsorted(level.gram, ordered), np.searchsorted(level.gram, ordered, side="right")) for level in self.levels]
-        for _, low, high in ranges:
-            earlier |= high > low
-        asked = np.zeros(len(doc), dtype=bool)
-        asked[order] = earlier
-        asked &= ~settled
-        questioned = asked[order]
-        groups = np.zeros(len(doc), dtype=bool)
-        groups[first[questioned]] = True
-        sources = [entry[order[groups[first] & origin[order]]]]
-        for level, low, high in ranges:
-            change = np.zeros(len(level.gram) + 1, dtype=np.int64)
-            np.add.at(change, low[questioned], 1)
-            np.add.at(change, high[questioned], -1)
-            sources.append(level.entry[np.cumsum(change[:-1]) > 0])
-
-        if origin.any():
-            self.levels.append(_Level(gram[origin], entry[origin], context[origin]))
-            while len(self.levels) > 1 and len(self.levels[-2].gram) <= 2 * len(self.levels[-1].gram):
-                last = self.levels.pop()
-                self.levels[-1] = self.levels[-1].merged(last)
-        return settled, asked, np.concatenate(sources)
-
-
-def _shard_matches(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All entries of a shard in order of documents: doc, number, position, settled, in question."""
-    parts = [_unpack(blob) for blob in blobs]
-    keys = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
-    position, doc, number = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-    order = np.lexsort((position, number, doc))
-    keys, position, doc, number = [k[order] for k in keys], position[order], doc[order], number[order]
-    gram = keys[0]
-    context = mix(mix(gram + np.uint64(1)) + keys[1]) if len(keys) > 1 else gram
-    settled, question = np.zeros(len(doc), dtype=bool), np.zeros(len(doc), dtype=bool)
-    family, begin = IndexFamily(), 0
+            found = self._scan(level, starts[leaders])
+            fresh &= found < 0
+            first = np.where(found < 0, first, found)
+        if fresh.any():
+            self.levels.append((starts[leaders[fresh]], numbers[leaders[fresh]]))
+            while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
+                a, b = self.levels.pop(-2), self.levels.pop()
+                both = [np.concatenate(c) for c in zip(a, b, strict=True)]
+                merged, _ = suffix_order(self.text, both[0], self.length)
+                self.levels.append((both[0][merged], both[1][merged]))
+        out = np.empty(len(starts), dtype=np.int64)
+        out[order] = first[group]
+        return out
+
+
+def _in_batches(doc: np.ndarray, count: np.ndarray, most: int = BATCH) -> Iterator[slice]:
+    """Runs of pieces with some ``most`` suffixes, ``count`` for each piece; a document is never split."""
+    ends, begin = np.cumsum(count), 0
     while begin < len(doc):
-        end = min(begin + BATCH, len(doc))
-        end = int(np.searchsorted(doc, doc[end - 1], side="right"))  # a document is never split
-        rows = slice(begin, end)
-        done, asked, sources = family.add(gram[rows], context[rows], doc[rows], np.arange(begin, end))
-        settled[rows] = done
-        question[rows] |= asked
-        question[sources] = True
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+        end = int(np.searchsorted(doc, doc[end - 1], side="right"))
+        yield slice(begin, end)
         begin = end
-    return doc, number, position, settled, question
-
-
-def _by_document(doc: np.ndarray, number: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """One row for each document with any: doc_id, number and, by column, the positions chosen."""
-    any_of = np.logical_or.reduce([chosen for chosen, _ in columns])
-    rows = np.flatnonzero(any_of)
-    if not len(rows):
-        return
-    fresh = np.ones(len(rows), dtype=bool)
-    fresh[1:] = (doc[rows][1:] != doc[rows][:-1]) | (number[rows][1:] != number[rows][:-1])
-    edges = np.append(np.flatnonzero(fresh), len(rows))
-    data = []
-    for chosen, values in columns:
-        kept = chosen[rows]
-        counts = np.concatenate([[0], np.cumsum(kept)])[edges]
-        flat = values[rows][kept].astype("<u4").tobytes()
-        data.append(pa.array([flat[4 * a : 4 * b] for a, b in zip(counts[:-1], counts[1:], strict=True)], pa.binary()))
-    first = rows[edges[:-1]]
-    arrays = [pa.array(doc[first], pa.int64()), pa.array(number[first].astype(np.int32), pa.int32()), *data]
-    batch = pa.RecordBatch.from_arrays(arrays, names=["doc_id", "number", "settled", "question"][: len(arrays)])
-    for k in range(0, batch.num_rows, 10_000):
-        yield batch.slice(k, 10_000)
-
-
-def _scan(question: bool):
-    """Sorted rows of (shard, blob) to matches by document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish() -> Iterator[pa.RecordBatch]:
-            doc, number, position, settled, asked = _shard_matches(blobs)
-            yield from _by_document(doc, number, [(settled, position), (asked & ~settled, position)][: 1 + question])
-
-        shard, blobs = None, []
-        for batch in batches:
-            for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if blobs and own != shard:
-                    yield from finish()
-                    blobs = []
-                shard = own
-                blobs.append(blob)
-        if blobs:
-            yield from finish()
 
-    return run
-
-
-def _scanned(packed: DataFrame, shards: int, question: bool) -> DataFrame:
-    schema = "doc_id long, number int, settled binary" + (", question binary" if question else "")
-    return packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_scan(question), schema)
+def matched_runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, text: np.ndarray, length: int, gram: int, most: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes covered by windows that also start in a smaller document: piece, begin in the piece, bytes.
+
+    Pieces are in order of ``doc``; ``text`` ends in 8 spare bytes. A piece with an anchor of its own has no match. Of
+    the others, one that is all the bytes of an earlier document's piece is one run; windows of the rest are looked up.
+    """
+    family, first = IndexFamily(text, gram), np.empty(len(doc), dtype=np.int64)
+    for rows in _in_batches(doc, np.ones(len(doc), dtype=np.int64), most):
+        first[rows] = family.add(start[rows] + anchor[rows], np.arange(rows.start, rows.stop))
+    asked = first != np.arange(len(doc))
+    asked[first[asked]] = True
+    asked = np.flatnonzero(asked)
+    # What tells most unequal pieces apart; bytes decide, and what it doesn't tell apart is looked up by window.
+    digest = mix(first[asked].astype(np.uint64) << np.uint64(20) ^ size[asked].astype(np.uint64))
+    digest ^= mix(_words(text, start[asked], 8)) ^ mix(_words(text, start[asked] + size[asked] - 8, 8) + np.uint64(1))
+    whole = _repeats(text, start[asked], size[asked], digest, doc[asked])
+    settled, open_ = asked[whole], asked[~whole]
+    found = [(settled, np.zeros(len(settled), dtype=np.int64), size[settled])]
+    family, known_doc, number = IndexFamily(text, length), [], 0
+    windows = size[open_] - (length - 1)
+    for rows in _in_batches(doc[open_], windows, most):
+        piece = np.repeat(open_[rows], windows[rows])
+        place = _spread(np.zeros(rows.stop - rows.start, dtype=np.int64), windows[rows])
+        # Suffixes are numbered by document, so that a number tells how early its document is.
+        fresh = np.diff(doc[piece], prepend=doc[piece[0]] - 1) != 0
+        numbers = number + np.cumsum(fresh) - 1
+        number = int(numbers[-1]) + 1
+        hit = np.flatnonzero(family.add(start[piece] + place, numbers) < numbers)
+        if len(hit):
+            edge = np.ones(len(hit), dtype=bool)
+            edge[1:] = (piece[hit][1:] != piece[hit][:-1]) | (np.diff(place[hit]) != 1)
+            a = np.flatnonzero(edge)
+            b = np.append(a[1:], len(hit)) - 1
+            found.append((piece[hit[a]], place[hit[a]], place[hit[b]] - place[hit[a]] + length))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _shard_runs(blobs: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The matched runs of a shard: doc_id, row number, begin in the text, bytes."""
+    parts = [_unpack(blob, PIECE_KINDS) for blob in blobs]
+    doc, number, position, size, anchor = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
+    text = np.concatenate([*(p[1] for p in parts), np.zeros(8, dtype=np.uint8)])
+    parts.clear()
+    start = np.cumsum(size) - size
+    order = np.lexsort((position, number, doc))
+    doc, number, position = doc[order], number[order], position[order]
+    piece, begin, covered = matched_runs(doc, start[order], size[order], anchor[order], text, length, gram)
+    return doc[piece], number[piece], position[piece] + begin, covered
 
 
-# Texts
+def _scan(shards: int, ranges: int, length: int, gram: int):
+    """Sorted rows of (shard, blob) to runs by range of documents; runs that are settled already pass."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _Runs(ranges)
+
+        def taken() -> Iterator[tuple[int, bytes]]:
+            shard, blobs = None, []
+            for batch in batches:
+                for own, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if own < 0:
+                        yield -1 - own, blob.as_py()
+                        continue
+                    if blobs and own != shard:
+                        runs.add(*_shard_runs(blobs, length, gram))
+                        blobs = []
+                        if runs.held >= BATCH:
+                            yield from runs.blobs()
+                    shard = own
+                    blobs.append(blob.as_py())
+            if blobs:
+                runs.add(*_shard_runs(blobs, length, gram))
+            yield from runs.blobs()
+
+        yield from _batches(taken(), "range")
 
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        data = [packer.compress((text.as_py() or "").encode()) for text in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["doc_id", "number", "packed"])
+    return run
 
 
-def _positions(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype="<u4").astype(np.int64)
+# Texts
 
 
-def _asked_windows(shards: int, length: int, gram: int):
-    """Documents with positions in question to the packed hashes of those windows."""
+def _compressed(ranges: int):
+    """Rows of (doc_id, number, text) to ``range, kind 1, doc_id, number, blob``, the blob being the compressed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, unpacker = _Packer(shards), zstandard.ZstdDecompressor()
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for doc_id, number, packed, blobs in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                data = np.frombuffer(unpacker.decompress(packed), dtype=np.uint8)
-                found = Sampled(data, np.array([0, len(data)]), length, gram)
-                starts = found.windows_of(_positions(blobs))
-                hashes = range_hash(found.sums, starts, starts + length)
-                same = np.ones(len(starts), dtype=np.int64)
-                # Windows go by the sampled suffix they hold, so neighbours stay together.
-                suffix = found.owner(starts)
-                route = range_hash(found.sums, suffix, suffix + gram) >> np.uint64(40)
-                packer.add(route, [hashes & _low40, (hashes >> np.uint64(24)) & _low40], starts, doc_id * same, number * same)
-                if packer.held >= PACK:
-                    yield from packer.rows()
-        yield from packer.rows()
+            data = [packer.compress((text.as_py() or "").encode()) for text in batch.column(2)]
+            doc, number = (batch.column(k).fill_null(0).to_numpy().astype(np.int64) for k in (0, 1))
+            if batch.column(0).null_count:  # no runs wait for them, so they go anywhere
+                number = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), [zlib.crc32(d) for d in data], number)
+            arrays = [pa.array(_range_of(doc, number, ranges).astype(np.int32)), pa.array(np.ones(len(doc), dtype=np.int32)), batch.column(0), batch.column(1), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["range", "kind", "doc_id", "number", "blob"])
 
     return run
 
@@ -396,26 +461,48 @@ def _spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[first], reach[np.append(first[1:] - 1, len(begin) - 1)] if len(begin) else reach
 
 
-def _cut(length: int, gram: int, keep_text: bool):
-    """Documents with their matches to what is left of them."""
+class _Covered:
+    """The runs of a range of documents, to be looked up by row."""
+
+    def __init__(self, blobs: list[bytes]):
+        parts = [_unpack(blob, RUN_KINDS)[0] for blob in blobs] or [[np.empty(0, dtype=np.int64)] * 4]
+        doc, number, self.begin, self.size = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((number, doc))
+        doc, number, self.begin, self.size = doc[order], number[order], self.begin[order], self.size[order]
+        edges = [0, *(np.flatnonzero((np.diff(doc) != 0) | (np.diff(number) != 0)) + 1).tolist(), len(doc)]
+        self.rows = {(int(doc[a]), int(number[a])): (a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a}
+
+    def of(self, doc: int | None, number: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.rows.get((doc, number), (0, 0))
+        return _spans(self.begin[a:b], self.begin[a:b] + self.size[a:b])
+
+
+def _cut(keep_text: bool):
+    """Sorted rows of (range, kind, doc_id, number, blob), runs before texts, to what is left of the documents."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
+        current, blobs, covered = None, [], _Covered([])
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, packed, contexts, windows in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                data = unpacker.decompress(packed)
-                p, w = _positions(contexts or []), _positions(windows or [])
-                begin = np.concatenate([np.maximum(p - (length - gram), 0), w])
-                end = np.concatenate([np.minimum(p + length, len(data)), w + length])
-                begin, end = _spans(begin, end)
+            columns = [batch.column(k).to_pylist() for k in range(4)]
+            for own, kind, doc_id, number, blob in zip(*columns, batch.column(4), strict=True):
+                if own != current:
+                    current, blobs, covered = own, [], None
+                if kind == 0:
+                    blobs.append(blob.as_py())
+                    continue
+                if covered is None:
+                    covered, blobs = _Covered(blobs), []
+                data = unpacker.decompress(blob.as_py())
+                begin, end = covered.of(doc_id, number)
                 edges = [0, *np.stack([begin, end], axis=1).reshape(-1).tolist(), len(data)]
                 kept = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 row = [doc_id, len(data), int((end - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), kept]
                 for column, value in zip(out, row, strict=False):
                     column.append(value)
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=False)], names=names)
 
     return run
@@ -431,30 +518,33 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return rows.join(repeated, F.col("doc_id") == F.col("__id"), "left").select("doc_id", number.cast("int").alias("number"), "text")
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished stages, which it does when its handles are collected."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def _frequent_anchors(rows: DataFrame, total: int, length: int, gram: int, most: int) -> np.ndarray:
+    """Anchors with more than ``most`` pieces, as a sample tells; there are at most pieces / most of them."""
+    share = min(1.0, max(SAMPLE_BYTES / max(total, 1), SAMPLE_SHARE))
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit("anchors"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("text")
+    counted = drawn.mapInArrow(_anchors(length, gram), "value long, count long").groupBy("value").agg(F.sum("count").alias("count"))
+    return np.array(sorted(r["value"] for r in counted.where(F.col("count") > most * share).collect()), dtype=np.uint32)
+
 
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, heavy_pieces: int | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``: the bytes left).
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``: the bytes left)."""
+    ``heavy_pieces``: an anchor with more pieces has its windows dealt one by one (default: a sixteenth of a shard).
+    """
     rows = _numbered(docs)
+    spark = docs.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // SHARD_BYTES)))
+    least = spark.sparkContext.defaultParallelism
+    shards, ranges = (int(max(least, -(-total // size))) for size in (SHARD_BYTES, RANGE_BYTES))
     indexed = rows.where("doc_id IS NOT NULL")
-    packed = indexed.mapInArrow(_suffixes(shards, length, gram), "shard int, blob binary")
-    matches = stage(_scanned(packed, shards, True), "substring-matches")
-    _release(docs)
-    texts = rows.mapInArrow(_compress, "doc_id long, number int, packed binary")
-    asked = matches.where("length(question) > 0").groupBy("doc_id", "number").agg(F.collect_list("question").alias("positions"))
-    windows = texts.join(asked, ["doc_id", "number"]).select("doc_id", "number", "packed", "positions")
-    hashed = windows.mapInArrow(_asked_windows(shards, length, gram), "shard int, blob binary")
-    covered = stage(_scanned(hashed, shards, False), "substring-windows")
-    _release(docs)
-    found = matches.where("length(settled) > 0").select("doc_id", "number", F.col("settled").alias("contexts"), F.lit(None).cast("binary").alias("windows"))
-    found = found.unionByName(covered.select("doc_id", "number", F.lit(None).cast("binary").alias("contexts"), F.col("settled").alias("windows")))
-    found = found.groupBy("doc_id", "number").agg(F.collect_list("contexts").alias("contexts"), F.collect_list("windows").alias("windows"))
-    joined = texts.join(found, ["doc_id", "number"], "left").select("doc_id", "packed", "contexts", "windows")
+    if heavy_pieces is None:
+        heavy_pieces = SHARD_BYTES // (8 * (length - gram + 2))
+    heavy = _frequent_anchors(indexed, total, length, gram, heavy_pieces)
+    dealt = indexed.mapInArrow(_dealt(shards, ranges, heavy, length, gram), "shard int, blob binary")
+    met = dealt.repartitionById(shards, F.pmod("shard", F.lit(shards))).sortWithinPartitions("shard")
+    runs = stage(met.mapInArrow(_scan(shards, ranges, length, gram), "range int, blob binary"), "substring-runs")
+    texts = rows.mapInArrow(_compressed(ranges), "range int, kind int, doc_id long, number int, blob binary")
+    both = runs.select("range", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("number"), "blob").unionByName(texts)
+    ordered = both.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "kind")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    return joined.mapInArrow(_cut(length, gram, keep_text), schema)
+    return ordered.mapInArrow(_cut(keep_text), schema)

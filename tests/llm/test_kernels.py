@@ -6,9 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakewarden.llm import chat, tokens
+from lakewarden.llm import chat, substrings, tokens
 from lakewarden.llm.setsketch import merge, similarity, sketch
-from lakewarden.llm.substrings import IndexFamily
 from lakewarden.llm.textkernels import mix, prefix_sums, range_hash, shingle_sets
 from lakewarden.llm.warc import page_of, record_id, url_key
 
@@ -76,20 +75,48 @@ def test_url_keys_and_record_ids():
         assert page_of(record_id(page)) == page
 
 
-def test_index_family_finds_earlier_documents_and_stays_logarithmic():
-    rng = np.random.default_rng(3)
-    family, seen_context, seen_gram = IndexFamily(), {}, {}
-    for batch in range(40):
-        doc = np.sort(rng.integers(batch * 10, batch * 10 + 10, 60))
-        gram = rng.integers(0, 150, 60).astype(np.uint64)
-        context = gram * np.uint64(7) + rng.integers(0, 3, 60).astype(np.uint64)
-        settled, asked, _ = family.add(gram, context, doc, np.arange(batch * 60, batch * 60 + 60))
-        for g, c, d in zip(gram.tolist(), context.tolist(), doc.tolist(), strict=True):
-            seen_context.setdefault(c, d)
-            seen_gram.setdefault(g, d)
-        assert settled.tolist() == [seen_context[c] < d for c, d in zip(context.tolist(), doc.tolist(), strict=True)]
-        assert asked.tolist() == [seen_context[c] >= d and seen_gram[g] < d for g, c, d in zip(gram.tolist(), context.tolist(), doc.tolist(), strict=True)]
-    assert len(family.levels) <= 8
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=60).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=20), st.integers(1, 20))
+def test_index_family_finds_the_first_and_stays_logarithmic(batches, length):
+    text = np.frombuffer(b"".join(batches) + bytes(length + 8), dtype=np.uint8)
+    family, seen, at = substrings.IndexFamily(text, length), {}, 0
+    for batch in batches:
+        starts = np.arange(at, at + len(batch))
+        found = family.add(starts, starts)
+        for own, first in zip(starts.tolist(), found.tolist(), strict=True):
+            assert first == seen.setdefault(text[own : own + length].tobytes(), own)
+        at += len(batch)
+        for level, _ in family.levels:
+            strings = [text[k : k + length].tobytes() for k in level]
+            assert strings == sorted(set(strings))
+    sizes = [len(level) for level, _ in family.levels]
+    assert sum(sizes) == len(seen) and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"ab", b"aaaaaaa", b"abcabd", b"xyzzy"]), max_size=30).map(b"".join), min_size=1, max_size=8), st.sampled_from([8, 13]), st.integers(1, 60))
+def test_pieces_and_runs_equal_brute_force(docs, length, most):
+    gram = 5
+    data = np.frombuffer(b"".join(docs), dtype=np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    found = substrings.Pieces(data, offsets, length, gram)
+    windows = {}
+    for start, n, anchor in zip(found.start.tolist(), found.windows.tolist(), found.anchor.tolist(), strict=True):
+        for k in range(start, start + n):
+            windows[k] = data[start + anchor : start + anchor + gram].tobytes()
+    assert set(windows) == {o + k for o, d in zip(offsets.tolist(), docs) for k in range(len(d) - length + 1)}
+    by_string, first = {}, {}
+    for k, doc in enumerate(docs):
+        for at in range(len(doc) - length + 1):
+            assert by_string.setdefault(doc[at : at + length], windows[offsets[k] + at]) == windows[offsets[k] + at]
+            first.setdefault(doc[at : at + length], k)
+    expected = {offsets[k] + at + i for k, doc in enumerate(docs) for at in range(len(doc) - length + 1) if first[doc[at : at + length]] < k for i in range(length)}
+    text = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    size = found.windows + length - 1
+    # Runs may find more than pieces have in common by their anchors, as all pieces are at hand here.
+    piece, begin, covered = substrings.matched_runs(found.doc, found.start, size, found.anchor, text, length, gram, most)
+    got = {int(found.start[p] + b + i) for p, b, n in zip(piece, begin, covered) for i in range(n)}
+    assert got == expected
 
 
 def test_encoder_equals_the_library():

@@ -387,14 +387,24 @@ def removal_truth(rows):
     return {d: sorted(v) for d, v in out.items()}
 
 
-def test_substring_removal_equals_brute_force(docs):
+@pytest.mark.parametrize("heavy", [None, 3, 0])  # no anchor, some or all dealt window by window
+def test_substring_removal_equals_brute_force(docs, heavy):
     passage, other = prose(1, 40), "é" * 30 + prose(2, 20)
     rows = [(k, prose(100 + k, 60) + passage[k : 100 + 3 * k] + prose(200 + k, 30)) for k in range(25)]
     rows += [(30, "a" * 49), (31, "a" * 50), (32, "a" * 51 + "b"), (33, "ab" * 60), (34, "ba" * 40), (35, None), (36, ""), (37, other), (38, "x" + other), (39, passage), (40, passage[:49]), (41, passage[:50])]
     rows += [(50 + k, edited(prose(9, 150), k, 0.05)) for k in range(15)] + [(70, passage + other), (71, other + passage), (72, "be " * 90), (73, "be " * 200), (74, prose(5, 20_000)), (75, prose(5, 20_000)[1000:9000])]
     rows += [(80, prose(77, 50)), (80, prose(77, 50)), (80, prose(78, 50) + prose(77, 50)), (81, prose(77, 50))]
     found = collections.defaultdict(list)
-    for r in substrings.repeated_spans(docs(*rows)).collect():
+    for r in substrings.repeated_spans(docs(*rows), heavy_pieces=heavy).collect():
+        found[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    assert {d: sorted(v) for d, v in found.items()} == removal_truth(rows)
+
+
+def test_a_passage_in_every_document_is_found_in_all(docs):
+    passage = prose(1, 60)
+    rows = [(k, f"{prose(100 + k, 12)} {passage} {prose(900 + k, 9)}") for k in range(400)] + [(1000 + k, passage) for k in range(200)]
+    found = collections.defaultdict(list)
+    for r in substrings.repeated_spans(docs(*rows).repartition(7)).collect():
         found[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
     assert {d: sorted(v) for d, v in found.items()} == removal_truth(rows)
 
