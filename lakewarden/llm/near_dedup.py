@@ -42,7 +42,7 @@ BANDS = 32
 ROWS = 6
 MARGIN = 0.16
 #: Pivots in a bucket in the first round and in the first over rare shingles, and how many times more by round there.
-PIVOTS, RARE_PIVOTS, GROWTH = 2, 2, 4
+PIVOTS, RARE_PIVOTS, GROWTH = 1, 16, 4
 
 
 def _signatures(width: int, registers: int):
@@ -109,13 +109,19 @@ class _Search:
 
 
 def _open_rows(buckets: DataFrame, labels: DataFrame, pivots: int) -> DataFrame:
-    """The rows of buckets that still hold several components and a row that may be met, with this round's pivots."""
-    seen = buckets.join(labels, "rep")
-    by_label = seen.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.max("met").alias("met"))
-    keys = by_label.groupBy("key").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.max("met").alias("any"))
-    keys = keys.where("labels > 1 AND any").select("key", F.col("top.label").alias("largest"), (F.col("total") - F.col("top.c")).alias("outside"))
-    draw = F.pmod(F.xxhash64("key", "rep", F.lit(pivots)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = (F.col("label") != F.col("largest")) & (draw * F.col("outside") < pivots)
+    """The rows of buckets that still hold several components and a row that may be met, with this round's pivots.
+
+    Pivots follow one order of all representatives, not one for each bucket: members that meet in many buckets have the
+    same pivots in them, so the pairs of different buckets are mostly the same pairs.
+    """
+    draw = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    seen = buckets.join(labels, "rep").withColumn("draw", draw)
+    by_label = seen.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.max("met").alias("met"), F.min(F.struct("draw", "rep")).alias("first"))
+    keys = by_label.groupBy("key").agg(
+        F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.max("met").alias("any"), F.min("first").alias("first")
+    )
+    keys = keys.where("labels > 1 AND any").select("key", "first", "total")
+    chosen = (F.col("rep") == F.col("first.rep")) | (F.col("draw") * F.col("total") < pivots)
     return seen.join(keys, "key").select("key", "rep", "n", "met", "place", "label", chosen.alias("pivot"))
 
 
