@@ -357,13 +357,21 @@ _function_query(
 )
 
 
-@query("field_functions", """SELECT c_custkey, upper(substr(lower(trim(c_name)), 1, 1)) || substr(lower(trim(c_name)), 2) AS normalised,
- CASE WHEN NOT contains(c_mktsegment, 'BUILD') THEN c_mktsegment END AS without_word, string_split(c_name, '#')[2] AS part, 1 AS k FROM customer""")
+_FIELD_VALUE = """CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '   ' WHEN 2 THEN concat('  ', c_name, ' ') WHEN 3 THEN lower(c_mktsegment)
+ WHEN 4 THEN concat(c_mktsegment, '#B#', c_name) ELSE c_name END"""
+
+
+@query("field_functions", f"""WITH v AS (SELECT c_custkey, {_FIELD_VALUE} AS v FROM customer)
+SELECT c_custkey, CASE WHEN trim(v) <> '' THEN v END AS plain, CASE WHEN trim(v) <> '' THEN upper(substr(v, 1, 1)) || lower(substr(v, 2)) END AS capitalised,
+ CASE WHEN trim(v) <> '' AND NOT contains(lower(v), 'build') THEN v END AS without_word, CASE WHEN trim(v) <> '' THEN string_split(v, '#')[2] END AS part,
+ CASE WHEN trim(v) <> '' THEN string_split(v, '#')[-2] END AS part_from_end, 1 AS k,
+ v IS NULL OR trim(v) = '' OR len(string_split(v, '#')) >= 2 AS split_accepts, true AS exclude_accepts FROM v""")
 def _field_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.col("c_name")
-    return table(spark, sf_dir, "customer").select(
-        "c_custkey", field_functions.normalise(name, True).alias("normalised"), field_functions.exclude_word(F.col("c_mktsegment"), "BUILD").alias("without_word"),
-        field_functions.split(name, "#", 1).alias("part"), field_functions.static_key(name).alias("k"),
+    v = F.col("v")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(_FIELD_VALUE).alias("v")).select(
+        "c_custkey", field_functions.normalise(v).alias("plain"), field_functions.normalise(v, True).alias("capitalised"), field_functions.exclude_word(v, "Build").alias("without_word"),
+        field_functions.split(v, "#", 1).alias("part"), field_functions.split(v, "#", -2).alias("part_from_end"), field_functions.static_key(v).alias("k"),
+        field_functions.accepts(v, {"name": "split", "kwargs": {"split_on": "#", "keep": 1}}).alias("split_accepts"), field_functions.accepts(v, {"name": "exclude_word", "kwargs": {"word": "x"}}).alias("exclude_accepts"),
     )
 
 
