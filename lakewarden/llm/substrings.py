@@ -14,8 +14,8 @@ corpus; it decides only the way that windows take) has its windows dealt by thei
 **Index family.** In a shard the pieces come in batches of ascending doc_id. Each batch gets a suffix array (``starts``
 in the order of the next bytes), which is merge-scanned against the arrays of the existing levels: entries side by side
 that agree in all bytes asked for are a match. What is new becomes a level, and levels of about equal size merge, so
-there are O(log n) of them. The family is used twice: over the suffixes at the anchors, which shows the pieces that might
-have a match, and over all suffixes of those where a window starts. All matches are of bytes, never of hashes; one is
+there are O(log n) of them. The family is used over the suffixes at the anchors, which shows the pieces that might have a
+match, and over all suffixes of those where a window starts. All matches are of bytes, never of hashes; one is
 missed only if two different anchors in one piece have equal 32-bit hashes, the least of all in it (some 1e-8 a piece).
 
 **Removal.** Matched runs are packed by the range of documents they belong to, so that a range's runs and its
@@ -29,8 +29,8 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,14 +44,15 @@ from lakewarden.llm.textkernels import _INVERSE as INVERSE
 from lakewarden.llm.textkernels import mix, pieces, powers, prefix_sums, range_hash
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 #: Text bytes whose pieces make a shard, and text bytes in a range of documents, about.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
-#: Bytes of pieces that a task packs at a time, suffixes in a batch of the index family, text bytes sampled at a time.
-FLUSH = 24 << 20
-BATCH = 1 << 18
+#: Bytes of pieces or texts that a task packs at a time, suffixes in a batch of the index family, text bytes in a run.
+FLUSH = 48 << 20
+BATCH = 1 << 20
 PIECE = 1 << 18
+MANY = 1 << 16
 #: Texts in which frequent anchors are looked for: all of up to so many bytes, and never less than this share.
 SAMPLE_BYTES, SAMPLE_SHARE = 16 << 20, 1 / 1024
 
@@ -78,7 +79,8 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Pieces:
-    """The pieces of a run of texts: ``start`` and ``windows`` (their number), the anchors' values and places."""
+    """The pieces of a run of texts: ``start`` and ``windows`` (their number), the anchors' values and first places
+    (and ``MANY`` added to those of pieces in which the anchor's value comes more than once)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         n = len(data)
@@ -99,8 +101,12 @@ class Pieces:
         self.start, self.windows = edges[:-1][kept], np.diff(edges)[kept]
         self.value, self.doc = least[self.start], doc[self.start]
         self.anchor = np.full(len(self.start), -1)
-        for ahead in range(length - gram, -1, -1):
-            self.anchor = np.where(values[self.start + ahead] == self.value, ahead, self.anchor)
+        last = self.anchor.copy()
+        for ahead in range(length - gram + 1):
+            last[values[self.start + self.windows - 1 + ahead] == self.value] = ahead
+            back = length - gram - ahead
+            self.anchor[values[self.start + back] == self.value] = back
+        self.anchor[last + self.windows - 1 != self.anchor] += MANY
 
 
 def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -119,11 +125,16 @@ def _equal_bytes(text: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.
 
 def _repeats(text: np.ndarray, start: np.ndarray, size: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether a piece's bytes are also those of a piece of a smaller document. Digests find them, bytes decide."""
-    order = np.lexsort((doc, digest))
-    fresh = np.ones(len(order), dtype=bool)
-    fresh[1:] = digest[order][1:] != digest[order][:-1]
+    found = np.zeros(len(doc), dtype=bool)
+    order = np.argsort(digest)
+    equal = digest[order][1:] == digest[order][:-1]
+    several = np.zeros(len(order), dtype=bool)
+    several[1:] = equal
+    several[:-1] |= equal
+    order = order[several]
+    order = order[np.lexsort((doc[order], digest[order]))]
+    fresh = np.diff(digest[order], prepend=~digest[order[:1]]) != 0
     leader = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
-    found = np.zeros(len(order), dtype=bool)
     later = np.flatnonzero((doc[order] > doc[leader]) & (size[order] == size[leader]))
     found[order[later]] = _equal_bytes(text, start[order[later]], start[leader[later]], size[leader[later]])
     return found
@@ -155,18 +166,20 @@ def _unpack(blob: bytes, kinds: list[str]) -> tuple[list[np.ndarray], np.ndarray
     return columns, data[at:]
 
 
-#: Columns of pieces (doc_id, row number, position, bytes, place of the anchor) and of runs (doc_id, row number, begin, bytes).
+#: Columns of pieces (doc_id, row number, position, bytes, place of the anchor), of runs (doc_id, row number, begin, bytes)
+#: and of texts (doc_id, row number, bytes, whether there is an id).
 PIECE_KINDS = ["<i8", "<i4", "<u4", "<u4", "<u4"]
 RUN_KINDS = ["<i8", "<i4", "<u4", "<u4"]
+TEXT_KINDS = ["<i8", "<i4", "<u4", "<u4"]
 
 
 def _range_of(doc: np.ndarray, number: np.ndarray, ranges: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64) ^ mix(number.astype(np.uint64))) % np.uint64(ranges)).astype(np.int64)
 
 
-def _groups(keys: np.ndarray, *order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each key and its rows, in the order of the other arrays (first one first)."""
-    rows = np.lexsort((*order[::-1], keys))
+def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key and its rows, in their order."""
+    rows = np.argsort(keys, kind="stable")
     edges = np.append(np.flatnonzero(np.diff(keys[rows], prepend=-1)), len(rows))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield int(keys[rows[a]]), rows[a:b]
@@ -186,7 +199,7 @@ class _Runs:
     def blobs(self) -> Iterator[tuple[int, bytes]]:
         if self.parts:
             doc, number, begin, size = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-            for key, rows in _groups(_range_of(doc, number, self.ranges), doc, number, begin):
+            for key, rows in _groups(_range_of(doc, number, self.ranges)):
                 yield key, _pack([(kind, c[rows]) for kind, c in zip(RUN_KINDS, (doc, number, begin, size), strict=True)])
         self.parts, self.held = [], 0
 
@@ -234,7 +247,7 @@ def _dealt(shards: int, ranges: int, heavy: np.ndarray, length: int, gram: int):
             settled = _repeats(text, start, size, digest, doc)
             runs.add(doc[settled], number[settled], position[settled], size[settled])
             left = np.flatnonzero(~settled)
-            for shard, rows in _groups((route[left] % np.uint64(shards)).astype(np.int64), doc[left], number[left], position[left]):
+            for shard, rows in _groups((route[left] % np.uint64(shards)).astype(np.int64)):
                 own = left[rows]
                 columns = zip(PIECE_KINDS, (doc[own], number[own], position[own], size[own], anchor[own]), strict=True)
                 yield shard, _pack(list(columns), text[_spread(start[own], size[own])].tobytes())
@@ -298,8 +311,12 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
         group = np.concatenate([[0], np.cumsum(~equal)])[at]
         own = order[at]
         key = _words(text, starts[own] + ahead, min(8, length - ahead))
-        inner = np.lexsort((key, group))
-        order[at], key = own[inner], key[inner]
+        fresh = np.diff(group, prepend=-1) != 0
+        differ = np.zeros(int(group[-1]) + 1, dtype=bool)
+        differ[group[key != key[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]]] = True
+        mixed = np.flatnonzero(differ[group])  # groups that agree in these bytes too are in order
+        inner = mixed[np.lexsort((key[mixed], group[mixed]))]
+        order[at[mixed]], key[mixed] = own[inner], key[inner]
         equal[at[1:] - 1] = (group[1:] == group[:-1]) & (key[1:] == key[:-1])
     return order, equal
 
@@ -353,18 +370,35 @@ def _in_batches(doc: np.ndarray, count: np.ndarray, most: int = BATCH) -> Iterat
         begin = end
 
 
+def _firsts(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """By an index family: for each suffix the number of the first that equals it, and whether there are others."""
+    family, first = IndexFamily(text, length), np.empty(len(starts), dtype=np.int64)
+    for rows in _in_batches(doc, np.ones(len(starts), dtype=np.int64), most):
+        first[rows] = family.add(starts[rows], np.arange(rows.start, rows.stop))
+    several = first != np.arange(len(starts))
+    several[first[several]] = True
+    return first, several
+
+
 def matched_runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, text: np.ndarray, length: int, gram: int, most: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of bytes covered by windows that also start in a smaller document: piece, begin in the piece, bytes.
 
-    Pieces are in order of ``doc``; ``text`` ends in 8 spare bytes. A piece with an anchor of its own has no match. Of
-    the others, one that is all the bytes of an earlier document's piece is one run; windows of the rest are looked up.
+    Pieces are in order of ``doc``; ``text`` ends in 8 spare bytes. A piece with an anchor of its own has no match, nor
+    has one that shares with no other what lies around the anchor: a window has at least half its other bytes before
+    or behind it. That holds where the anchor comes once in all pieces that have it. Of the pieces left, one that is all
+    the bytes of an earlier document's piece is one run; windows of the rest are looked up.
     """
-    family, first = IndexFamily(text, gram), np.empty(len(doc), dtype=np.int64)
-    for rows in _in_batches(doc, np.ones(len(doc), dtype=np.int64), most):
-        first[rows] = family.add(start[rows] + anchor[rows], np.arange(rows.start, rows.stop))
-    asked = first != np.arange(len(doc))
-    asked[first[asked]] = True
+    many, anchor = anchor >= MANY, anchor % MANY
+    first, asked = _firsts(text, start + anchor, doc, gram, most)
+    unclear = np.zeros(len(doc), dtype=bool)
+    unclear[first[many]] = True
     asked = np.flatnonzero(asked)
+    kept, half = unclear[first[asked]], (length - gram + 1) // 2
+    for before in (0, half):  # what follows the anchor, what precedes it
+        own = np.flatnonzero((anchor[asked] >= before) & (anchor[asked] - before + gram + half <= size[asked]))
+        piece = asked[own]
+        kept[own] |= _firsts(text, start[piece] + anchor[piece] - before, doc[piece], gram + half, most)[1]
+    asked = asked[kept]
     # What tells most unequal pieces apart; bytes decide, and what it doesn't tell apart is looked up by window.
     digest = mix(first[asked].astype(np.uint64) << np.uint64(20) ^ size[asked].astype(np.uint64))
     digest ^= mix(_words(text, start[asked], 8)) ^ mix(_words(text, start[asked] + size[asked] - 8, 8) + np.uint64(1))
@@ -435,18 +469,42 @@ def _scan(shards: int, ranges: int, length: int, gram: int):
 # Texts
 
 
-def _compressed(ranges: int):
-    """Rows of (doc_id, number, text) to ``range, kind 1, doc_id, number, blob``, the blob being the compressed text."""
+def _packed_texts(ranges: int):
+    """Rows of (doc_id, number, text) to ``range, kind 1, blob``, many texts in a blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            data = [packer.compress((text.as_py() or "").encode()) for text in batch.column(2)]
-            doc, number = (batch.column(k).fill_null(0).to_numpy().astype(np.int64) for k in (0, 1))
-            if batch.column(0).null_count:  # no runs wait for them, so they go anywhere
-                number = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), [zlib.crc32(d) for d in data], number)
-            arrays = [pa.array(_range_of(doc, number, ranges).astype(np.int32)), pa.array(np.ones(len(doc), dtype=np.int32)), batch.column(0), batch.column(1), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["range", "kind", "doc_id", "number", "blob"])
+        parts: list[tuple] = []
+        held = 0
+
+        def flush() -> Iterator[tuple[int, bytes]]:
+            nonlocal held
+            text = np.concatenate([p[0] for p in parts])
+            size, known, doc, number = (np.concatenate(c) for c in list(zip(*parts, strict=True))[1:])
+            parts.clear()
+            held = 0
+            start = np.cumsum(size) - size
+            # No runs wait for a text without an id, so it goes anywhere.
+            spread = np.where(known, number, np.arange(len(doc)))
+            for key, rows in _groups(_range_of(doc, spread, ranges)):
+                columns = zip(TEXT_KINDS, (doc[rows], number[rows], size[rows], known[rows]), strict=True)
+                yield key, _pack(list(columns), text[_spread(start[rows], size[rows])].tobytes())
+
+        def taken() -> Iterator[tuple[int, bytes]]:
+            nonlocal held
+            for batch in batches:
+                known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                doc, number = (batch.column(k).fill_null(0).to_numpy().astype(np.int64) for k in (0, 1))
+                for row, data, offsets in pieces(batch.column(2), PIECE):
+                    own = slice(row, row + len(offsets) - 1)
+                    parts.append((data, np.diff(offsets), known[own], doc[own], number[own]))
+                    held += len(data)
+                    if held >= FLUSH // 2:
+                        yield from flush()
+            if parts:
+                yield from flush()
+
+        for batch in _batches(taken(), "range"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ones(batch.num_rows, dtype=np.int32)), batch.column(1)], names=["range", "kind", "blob"])
 
     return run
 
@@ -478,17 +536,25 @@ class _Covered:
 
 
 def _cut(keep_text: bool):
-    """Sorted rows of (range, kind, doc_id, number, blob), runs before texts, to what is left of the documents."""
+    """Sorted rows of (range, kind, blob), runs before texts, to what is left of the documents."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
     kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
 
+    def left(blob: bytes, covered: _Covered) -> Iterator[tuple]:
+        (doc, number, size, known), text = _unpack(blob, TEXT_KINDS)
+        text, ends = memoryview(text), np.cumsum(size).tolist()
+        for row, (doc_id, own, end) in enumerate(zip(doc.tolist(), number.tolist(), ends, strict=True)):
+            data = text[end - int(size[row]) : end]
+            doc_id = doc_id if known[row] else None
+            begin, stop = covered.of(doc_id, own)
+            edges = [0, *np.stack([begin, stop], axis=1).reshape(-1).tolist(), len(data)]
+            kept = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+            yield doc_id, len(data), int((stop - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), kept
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
         current, blobs, covered = None, [], _Covered([])
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            columns = [batch.column(k).to_pylist() for k in range(4)]
-            for own, kind, doc_id, number, blob in zip(*columns, batch.column(4), strict=True):
+            for own, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if own != current:
                     current, blobs, covered = own, [], None
                 if kind == 0:
@@ -496,14 +562,9 @@ def _cut(keep_text: bool):
                     continue
                 if covered is None:
                     covered, blobs = _Covered(blobs), []
-                data = unpacker.decompress(blob.as_py())
-                begin, end = covered.of(doc_id, number)
-                edges = [0, *np.stack([begin, end], axis=1).reshape(-1).tolist(), len(data)]
-                kept = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
-                row = [doc_id, len(data), int((end - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), kept]
-                for column, value in zip(out, row, strict=False):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=False)], names=names)
+                rows = left(blob.as_py(), covered)
+                while some := list(itertools.islice(rows, 1000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t, _ in zip(zip(*some, strict=True), kinds, names, strict=False)], names=names)
 
     return run
 
@@ -543,8 +604,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     dealt = indexed.mapInArrow(_dealt(shards, ranges, heavy, length, gram), "shard int, blob binary")
     met = dealt.repartitionById(shards, F.pmod("shard", F.lit(shards))).sortWithinPartitions("shard")
     runs = stage(met.mapInArrow(_scan(shards, ranges, length, gram), "range int, blob binary"), "substring-runs")
-    texts = rows.mapInArrow(_compressed(ranges), "range int, kind int, doc_id long, number int, blob binary")
-    both = runs.select("range", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("number"), "blob").unionByName(texts)
+    texts = rows.mapInArrow(_packed_texts(ranges), "range int, kind int, blob binary")
+    both = runs.select("range", F.lit(0).alias("kind"), "blob").unionByName(texts)
     ordered = both.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "kind")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
     return ordered.mapInArrow(_cut(keep_text), schema)
