@@ -6,6 +6,7 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewarden.llm import chat, components, decontamination, exact_dedup, langid, mixing, near_dedup, substrings, tokens, toxicity, warc
 
@@ -227,6 +228,30 @@ def test_components_of_a_long_path(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_rows_pass_through_with_any_column_names(spark):
+    names = ["__mix_copies", "copies", "copy", "size", "key", "own_sha", "__own_sha", "__sha", "keep_id", "a.b", "tick`s", "digest", "item_id", "rep"]
+    text = prose(1, 60)
+    plain = [(1, text, "s"), (2, text, "s"), (3, prose(2, 60), "t"), (3, prose(3, 60), "t"), (4, prose(4, 60), None), (-(2**63), text, "s")]
+    rows = [(*r, *[100 * k + j for j in range(len(names))]) for k, r in enumerate(plain)]
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType())]
+    table = spark.createDataFrame(rows, T.StructType(fields + [T.StructField(n, T.LongType()) for n in names]))
+    by_row = {r[3:]: r for r in rows}
+
+    def whole(out):
+        assert out.columns == table.columns
+        got = [tuple(r) for r in out.collect()]
+        assert all(by_row[r[3:]] == r for r in got)
+        return sorted(k for k, r in enumerate(rows) for g in got if g == r)
+
+    items = spark.createDataFrame([(1, prose(4, 60)), (2, "x y")], "item_id long, text string")
+    assert whole(decontamination.drop_contaminated(table, items)) == [0, 1, 2, 3, 5]
+    assert whole(exact_dedup.drop_copies(table)) == [2, 3, 4, 5]
+    assert len(whole(near_dedup.drop_near_duplicates(table))) == 3  # one of the texts, one of the rows of 3, and 4
+    taken = {r.doc_id: r.copies for r in mixing.mixing_report(table).collect()}
+    assert collections.Counter(r.doc_id for r in mixing.mix_documents(table).collect() if r.doc_id != 3) == collections.Counter({d: c for d, c in taken.items() if d != 3 and c})
+    assert mixing.mix_documents(table).columns == table.columns
+
+
 # 6
 
 
