@@ -15,7 +15,10 @@
 
 A pair at the threshold of 0.85 shares none of the 32 bands of 6 registers with a probability of 3e-7, and a pair
 at 0.8 none of 48 bands with 5e-7 (of 32 with 6e-5, so a lower threshold needs more ``bands``); the register
-estimate discards only below ``threshold - MARGIN``, six standard errors. Nothing else is lossy.
+estimate discards only what lies ``ERRORS`` standard errors below the threshold. Nothing else is lossy.
+
+What moves: registers and sets of documents that share no bucket are never shuffled, and a round moves those of the
+pairs it compares only. A list of ids or keys is broadcast up to ``BROADCAST_ROWS`` rows of it, and shuffled beyond.
 
 Defined cases: words as in the contract (runs without white space, A-Z lower-cased); a text of one to four
 words is one shingle; a null or blank text has an empty set and is linked with nothing; a row with a null
@@ -34,13 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewarden.llm.components import components
+from lakewarden.llm.naming import columns, without
 from lakewarden.llm.scratch import stage
 from lakewarden.llm.setsketch import similarity, sketch
 from lakewarden.llm.textkernels import pieces, shingle_hashes, shingle_sets, word_hashes
 
 BANDS = 32
 ROWS = 6
-MARGIN = 0.16
+ERRORS = 5
+BROADCAST_ROWS = 1_000_000
 #: Pivots in a bucket in the first round and in the first over rare shingles, and how many times more by round there.
 PIVOTS, RARE_PIVOTS, GROWTH = 1, 16, 4
 
@@ -84,12 +89,20 @@ def _likely(threshold: float):
             if batch.num_rows:
                 one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for k in (4, 5))
                 sizes = [batch.column(k).to_numpy().astype(np.float64) for k in (2, 3)]
-                batch = batch.filter(pa.array(similarity(one, other, *sizes) >= threshold - MARGIN))
+                margin = ERRORS * np.sqrt(threshold * (1 - threshold) / one.shape[1])
+                batch = batch.filter(pa.array(similarity(one, other, *sizes) >= threshold - margin))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
 
     return run
 
 
+def _among(df: DataFrame, column: str, listed: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is in a written table of one column and distinct rows."""
+    name = listed.columns[0]
+    small = listed.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(listed) if small else listed, df[column] == listed[name], "left_semi")
+
+
 class _Search:
     """The representatives' registers and sets, and the test of a table of candidate pairs."""
 
@@ -100,9 +113,12 @@ class _Search:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked, confirmed on full sets."""
         side = lambda df, key, **names: df.select(F.col("rep").alias(key), *[F.col(c).alias(n) for c, n in names.items()])
-        sketched = pairs.join(side(self.registers, "a", n_shingles="n_a", registers="r_a"), "a").join(side(self.registers, "b", n_shingles="n_b", registers="r_b"), "b")
-        likely = sketched.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely(self.threshold), "a long, b long")
-        full = likely.join(side(self.sets, "a", shingles="s_a"), "a").join(side(self.sets, "b", shingles="s_b"), "b")
+        ends = lambda of: stage(of.select(F.col("a").alias("end")).unionByName(of.select(F.col("b").alias("end"))).distinct(), "near-ends")
+        registers = _among(self.registers, "rep", ends(pairs))
+        sketched = pairs.join(side(registers, "a", n_shingles="n_a", registers="r_a"), "a").join(side(registers, "b", n_shingles="n_b", registers="r_b"), "b")
+        likely = stage(sketched.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely(self.threshold), "a long, b long"), "near-likely")
+        sets = _among(self.sets, "rep", ends(likely))
+        full = likely.join(side(sets, "a", shingles="s_a"), "a").join(side(sets, "b", shingles="s_b"), "b")
         shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
         counted = full.select("a", "b", shared.alias("both"), (F.size("s_a") + F.size("s_b")).cast("long").alias("sum"))
         return counted.where(100 * F.col("both") >= self.hundredths * (F.col("sum") - F.col("both"))).select("a", "b").distinct()
@@ -132,7 +148,7 @@ def _round(rows: DataFrame, labels: DataFrame, search: _Search) -> DataFrame:
     most = F.least(F.col("n") - F.col("place"), F.col("n_p") - F.col("place_p")) + 1
     enough = most * (100 + search.hundredths) >= (F.col("n") + F.col("n_p")) * search.hundredths
     pairs = p.join(rows, "key").where((F.col("label") != F.col("label_p")) & enough).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
-    links = stage(search.links(pairs.distinct()), "near-links")
+    links = stage(search.links(stage(pairs.distinct(), "near-pairs")), "near-links")
     name = lambda of, end: labels.select(F.col("rep").alias(of), F.col("label").alias(end))
     edges = links.join(name("a", "la"), "a").join(name("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     roots = components(edges)
@@ -183,15 +199,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5, ba
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stage(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
     chosen = classes.select("digest", F.col("rep").alias("doc_id"))
-    registers = stage(
-        usable.join(chosen, ["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "registers").distinct(), "near-registers"
-    )
+    spare = stage(usable.select("digest", "doc_id").join(classes, "digest").where("doc_id > rep").select("digest", "doc_id").distinct(), "near-spare")
+    registers = usable.join(F.broadcast(spare) if spare.count() <= BROADCAST_ROWS // 4 else spare, ["digest", "doc_id"], "left_anti")
+    registers = registers.select(F.col("doc_id").alias("rep"), "n_shingles", "registers")
     key = F.expr(f"explode(transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(registers, i * {2 * rows} + 1, {2 * rows}))))")
     keyed = registers.select(key.alias("key"), "rep", F.col("n_shingles").alias("n"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key")
-    buckets = stage(keyed.join(shared, "key").select("key", "rep", "n"), "near-buckets")
+    shared = stage(keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key"), "near-keys")
+    buckets = stage(_among(keyed, "key", shared).distinct(), "near-buckets")
     active = stage(buckets.select("rep").distinct(), "near-active")
-    texts = docs.join(active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = _among(docs, "doc_id", active)
+    registers = stage(_among(registers, "rep", active).distinct(), "near-registers")
     sets = stage(texts.mapInArrow(_full_sets(width), "rep long, shingles array<long>"), "near-sets")
     labels = _linked(buckets, active.select("rep", F.col("rep").alias("label")), sets, _Search(registers, sets, threshold))
     placed = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(labels, "rep", "left")
@@ -206,13 +223,12 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int =
     Of rows with words that repeat the doc_id that stays, the one whose text has the least hash stays.
     """
     found = stage(near_duplicates(docs, threshold, width, bands).where("n_shingles > 0 AND doc_id IS NOT NULL"), "near-found")
-    dropped = found.where("NOT kept").select("doc_id").distinct()
-    staying = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    staying = without(docs, found.where("NOT kept").select("doc_id").distinct(), "doc_id")
     repeated = stage(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-repeated")
     if repeated.isEmpty():
         return staying
     worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    several = staying.where(worded).join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
-    others = staying.where(~worded).unionByName(staying.where(worded).join(repeated, "doc_id", "left_anti").select(*docs.columns))
-    return others.unionByName(one.select(*docs.columns))
+    several = without(staying.where(worded), repeated, "doc_id", "left_semi")
+    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*columns(docs)), F.xxhash64("text")).alias("one_row")).select("one_row.*")
+    others = staying.where(~worded).unionByName(without(staying.where(worded), repeated, "doc_id"))
+    return others.unionByName(one.select(*columns(docs)))
