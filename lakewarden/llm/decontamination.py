@@ -4,17 +4,23 @@ Documents are as long as they like and items are short, so the Jaccard similarit
 and the search is for containment |item & document| / |item|. Items are partitioned by the power of two
 that bounds their number of shingles. In each partition an item's signature is its ``k`` smallest shingle
 hashes (bottom-k MinHash), with ``k = floor((1 - threshold) * bound) + 1`` from the partition's size bound:
-a document that lacks at most that share of the shingles must hold one of them, so no match is lost. A
-document's shingles are probed only if they are small enough to be in any signature, which discards most
-of them before a row is made. Candidates are verified by exact shingle containment over the whole text.
+a document that lacks at most that share of the shingles must hold one of them, so no match is lost. Shingles
+that more than ``COMMON`` items have come last in that order, so a phrase that all items share makes no candidates.
+
+The signatures' hashes also set bits in a bitmap of ``1 << BITMAP`` bits that is part of the plan: a document's
+shingles are tested against it inside the array, and only those that pass become rows. A pair is a candidate if the
+document has enough shingles for the item's partition. Candidate pairs, and no others, are verified by exact
+containment over the whole text: the shingles of a pair's item meet those of its document by document and hash, so
+neither a long document nor a common shingle is one task's work. Shingles are compared by 64-bit hashes.
 
 A signature table of up to ``BROADCAST_ROWS`` rows is broadcast; a larger one is joined by shuffle.
 
 Defined cases: words are runs of characters other than white space, lower-cased; a text of one to four
 words has its whole sequence as the only shingle; an item of that length is found inside any document, whose
 runs of as many words are probed too, unless ``short_inside`` is off (then only in a document that is those words,
-the rule of the registered query's SQL); null or blank texts have none and match nothing; items or documents without an id are never reported; rows that repeat an id are one item or document whose
-shingles are united; empty tables give an empty result; other columns are ignored.
+the rule of the registered query's SQL); null or blank texts have none and match nothing; items or documents without an
+id are never reported; rows that repeat an id are one item or document whose shingles are united; empty tables give an
+empty result; other columns are ignored, or passed through.
 """
 
 from __future__ import annotations
@@ -24,9 +30,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.llm.naming import without
 from lakewarden.llm.scratch import stage
 
 BROADCAST_ROWS = 500_000
+COMMON = 16
+#: Bits of the bitmap of signatures, as a power of two; its words are one constant array of the plan.
+BITMAP = 21
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -64,42 +74,62 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _item_sets(items: DataFrame, threshold: float, width: int) -> DataFrame:
+    """``item_id, shingles, n_item_shingles, size_bound, k``; shingles in the order that signatures are taken from."""
+    rows = shingled(items, "item_id", width).select(F.col("id").alias("item_id"), F.explode("shingles").alias("h")).distinct()
+    held = rows.groupBy("h").agg(F.count(F.lit(1)).alias("held"))
+    ranked = rows.join(held, "h").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct((F.col("held") > COMMON).alias("common"), "h"))).alias("ranked"))
+    return (
+        ranked.select("item_id", F.col("ranked.h").alias("shingles"), F.size("ranked").cast("long").alias("n_item_shingles"))
+        .withColumn("size_bound", F.pow(F.lit(2.0), F.ceil(F.log2("n_item_shingles"))).cast("long"))
+        .withColumn("k", (F.floor((1 - F.lit(threshold)) * F.col("size_bound")) + 1).cast("int"))
+    )
+
+
+def _bit(h: Column) -> tuple[Column, Column]:
+    """The word (from 0) and the bit in it that a hash sets in the bitmap."""
+    place = F.shiftrightunsigned(h, 64 - BITMAP)
+    return F.shiftright(place, 6).cast("int"), (place.bitwiseAND(F.lit(63))).cast("int")
+
+
+def _bitmap(signatures: DataFrame) -> Column:
+    """The bitmap as a constant array of ``1 << (BITMAP - 6)`` words, whatever the number of signatures."""
+    word, bit = _bit(F.col("h"))
+    bits = signatures.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("value"))
+    words = ["0"] * (1 << (BITMAP - 6))
+    for row in bits.groupBy("word").agg(F.bit_or("value").alias("value")).collect():
+        words[row["word"]] = str(row["value"])
+    return F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+
+
+def _passes(bitmap: Column, h: Column) -> Column:
+    word, bit = _bit(h)
+    return F.getbit(F.get(bitmap, word), bit) == 1
+
+
 def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5, short_inside: bool = True) -> DataFrame:
     """Pairs ``doc_id, item_id, n_item_shingles, n_shared, containment`` with containment >= threshold."""
     lengths = _short_lengths(items, width) if short_inside else []
-    item_rows = shingled(items, "item_id", width)
-    item_sets = stage(
-        item_rows.groupBy(F.col("id").alias("item_id"))
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("shingles"))
-        .withColumn("n_item_shingles", F.size("shingles").cast("long"))
-        .withColumn("size_bound", F.pow(F.lit(2.0), F.ceil(F.log2("n_item_shingles"))).cast("long"))
-        .withColumn("k", (F.floor((1 - F.lit(threshold)) * F.col("size_bound")) + 1).cast("int")),
-        "contain-items",
-    )
-    signatures = stage(
-        item_sets.select("item_id", F.explode(F.slice("shingles", F.lit(1), F.col("k"))).alias("h")), "contain-signatures"
-    )
-    facts = signatures.agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("cutoff")).first()
-    cutoff = facts["cutoff"] if facts["cutoff"] is not None else -(1 << 63)
+    item_sets = stage(_item_sets(items, threshold, width), "contain-items")
+    signatures = stage(item_sets.select("item_id", "size_bound", F.explode(F.slice("shingles", F.lit(1), F.col("k"))).alias("h")), "contain-signatures")
+    bitmap = _bitmap(signatures)
     probes = shingled(docs, "doc_id", width, lengths).select(
-        "id", F.explode(F.filter("shingles", lambda h: h <= F.lit(cutoff))).alias("h")
+        "id", F.size("shingles").alias("n"), F.explode(F.filter("shingles", lambda h: _passes(bitmap, h))).alias("h")
     )
-    candidates = stage(
-        probes.join(_sized(signatures, facts["n"]), "h").groupBy("id", "item_id").agg(F.count(F.lit(1)).alias("hits")),
-        "contain-candidates",
-    ).select(F.col("id").alias("doc_id"), "item_id")
+    # All items of a partition have more than half its bound, and rows that repeat an id unite, so only they are exempt.
+    hits = probes.join(_sized(signatures, signatures.count()), "h").groupBy("id", "item_id", "size_bound").agg(F.sum("n").alias("n"))
+    candidates = stage(hits.where(F.col("n") >= F.lit(threshold) * F.col("size_bound") / 2).select(F.col("id").alias("doc_id"), "item_id"), "contain-candidates")
     return _verified(docs, item_sets, candidates, threshold, width, lengths)
 
 
 def _verified(docs: DataFrame, item_sets: DataFrame, candidates: DataFrame, threshold: float, width: int, lengths: Sequence[int]) -> DataFrame:
     """Exact containment of each candidate pair, over the documents that are in one."""
-    suspects = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    wanted = item_sets.select("item_id", "n_item_shingles", F.explode("shingles").alias("h"))
-    count = item_sets.agg(F.sum("n_item_shingles")).first()[0] or 0
+    suspects = stage(candidates.select("doc_id").distinct(), "contain-suspects")
+    chosen = docs.select("doc_id", "text").join(_sized(suspects, suspects.count()), "doc_id", "left_semi")
+    held = shingled(chosen, "doc_id", width, lengths).select(F.col("id").alias("doc_id"), F.explode(F.array_distinct("shingles")).alias("h"))
+    wanted = stage(candidates.join(item_sets, "item_id").select("doc_id", "item_id", "n_item_shingles", F.explode("shingles").alias("h")), "contain-wanted")
     shared = (
-        shingled(suspects, "doc_id", width, lengths)
-        .select(F.col("id").alias("doc_id"), F.explode(F.array_distinct("shingles")).alias("h"))
-        .join(_sized(wanted, count), "h")
+        held.join(_sized(wanted, wanted.count()), ["doc_id", "h"])
         .groupBy("doc_id", "item_id", "n_item_shingles")
         .agg(F.count_distinct("h").alias("n_shared"))
     )
@@ -114,4 +144,4 @@ def _verified(docs: DataFrame, item_sets: DataFrame, candidates: DataFrame, thre
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
     """``docs`` without the documents that contain an item; documents without an id stay."""
     hits = find_contained(docs, items, threshold, width).select("doc_id").distinct()
-    return docs.join(stage(hits, "contain-hits"), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, stage(hits, "contain-hits"), "doc_id")
