@@ -46,10 +46,10 @@ from lakewarden.llm.textkernels import mix, pieces, powers, prefix_sums, range_h
 LENGTH = 50
 GRAM = 12
 #: Text bytes whose pieces make a shard, and text bytes in a range of documents, about.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 10 << 20
 RANGE_BYTES = 16 << 20
 #: Bytes of pieces or texts that a task packs at a time, suffixes in a batch of the index family, text bytes in a run.
-FLUSH = 48 << 20
+FLUSH = 40 << 20
 BATCH = 1 << 20
 PIECE = 1 << 18
 MANY = 1 << 16
