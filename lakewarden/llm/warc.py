@@ -28,6 +28,7 @@ import bisect
 import hashlib
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.scratch import new_path, stage
+from lakewarden.llm.scratch import new_path, small_batches, stage
 
 REVISIT_BYTES = 1000
 LINES = 512
@@ -62,28 +63,29 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(host.split('.')))}{port}){parts.path or '/'}{query}"
 
 
-def record_id(page_id: int | None) -> str:
-    """A version 8 UUID that spells out the page_id; the first digit tells a null."""
-    number = (page_id or 0) & ((1 << 64) - 1)
-    return f"{0 if page_id is None else 1:08x}-0000-8{number >> 60:03x}-8{number >> 48 & 0xFFF:03x}-{number & (1 << 48) - 1:012x}"
+def record_id(page_id: int | None, capture: str = "") -> str:
+    """A version 8 UUID that spells out the page_id; the first bit tells a null, the next 31 are a hash of the capture
+    (its URL and payload digest), so that rows that repeat a page_id have ids of their own."""
+    number, head = (page_id or 0) & ((1 << 64) - 1), (page_id is not None) << 31 | zlib.crc32(capture.encode()) >> 1
+    return f"{head:08x}-0000-8{number >> 60:03x}-8{number >> 48 & 0xFFF:03x}-{number & (1 << 48) - 1:012x}"
 
 
 def page_of(record: str) -> int | None:
     head, _, top, middle, low = record.split("-")
-    if head == "00000000":
+    if not int(head, 16) >> 31:
         return None
     number = int(top[1:], 16) << 60 | int(middle[1:], 16) << 48 | int(low, 16)
     return number - (1 << 64) if number >> 63 else number
 
 
-def build_record(page_id: int | None, url: str, payload: bytes, digest: str, target: int | None) -> bytes:
-    """A record, not compressed; ``target`` makes it a revisit."""
+def build_record(page_id: int | None, url: str, payload: bytes, digest: str, target: int | None, target_url: str | None = None) -> bytes:
+    """A record, not compressed; ``target`` (the page_id, and its URL) makes it a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if target is not None else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if target is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{record_id(page_id)}>",
+        f"WARC-Record-ID: <urn:uuid:{record_id(page_id, url + digest)}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url}".replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
@@ -91,7 +93,7 @@ def build_record(page_id: int | None, url: str, payload: bytes, digest: str, tar
         f"Content-Length: {len(body)}",
     ]
     if target is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{record_id(target)}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{record_id(target, (target_url or '') + digest)}>"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -131,14 +133,14 @@ def _write_archive(folder: str):
         name, out, at = None, None, 0
         for batch in batches:
             rows: list[tuple] = []
-            for page_id, url, html, digest, target in zip(*[batch.column(k) for k in range(5)], strict=True):
+            for page_id, url, html, digest, target, target_url in zip(*[batch.column(k) for k in range(6)], strict=True):
                 if out is None:
                     name, out = _attempt_file(folder, "pages.warc.gz")
-                    info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{record_id(None)}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+                    info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{folder}/{name}')}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
                     at = out.write(_gzip(info.encode()))
                 url = url.as_py() or ""
                 page_id = page_id.as_py()
-                packed = _gzip(build_record(page_id, url, (html.as_py() or "").encode(), digest.as_py(), target.as_py()))
+                packed = _gzip(build_record(page_id, url, (html.as_py() or "").encode(), digest.as_py(), target.as_py(), target_url.as_py()))
                 out.write(packed)
                 rows.append((url_key(url), page_id, name, at, len(packed)))
                 at += len(packed)
@@ -152,19 +154,19 @@ def _write_archive(folder: str):
 
 
 def _pages_with_targets(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, digest, target``; the payloads themselves are shuffled by page_id at most."""
+    """``page_id, url, html, digest, target, target_url``; the payloads themselves are shuffled by page_id at most."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digest = F.sha1(payload)
-    narrow = stage(pages.select("page_id", digest.alias("digest"), F.octet_length(payload).cast("long").alias("bytes")), "warc-digests")
-    groups = narrow.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n"))
-    shared = groups.where((F.col("n") > 1) & F.col("target").isNotNull()).select("digest", "target")
+    narrow = stage(pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), digest.alias("digest"), F.octet_length(payload).cast("long").alias("bytes")), "warc-digests")
+    groups = narrow.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count(F.lit(1)).alias("n"))
+    shared = groups.where((F.col("n") > 1) & F.col("top.page_id").isNotNull()).select("digest", F.col("top.page_id").alias("target"), F.col("top.url").alias("target_url"))
     revisits = stage(
-        narrow.where(F.col("bytes") >= REVISIT_BYTES).join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("target"))).select("page_id", "digest", "target").distinct(),
+        narrow.where(F.col("bytes") >= REVISIT_BYTES).join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("target"))).select("page_id", "digest", "target", "target_url").distinct(),
         "warc-revisits",
-    ).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "target")
+    ).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "target", "target_url")
     rows = pages.select("page_id", "url", "html", digest.alias("digest"))
     on = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest"))
-    return rows.join(revisits, on, "left").select("page_id", "url", "html", "digest", "target")
+    return rows.join(revisits, on, "left").select("page_id", "url", "html", "digest", "target", "target_url")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -233,6 +235,7 @@ class CaptureIndex:
 
     def _file(self, k: int):
         if self.at_file[0] != k:
+            self.close()
             store, base = fs.FileSystem.from_uri(self.folder)
             opened = store.open_input_file(f"{base}/{self.files[k]}")
             tail = struct.calcsize("<qq8s")
@@ -243,6 +246,11 @@ class CaptureIndex:
             self.at_file = (k, opened, directory, [_sort_key(*row[:2]) for row in directory])
         return self.at_file[1:]
 
+    def close(self) -> None:
+        if self.at_file[0] is not None:
+            self.at_file[1].close()
+            self.at_file, self.at_block = (None, None, [], []), (None, [], [])
+
     def _block(self, k: int, b: int):
         opened, directory, _ = self._file(k)
         if self.at_block[0] != (k, b):
@@ -274,6 +282,7 @@ def _look_up(folder: str, manifest: list[tuple]):
             places = [place for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for place in index.find(key, page)]
             columns = list(zip(*places, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "offset", "length"])
+        index.close()
 
     return run
 
@@ -307,10 +316,14 @@ def _read_records(folder: str):
             out = []
             for file, begin, end, own in ranges(list(zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True))):
                 if file != name:
+                    if opened is not None:
+                        opened.close()
                     name, opened = file, store.open_input_file(f"{base}/{file}")
                 data = opened.read_at(end - begin, begin)
                 out += [parse_record(zlib.decompress(data[at - begin : at - begin + length], 31)) for at, length in own]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if opened is not None:
+            opened.close()
 
     return run
 
@@ -323,12 +336,14 @@ def read_pages(keys: DataFrame, folder: str, manifest: DataFrame) -> DataFrame:
     wanted = keys.select("url", "page_id").mapInArrow(_keys, "key string, page_id long").distinct()
     ordered = wanted.repartitionByRange(max(1, len(files)), *order).sortWithinPartitions(*order)
     places = ordered.mapInArrow(_look_up(folder, files), "file string, offset long, length long")
-    by_file = places.repartition("file").sortWithinPartitions("file", "offset")
+    # An explicit number: adaptive execution would join the tiny rows into one task, and each is a range read.
+    by_file = places.repartition(max(1, len(files)), "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     return by_file.mapInArrow(_read_records(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_report(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write archives and index of ``pages``, then read every page back through the index."""
+    small_batches(pages.sparkSession)
     folder = folder or new_path(pages.sparkSession, "warc")
     folder = folder if folder.startswith("file:") or "://" in folder else f"file://{folder}"
     manifest = write_index(write_archives(pages, folder), folder)
