@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.llm.scratch import small_batches
 from lakewarden.llm.textkernels import pieces
 
 BUCKETS = 1 << 16
@@ -166,4 +167,5 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Train on the documents that are not held out and predict all."""
+    small_batches(docs.sparkSession)
     return predict(docs, train(docs, ~held_out(F.col("doc_id"))))

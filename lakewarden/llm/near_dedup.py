@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm.components import components
 from lakewarden.llm.naming import columns, without
-from lakewarden.llm.scratch import stage
+from lakewarden.llm.scratch import small_batches, stage
 from lakewarden.llm.setsketch import similarity, sketch
 from lakewarden.llm.textkernels import pieces, shingle_hashes, shingle_sets, word_hashes
 
@@ -194,6 +194,7 @@ def _linked(buckets: DataFrame, labels: DataFrame, sets: DataFrame, search: _Sea
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_shingles long, digest binary, registers binary"
     signed = stage(docs.mapInArrow(_signatures(width, bands * rows), schema), "near-signatures")
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))

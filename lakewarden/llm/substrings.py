@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.scratch import stage
+from lakewarden.llm.scratch import small_batches, stage
 from lakewarden.llm.textkernels import _INVERSE as INVERSE
 from lakewarden.llm.textkernels import mix, pieces, powers, prefix_sums, range_hash
 
@@ -594,6 +594,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     """
     rows = _numbered(docs)
     spark = docs.sparkSession
+    small_batches(spark)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = spark.sparkContext.defaultParallelism
     shards, ranges = (int(max(least, -(-total // size))) for size in (SHARD_BYTES, RANGE_BYTES))

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.scratch import new_path, stage
+from lakewarden.llm.scratch import new_path, small_batches, stage
 
 MAGIC = b"LWTOKS8B"
 BLOCK = 4096
@@ -380,6 +380,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str
     """Write ``docs`` (doc_id, text) in ascending doc_id order. Returns the folder and the staged manifest:
     ``shard, file, n_ids, n_docs``; shards in order of ``shard``. ``tokenizer_file`` must exist on every executor."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or new_path(spark, "token-shards")
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
     if n_shards is None:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.llm.scratch import small_batches
 from lakewarden.llm.textkernels import NON_LETTERS, pieces, prefix_sums, range_hash, word_spans
 
 #: Default chain: whether a text is of good quality is known to the model of toxicity.
@@ -200,6 +201,7 @@ def _training_rows(n_labels: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, labelled: int = LABELLED, folds: int = FOLDS) -> Chain:
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(c).cast("double").alias(c) for c in categories])
     total = known.count()
     if not total:

@@ -72,7 +72,7 @@ def test_url_keys_and_record_ids():
     assert url_key("http://Blog.Example.com:80/a?b=1#c") == "com,example,blog)/a?b=1"
     assert url_key("") == "" and url_key("http://[bad") == "http://[bad"
     for page in (None, 0, 7, -7, 2**63 - 1, -(2**63)):
-        assert page_of(record_id(page)) == page
+        assert page_of(record_id(page)) == page == page_of(record_id(page, f"http://x/{page}"))
 
 
 @settings(max_examples=60, deadline=None)
@@ -119,6 +119,13 @@ def test_pieces_and_runs_equal_brute_force(docs, length, most):
     assert got == expected
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", ".", ",", "'s", "'", "-", "½", "²", "1", "word", "Wörd", "ɏ", "x", "e\u0301", "日本", "\u200d", "😀", "<|endoftext|>", "</s>"]) | st.text(max_size=4), max_size=40).map("".join))
+def test_encoder_equals_the_library_on_any_text(text):
+    own = tokens.encoder(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    assert own.encode(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_equals_the_library():
     public = pytest.importorskip("public_tokenizers")
     own = tokens.CutEncoder(public.path("byte_bpe_50k.json"))

@@ -322,9 +322,16 @@ def test_chat_splits_long_conversations(spark, monkeypatch):
     ids, mask, turns = part.row()
     assert list(mask) == [0, 0, 0, 0, 0, 1, 1, 0] and turns == 2 and len(ids) == 32
     rows = [(1, k, "assistant", "word " * 20_000) for k in range(8)]
-    parts = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), path)
-    assert parts.count() == 2
-    assert chat.read_back(parts, path).first().loss_chars == 8 * 100_000
+    # One conversation of all rows, and all of an unknown one, spread over ranges; read back in one order.
+    rows += [(None, k, "tool", f"call {k}") for k in range(300)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    parts = chat.format_conversations(turns, path)
+    hot = [r for r in parts.collect() if r.conv_id == 1]
+    assert sum(r.n_turns for r in hot) == 8 and sum(len(r.ids) == 4 for r in hot) == 1 and len({r.part >> 32 for r in parts.where("conv_id IS NULL AND n_turns > 0").collect()}) > 1
+    found = {r.conv_id: r for r in chat.read_back(parts, path).collect()}
+    assert found[1].loss_chars == 8 * 100_000
+    assert found[None].turns_sha256 == hashlib.sha256("".join(f"tool\ncall {k}\n" for k in range(300)).encode()).hexdigest()
+    assert found[None].formatted_chars == sum(len(f"[TOOL]call {k}[/TOOL]") for k in range(300)) + len("<s>")
 
 
 # 8
@@ -332,7 +339,7 @@ def test_chat_splits_long_conversations(spark, monkeypatch):
 
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é</p>" * 300
-    rows = [(1, "http://a.com/x", big), (5, "https://b.a.com/y?q=1#f", big), (3, None, big), (7, "http://a.com/x", "small"), (8, "http://a.com/x", "small"), (9, "", None), (10, "http://[bad", ""), (None, "u", big), (11, "line\nbreak", big + "!")]
+    rows = [(1, "http://a.com/x", big), (5, "https://b.a.com/y?q=1#f", big), (3, None, big), (7, "http://a.com/x", "small"), (8, "http://a.com/x", "small"), (9, "", None), (10, "http://[bad", ""), (None, "u", big), (11, "line\nbreak", big + "!"), (7, "http://c.com/x", "small"), (7, "http://a.com/x", "other"), (5, "http://c.com/", big)]
     rows += [(100 + k, f"http://h{k % 9}.org/{k}", f"<b>{k}</b>" * (k % 400)) for k in range(700)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS digest", "1 AS target", "2 AS key")
     folder = f"file://{tmp_path}/w"
@@ -353,7 +360,10 @@ def test_warc_round_trip(spark, tmp_path):
     import gzip
 
     files = list((tmp_path / "v").glob("pages*"))
-    assert sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") for f in files) == len(rows) + len(files)
+    written = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    assert written.count(b"WARC/1.1\r\n") == len(rows) + len(files)
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", written)
+    assert len(set(ids)) == len(ids) == len(rows) + len(files) and set(re.findall(rb"WARC-Refers-To: (\S+)", written)) <= set(ids)
     assert warc.archive_report(pages.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
