@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each over all that the one before it kept.
 
 Every stage is a function of (spark, docs, sf_dir); :func:`run` writes what a stage returns as Parquet and
-reads it again as the next one's documents. The stages can't be expressed in SQL (a trained classifier, a
+reads it again as the next one's documents. A stage is called when the result of the one before it has been written,
+so it first drops that one's intermediate tables. The stages can't be expressed in SQL (a trained classifier, a
 tokenizer), so there is no oracle; ``tests/llm/test_pipeline.py`` holds the result against a brute-force version.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakewarden.llm.decontamination import drop_contaminated
 from lakewarden.llm.mixing import mix_documents
 from lakewarden.llm.near_dedup import drop_near_duplicates
-from lakewarden.llm.scratch import stage
+from lakewarden.llm.scratch import drop, new_path, scope
 from lakewarden.llm.tokens import token_index
 from lakewarden.llm.toxicity import keep_clean
 
@@ -47,19 +48,38 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_index(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", toxicity),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("mixing", mixing),
-    ("token_output", token_output),
-]
+_written: dict[tuple[str, str], list[str]] = {}
+
+
+def _tidy(name: str, function: Stage, before: str | None) -> Stage:
+    """The stage, with its intermediate tables in one folder and those of the stage before it dropped."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        application = spark.sparkContext.applicationId
+        for folder in _written.pop((application, before or ""), []):
+            drop(spark, folder)
+        with scope(spark, f"pipeline-{name}") as folder:
+            _written.setdefault((application, name), []).append(folder)
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+_FUNCTIONS = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
+
+STAGES: list[tuple[str, Stage]] = [(name, _tidy(name, function, _FUNCTIONS[k - 1][0] if k else None)) for k, (name, function) in enumerate(_FUNCTIONS)]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}-kept")
+        out = function(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before is not None:
+            drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
