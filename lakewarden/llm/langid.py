@@ -2,14 +2,16 @@
 
 The kernel of two texts is the blended-spectrum presence kernel: the number of character n-grams (here runs
 of one to four bytes of the lower-cased UTF-8 text, hashed into ``BUCKETS``) that occur in both, divided by
-the geometric mean of the numbers in each. Nyström landmarks, a few sampled texts, make it a finite feature
+the geometric mean of the numbers in each. (Two n-grams may share a bucket, so the kernel is that of buckets: exact for
+ordinary texts but for a few per cent of their n-grams, coarser the more of the buckets a very long text fills.) Nyström landmarks, a few sampled texts, make it a finite feature
 space, in which one-versus-rest kernel ridge regression is a small linear system. A prediction is
 ``presence(x) . landmarks' . K^(-1/2) . weights / sqrt(|x|)``; as the product is associative, everything to
 the right of ``presence(x)`` is one matrix and whole blocks of texts are scored by one matrix product each.
 
 The fit uses a bounded sample, up to ``PER_LANGUAGE`` texts of every language and fewer where ``LABELLED`` texts are
 not enough for that, but at least one, taken by a hash of the id; counts are over all rows. No language is left out;
-the weights take 256 KiB a language. Every text is predicted, whole.
+the weights and the landmarks' presences take 256 KiB a language each. What the driver gathers of a sampled text are
+the bits of its buckets, 8 KiB whatever its length: at most ``LABELLED`` times that (98 MB). Every text is predicted, whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing can
 be learned; rows with a null lang or text are not learned from; a null doc_id hashes as an empty text; rows
@@ -33,14 +35,14 @@ from lakewarden.llm.textkernels import pieces
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 300
-LABELLED = 60_000
+LABELLED = 12_000
 LANDMARKS = 256
 RIDGE = 1e-3
 #: Texts in a matrix product.
 BLOCK = 128
 UNKNOWN = "und"
 
-_letter = re.compile(r"[^\W\d_]")
+_letter = re.compile(r"[^\W\d_]")  # letters, and numbers such as a half or a superscript two
 _lower = np.arange(256, dtype=np.uint64)
 _lower[65:91] += np.uint64(32)
 _seeds = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -63,6 +65,11 @@ def presence(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield row + first, matrix
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode's categories L)."""
+    return any(m[0].isalpha() for m in _letter.finditer(text))
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -75,16 +82,15 @@ class LanguageModel:
 
 
 def _unit_rows(sets: list[np.ndarray]) -> np.ndarray:
-    rows = np.zeros((len(sets), BUCKETS), dtype=np.float32)
-    for k, own in enumerate(sets):
-        rows[k, own] = 1 / np.sqrt(len(own))
-    return rows
+    """Presences, as bits, to rows of unit length."""
+    rows = np.unpackbits(np.stack(sets), axis=1).astype(np.float32)
+    return rows / np.sqrt(rows.sum(axis=1, keepdims=True))
 
 
 def fit(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Nyström features from evenly spaced texts of each language, then one ridge system for all languages."""
+    """``sets``: the bits of each text's buckets. Nyström features from evenly spaced texts of each language, then one ridge system for all languages."""
     languages = sorted(set(labels))
-    kept = [(s, x) for s, x in zip(sets, labels, strict=True) if len(s)]
+    kept = [(s, x) for s, x in zip(sets, labels, strict=True) if s.any()]
     if not kept:
         return LanguageModel([], np.zeros((BUCKETS, 0), dtype=np.float32))
     each = max(1, landmarks // len(languages))
@@ -111,8 +117,8 @@ def held_out(doc_id: Column) -> Column:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.flatnonzero(own).astype(np.int32) for _, matrix in presence(batch.column(2)) for own in matrix]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int32()))], names=["lang", "place", "grams"])
+        bits = [own.tobytes() for _, matrix in presence(batch.column(2)) for own in np.packbits(matrix, axis=1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["lang", "place", "bits"])
 
 
 def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, labelled: int = LABELLED, landmarks: int = LANDMARKS) -> LanguageModel:
@@ -129,13 +135,13 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, labe
     placed = usable.select("lang", place.alias("place"), ticket.alias("ticket"), "text").join(drawn, "lang")
     # The row with the least ticket is there for a language of which the draw takes none.
     sample = placed.where("place < rate OR ticket = least").select("lang", "place", "text")
-    rows = sample.mapInArrow(_sets, "lang string, place double, grams array<int>").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    rows = sample.mapInArrow(_sets, "lang string, place double, bits binary").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
     taken: dict[str, int] = {}
     sets, labels = [], []
-    for language, grams in zip(rows.column("lang").to_pylist(), rows.column("grams"), strict=True):
+    for language, bits in zip(rows.column("lang").to_pylist(), rows.column("bits"), strict=True):
         taken[language] = taken.get(language, 0) + 1
         if taken[language] <= per_language:
-            sets.append(grams.values.to_numpy())
+            sets.append(np.frombuffer(bits.as_py(), dtype=np.uint8))
             labels.append(language)
     return fit(sets, labels, landmarks)
 
@@ -148,7 +154,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         own = shared.value
         names = np.array([*own.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            known = np.array([bool(_letter.search(text.as_py() or "")) for text in batch.column(2)], dtype=bool)
+            known = np.array([has_letter(text.as_py() or "") for text in batch.column(2)], dtype=bool)
             best, score = np.full(len(known), len(names) - 1), np.zeros(len(known))
             if own.languages:
                 for first, matrix in presence(batch.column(2)):
