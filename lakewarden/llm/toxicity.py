@@ -9,12 +9,13 @@ Words are runs of letters and digits, lower-cased (A-Z), known by 64-bit hashes,
 A model's words are those whose association with its label in the training fold is beyond chance (a G test
 at ``SIGNIFICANCE`` with a correction for the number of words); selection is inside each fold.
 
-The fit uses at most ``LABELLED`` labelled documents, taken by a hash of the id. That bound also bounds the
-broadcast that picks their texts. Every document is scored, whole.
+The fit uses some ``LABELLED`` labelled documents: a draw by a hash of the id, so the number is within a few hundred
+(five standard deviations) of it, and one text of each id. That bound also bounds the broadcast that picks their texts.
+The driver gathers the distinct words' hashes of these texts, no text. Every document is scored, whole.
 
 Defined cases: a null or empty text has no words and is judged by the rest of the model, which gives about
 the base rate of empty texts; labels that are null are left out; rows that repeat a doc_id in the labels
-count as positive if any is; a category with fewer than ``LEAST`` positives or negatives has a constant
+count as positive if any is; of documents that repeat one, the text with the least hash is learned from; a category with fewer than ``LEAST`` positives or negatives has a constant
 probability; without labels every probability is 0; a null doc_id is scored too; an empty table gives an
 empty result; columns of ``docs`` other than doc_id and text pass through :func:`keep_clean` untouched.
 """
@@ -208,7 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGO
         return Chain(tuple(categories), [LogisticModel(constant=0.0) for _ in categories])
     place = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30))
     sample = known.where(place < F.lit(min(1.0, labelled / total) * float(1 << 30)))
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    others = [F.first(c).alias(c) for c in categories]
+    picked = drawn.groupBy("doc_id").agg(F.min_by(F.struct("text"), F.coalesce(F.xxhash64("text"), F.lit(0))).alias("least"), *others).select("doc_id", "least.text", *categories)
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds))
     rows = picked.select("text", fold.alias("fold"), *[F.col(c).alias(f"y{k}") for k, c in enumerate(categories)])
     schema = "words array<long>, shape array<double>, fold long, " + ", ".join(f"y{k} double" for k in range(len(categories)))

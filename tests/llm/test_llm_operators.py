@@ -82,6 +82,62 @@ def test_toxicity_learns_and_rejects(spark, docs, empty):
     assert {r.p_toxic for r in toxicity.toxicity(table, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_repeated_and_unlabelled_documents(spark, docs):
+    """Rows that repeat an id are scored each by its text, and learned from once."""
+    rows = [(k, prose(k, 20) + (" vile" if k % 3 == 0 else "")) for k in range(120)]
+    labels = spark.createDataFrame([(k, 0, int(k % 3 == 0)) for k in range(120)] * 3, "doc_id long, quality int, toxic int")
+    table = docs(*rows, *[(7, prose(7, 20))] * 50, (3, "vile"), (3, prose(4, 9)))
+    once, often = toxicity.train(docs(*rows), labels), toxicity.train(table, labels)
+    assert [len(m.words) for m in once.models] == [len(m.words) for m in often.models]
+    found = collections.Counter((r.doc_id, r.toxic) for r in toxicity.toxicity(table, labels).collect())
+    assert found[7, False] == 51 and found[3, True] == 2 and found[3, False] == 1
+
+
+def plain_logistic(texts, shape, label):
+    """Words by their G statistic, then the penalised likelihood by plain gradient descent."""
+    import math
+
+    import numpy as np
+
+    n, positive = len(texts), sum(label)
+    vocabulary = sorted({w for t in texts for w in t})
+
+    def g(word):
+        total = 0.0
+        for value in (0, 1):
+            for held in (True, False):
+                seen = sum(1 for t, y in zip(texts, label, strict=True) if y == value and (word in t) == held)
+                expected = sum(1 for y in label if y == value) * sum(1 for t in texts if (word in t) == held) / n
+                total += seen * math.log(seen / expected) if seen else 0.0
+        return 2 * total
+
+    chosen = [w for w in vocabulary if g(w) >= 2 * math.log(len(vocabulary) / toxicity.SIGNIFICANCE)]
+    scaled = np.clip((shape - shape.mean(axis=0)) / np.maximum(shape.std(axis=0), 1e-6), -3, 3)
+    x = np.concatenate([np.array([[float(w in t) for w in chosen] for t in texts]).reshape(n, -1), scaled, np.ones((n, 1))], axis=1)
+    ridge = np.array([0.02] * len(chosen) + [20.0] * toxicity.SHAPES + [0.02] * (shape.shape[1] - toxicity.SHAPES) + [1e-6])
+    beta, y, step = np.zeros(x.shape[1]), np.array(label), 1 / (np.linalg.norm(x, 2) ** 2 / 4 + 20)
+    beta[-1], ahead, t = math.log(positive / (n - positive)), None, 1.0
+    ahead = beta
+    for _ in range(60_000):  # accelerated, so that it ends
+        moved = ahead + step * (x.T @ (y - 1 / (1 + np.exp(-x @ ahead))) - ridge * ahead)
+        later = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        ahead, beta, t = moved + (t - 1) / later * (moved - beta), moved, later
+    return set(chosen), 1 / (1 + np.exp(-x @ beta))
+
+
+def test_logistic_model_equals_a_plain_one():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    texts = [np.sort(rng.choice(np.arange(1, 60, dtype=np.uint64), 8, replace=False)) for _ in range(150)]
+    shape = rng.normal(size=(150, toxicity.SHAPES))
+    label = np.array([float((5 in t or 9 in t) != (rng.random() < 0.1)) for t in texts])
+    model = toxicity.fit_logistic(texts, shape, label)
+    chosen, expected = plain_logistic([set(t.tolist()) for t in texts], shape, label.tolist())
+    assert set(model.words.tolist()) == chosen and chosen
+    assert np.abs(model.probability(texts, shape) - expected).max() < 2e-3
+
+
 def test_later_models_see_out_of_fold_probabilities():
     import numpy as np
 
@@ -112,6 +168,42 @@ def test_language_id(docs, empty):
     assert {r.lang_pred for r in langid.identify(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_letters_and_long_texts(docs):
+    vocab = {"xx": "kami roti tuzel".split(), "yy": "schver tzeung verich".split()}
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(vocab[lang], k=20)), lang) for k, lang in enumerate(["xx", "yy"] * 40)]
+    odd = [(200, "½ 2"), (201, "² ³ ١٢ _"), (202, "½ ª"), (203, "日本"), (204, " ".join(rng.choices(vocab["yy"], k=60_000)))]
+    table = docs(*rows, *odd)
+    found = {r.doc_id: r for r in langid.identify(table).collect()}
+    assert found[200].lang_pred == found[201].lang_pred == "und" and found[200].score == 0
+    assert "und" not in (found[202].lang_pred, found[203].lang_pred) and found[204].lang_pred == "yy"
+
+
+def test_language_scores_are_those_of_kernel_ridge_regression(docs):
+    """With every text a landmark, the Nyström solution is the whole kernel's, solved here on sets of n-grams."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices(letters, k=4)) for _ in range(12)) for letters in ("abcde", "defgh", "ghijk") for _ in range(9)]
+    labels = [k // 9 for k in range(27)]
+    bits = [own for _, matrix in langid.presence(pa.array(texts)) for own in np.packbits(matrix, axis=1)]
+    model = langid.fit(bits, labels, landmarks=10_000, ridge=1e-2)
+
+    def grams(text):
+        data = text.lower().encode()
+        return {data[i : i + n] for n in (1, 2, 3, 4) for i in range(len(data) - n + 1)}
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+
+    train, fresh = [grams(t) for t in texts], ["abc dea hij", "ghik jk", "fgh defg"]
+    alpha = np.linalg.solve(kernel(train, train) + 1e-2 * len(train) * np.eye(len(train)), np.eye(3)[labels])
+    expected = kernel([grams(t) for t in fresh], train) @ alpha
+    got = np.concatenate([model.scores(matrix) for _, matrix in langid.presence(pa.array(fresh))])
+    assert np.abs(got - expected).max() < 0.02 and (got.argmax(axis=1) == expected.argmax(axis=1)).all()
+
+
 def test_language_id_learns_every_language(docs):
     rng = random.Random(6)
     vocab = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(230)}
