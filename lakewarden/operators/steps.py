@@ -3,6 +3,7 @@ it needs, makes and removes, so that a program can be checked before anything ru
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -215,8 +216,7 @@ def _numbered(frame: DataFrame) -> tuple[DataFrame, str]:
 
 @dataclass(frozen=True, kw_only=True)
 class OneToOneJoin(LeftJoin):
-    """A left join that must not multiply rows. The check counts the matches of each row within one job, and stops
-    at the first row with several."""
+    """A left join that must not multiply rows, which is checked by a job of its own."""
 
     perform_integrity_check: bool = True
     operation = "one_to_one_join"
@@ -227,7 +227,31 @@ class OneToOneJoin(LeftJoin):
         return super().build(catalog)
 
 
+def _equal_columns(step: JoinStep) -> list[tuple[str, str]] | None:
+    """(source column, target column) of a condition that only equates columns of the two; None for any other."""
+    name = r"`?([A-Za-z_]\w*)`?\.`?([A-Za-z_]\w*)`?"
+    pairs = []
+    for part in re.split(r"\s+AND\s+", step.join_condition.strip(), flags=re.IGNORECASE):
+        found = re.fullmatch(rf"{name}\s*==?\s*{name}", part.strip())
+        sides = {found[1]: found[2], found[3]: found[4]} if found else {}
+        if set(sides) != {step.entity, step.target}:
+            return None
+        pairs.append((sides[step.entity], sides[step.target]))
+    return pairs
+
+
 def _refuse_many_matches(step: JoinStep, catalog: Catalog) -> None:
+    """A row with several matches is an error. Where columns are equated, rows that meet a repeated key of the target
+    are looked for; only other conditions need the joined pairs counted by row."""
+    equal = _equal_columns(step)
+    if equal is not None:
+        keys = [F.col(f"`{b}`").alias(f"key_{k}") for k, (_, b) in enumerate(equal)]
+        repeated = catalog[step.target].select(*keys).groupBy(*[f"key_{k}" for k in range(len(keys))]).count().where("count > 1").alias("repeated")
+        on = [F.col(f"{step.entity}.`{a}`") == F.col(f"repeated.key_{k}") for k, (a, _) in enumerate(equal)]
+        found = catalog[step.entity].alias(step.entity).join(repeated, on, "left_semi")
+        if not found.isEmpty():
+            raise ConstraintError(f"rows of {step.entity!r} match several rows of {step.target!r} on {step.join_condition!r}")
+        return
     source, row = _numbered(catalog[step.entity])
     pairs = source.alias(step.entity).join(catalog[step.target].alias(step.target), F.expr(step.join_condition))
     if not pairs.groupBy(F.col(f"{step.entity}.{row}")).count().where("count > 1").isEmpty():

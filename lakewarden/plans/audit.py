@@ -1,14 +1,16 @@
 """Audit: four append-only tables, partitioned by date, and views of the latest records.
 
 Appends never change a row. Spark's committer allows one append to a table at a time, so the threads of a driver take
-turns; drivers that run side by side use a ``pool`` of tables each. Readers take the latest record of each
-submission by one aggregation with ``max_by``.
+turns. Drivers that run side by side may meet in a table: an append that fails is tried again, unless its rows turn out
+to be there, or they use a ``pool`` of tables each. Readers take the latest record of each submission by one aggregation
+with ``max_by``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import threading
+import time
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
@@ -42,9 +44,10 @@ def predicate(tests: Iterable[tuple[str, str, Any]]) -> Column:
 
 
 def latest(frame: DataFrame, by: Sequence[str] = ("submission_id",), order: Sequence[str] = ("time_updated",)) -> DataFrame:
-    """The newest row of each key: one aggregation, without sorting the group."""
+    """The newest row of each key: one aggregation, without sorting the group. Of rows as new as each other the one
+    with the greatest values in the other columns, in their order, is taken."""
     others = [c for c in frame.columns if c not in by]
-    newest = F.max_by(F.struct(*others), F.struct(*order)).alias("newest")
+    newest = F.max_by(F.struct(*others), F.struct(*order, *[c for c in others if c not in order])).alias("newest")
     return frame.groupBy(*by).agg(newest).select(*by, "newest.*").select(*frame.columns)
 
 
@@ -54,6 +57,8 @@ def bucket_of(submission_id: Column, buckets: int) -> Column:
 
 
 _turn = threading.Lock()
+#: An append that meets another driver's is tried so often, so far apart.
+ATTEMPTS, PAUSE_SECONDS = 60, 1.0
 
 
 class AuditLog:
@@ -78,8 +83,20 @@ class AuditLog:
         schema = T.StructType.fromDDL(f"{_BASE}, {TABLES[table]}")
         data = [tuple({"date_updated": now.date(), "time_updated": now, **row}.get(f.name) for f in schema) for row in rows]
         names = self.spark.table(self._name(table)).columns
+        frame = self.spark.createDataFrame(data, schema).select(*names).coalesce(1)
         with _turn:
-            self.spark.createDataFrame(data, schema).select(*names).coalesce(1).write.mode("append").insertInto(self._name(table))
+            for attempt in range(1, ATTEMPTS + 1):
+                try:
+                    frame.write.mode("append").insertInto(self._name(table))
+                    return
+                except Exception:
+                    self.spark.catalog.refreshTable(self._name(table))
+                    written = self.table(table).where((F.col("date_updated") == F.lit(now.date())) & (F.col("time_updated") == F.lit(now)))
+                    if written.join(frame.select("submission_id"), "submission_id", "left_semi").count() >= len(rows):
+                        return
+                    if attempt == ATTEMPTS:
+                        raise
+                    time.sleep(PAUSE_SECONDS)
 
     def mark(self, status: str, submission_ids: Iterable[str], result: str | None = None, job_run_id: int | None = None) -> None:
         if status not in STATUSES:

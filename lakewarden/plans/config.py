@@ -66,6 +66,18 @@ def build_filter(spec: Mapping[str, Any]) -> DeferredFilter:
     )
 
 
+def _read(base: Path | str | None, name: str) -> str:
+    """A document beside another one, or by its own path or URI."""
+    place = name if base is None or "://" in name or name.startswith("/") else f"{str(base).rstrip('/')}/{name}"
+    if "://" not in place:
+        return Path(place).read_text()
+    from pyspark.sql import SparkSession
+
+    from lakewarden.sources.files import Files
+
+    return Files(SparkSession.active()).read_text(place)
+
+
 @dataclass(frozen=True)
 class FieldSpec:
     """A field of a schema: a type name with arguments, or a nested schema; perhaps an array."""
@@ -119,7 +131,7 @@ class Contract:
     cache_originals: bool = False
 
     @classmethod
-    def from_json(cls, document: Mapping[str, Any], base: Path | None = None) -> Contract:
+    def from_json(cls, document: Mapping[str, Any], base: Path | str | None = None) -> Contract:
         types = document.get("types", {})
 
         def schema(spec: Mapping[str, Any]) -> dict[str, Any]:
@@ -127,7 +139,7 @@ class Contract:
 
         details = document.get("error_details") or {}
         if isinstance(details, str):
-            details = json.loads(((base or Path()) / details).read_text())
+            details = json.loads(_read(base, details))
         datasets = {
             name: DatasetSpec(**schema(spec), reporting_fields=_names(spec.get("reporting_fields") or spec.get("key_field")), readers=spec.get("reader_config", {}))
             for name, spec in document.get("datasets", {}).items()
@@ -148,28 +160,30 @@ class DatasetConfig:
     rules: tuple[Rule, ...] = ()
     parameters: Mapping[str, Any] = field(default_factory=dict)
     reference_data: Mapping[str, Mapping[str, Any]] = field(default_factory=dict)
-    base: Path | None = None
+    base: Path | str | None = None
+    templating: str = "upfront"
 
     @classmethod
     def load(cls, path: str | Path) -> DatasetConfig:
-        path = Path(path)
-        return cls.from_json(json.loads(path.read_text()), path.parent)
+        """From a local path, or by URI through the active session's file systems."""
+        base = str(path).rsplit("/", 1)[0] if "://" in str(path) else Path(path).parent
+        return cls.from_json(json.loads(_read(None, str(path))), base)
 
     @classmethod
-    def from_json(cls, document: Mapping[str, Any], base: Path | None = None) -> DatasetConfig:
+    def from_json(cls, document: Mapping[str, Any], base: Path | str | None = None) -> DatasetConfig:
         program = document.get("transformations", {})
         stores: dict[str, Mapping[str, Any]] = {}
         for store in program.get("rule_stores", ()):  # a later store overrides an earlier one
             if store.get("store_type", "json") != "json":
                 raise ConfigError(f"unknown rule store type {store['store_type']!r}")
-            stores |= json.loads(((base or Path()) / store["filename"]).read_text()) if "filename" in store else store["rules"]
+            stores |= json.loads(_read(base, store["filename"])) if "filename" in store else store["rules"]
         rules = [
             _complex_rule(spec, stores, added) for spec, added in _with_earlier(program.get("complex_rules", ()))
         ]
         root = _rule("root", program, stores, {})
         return cls(
             Contract.from_json(document.get("contract", {}), base), (*rules, root), dict(program.get("parameters", {})),
-            dict(program.get("reference_data", {})), base,
+            dict(program.get("reference_data", {})), base, program.get("templating_strategy", "upfront"),
         )
 
 

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import json
-import shutil
 import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +18,13 @@ from lakewarden.operators.index import add_record_index
 from lakewarden.plans.audit import AuditLog
 from lakewarden.plans.config import DatasetConfig
 from lakewarden.plans.contract import apply_contract, raw_schema, reject_records
-from lakewarden.plans.messages import submission_message
+from lakewarden.plans.messages import distinct_messages, from_mapping, submission_message
 from lakewarden.plans.report import FILE_REJECTION, aggregates, project, statistics, type_totals, write_report
 from lakewarden.plans.rules import Outcome, evaluate, union_messages
+from lakewarden.sources.files import Files, extension_of, name_of, stem_of
 from lakewarden.sources.readers import ReaderError, SubmissionRejected, read_entity
 from lakewarden.sources.reference import loader
-from lakewarden.sources.sinks import count_rows, write_entities, write_messages, write_parquet, write_processing_error
+from lakewarden.sources.sinks import count_rows, describe_error, write_entities, write_messages, write_parquet, write_processing_error
 
 
 class Engine:
@@ -44,7 +43,7 @@ class Engine:
     def read(self, entity: str, path: str) -> DataFrame:
         """An entity from a file, by the reader of its extension."""
         readers = self.config.contract.datasets[entity].readers
-        extension = Path(path).suffix.lower()
+        extension = extension_of(path)
         if extension not in readers:
             if extension in ("", ".parquet"):
                 return self.spark.read.parquet(path)
@@ -55,7 +54,7 @@ class Engine:
         return {name: d.reporting_fields for name, d in self.config.contract.datasets.items()}
 
     def rules(self, entities: Mapping[str, DataFrame], extra: Mapping[str, DataFrame] | None = None, hold=None) -> Outcome:
-        return evaluate(self.catalog(entities, extra), self.config.rules, self.config.parameters, self.keys(), hold)
+        return evaluate(self.catalog(entities, extra), self.config.rules, self.config.parameters, self.keys(), hold, self.config.templating)
 
     def run(self, raw: Mapping[str, DataFrame], folder: str | None = None, reject: bool = False) -> Outcome:
         """Contract, then rules. With ``folder`` stages are written there, otherwise all stays one lazy plan."""
@@ -94,23 +93,24 @@ class Submission:
     info: Mapping[str, Any] = field(default_factory=dict)
 
 
-def discover(folder: str) -> tuple[list[Submission], list[list[str]]]:
-    """Files in a folder that stand beside ``<stem>.metadata.json``. A lone file waits for its partner; a stem with
-    more than two files is returned for the dead letters."""
-    groups: dict[str, list[Path]] = {}
-    for place in sorted(Path(folder).iterdir()):
-        if place.is_file():
-            stem = place.name.removesuffix(".metadata.json") if place.name.endswith(".metadata.json") else place.name.split(".")[0]
+def discover(folder: str, spark: SparkSession | None = None) -> tuple[list[Submission], list[list[str]]]:
+    """Files in a folder of any store that stand beside ``<stem>.metadata.json``. A lone file waits for its partner; a
+    stem with more than two files is returned for the dead letters."""
+    files_of = Files(spark or SparkSession.active())
+    groups: dict[str, list[str]] = {}
+    for place in files_of.files(folder):
+        name = name_of(place)
+        if not name.startswith((".", "_")):
+            stem = name.removesuffix(".metadata.json") if name.endswith(".metadata.json") else name.split(".")[0]
             groups.setdefault(stem, []).append(place)
     found, dead = [], []
     for files in groups.values():
-        sidecars = [f for f in files if f.name.endswith(".metadata.json")]
+        sidecars = [f for f in files if f.endswith(".metadata.json")]
         if len(files) == 2 and len(sidecars) == 1:
-            info = json.loads(sidecars[0].read_text())
-            data = next(f for f in files if f != sidecars[0])
-            found.append(Submission(str(data), info["dataset_id"], info=info))
+            info = json.loads(files_of.read_text(sidecars[0]))
+            found.append(Submission(next(f for f in files if f != sidecars[0]), info["dataset_id"], info=info))
         elif len(files) > 2:
-            dead.append([str(f) for f in files])
+            dead.append(files)
     return found, dead
 
 
@@ -139,21 +139,20 @@ class Pipeline:
 
     def receive(self, submission: Submission) -> None:
         if self.audit:
-            place = Path(submission.path)
             known = ("submission_method", "submitting_org", "reporting_period_start", "reporting_period_end")
-            row = {"submission_id": submission.submission_id, "dataset_id": submission.dataset_id, "file_name": place.stem, "file_extension": place.suffix.lstrip("."), "file_size": place.stat().st_size}
+            row = {"submission_id": submission.submission_id, "dataset_id": submission.dataset_id, "file_name": stem_of(submission.path), "file_extension": extension_of(submission.path).lstrip("."), "file_size": Files(self.spark).size(submission.path)}
             self.audit.add("submission_info", [{**row, **{k: submission.info.get(k) for k in known}}])
             self._mark("received", submission)
 
     def transform(self, submission: Submission, folder: str) -> tuple[dict[str, DataFrame], DataFrame | None]:
-        """Strings as Parquet for every entity; a refused file gives a message instead."""
-        engine, staged = self.engines[submission.dataset_id], {}
-        try:
-            for name in engine.config.contract.datasets:
+        """Strings as Parquet for every entity; if a reader refuses the file, what all of them say of it, once each."""
+        engine, staged, refused = self.engines[submission.dataset_id], {}, []
+        for name in engine.config.contract.datasets:
+            try:
                 staged[name] = add_record_index(write_parquet(engine.read(name, submission.path), f"{folder}/transform/{name}"))
-        except SubmissionRejected as error:
-            return {}, submission_message(self.spark, error.code, error.text, value=error.value)
-        return staged, None
+            except SubmissionRejected as error:
+                refused.append(submission_message(self.spark, error.code, error.text, value=error.value))
+        return (staged, None) if not refused else ({}, distinct_messages(union_messages(refused)))
 
     def run(self, submission: Submission) -> Status:
         """All stages of one submission; nothing is raised, what fails is recorded."""
@@ -181,7 +180,7 @@ class Pipeline:
                 parts.append(contract_messages)
                 stage = "business_rules"
                 self._mark(stage, submission)
-                info = self.spark.createDataFrame([(submission.submission_id, submission.dataset_id, Path(submission.path).stem)], "submission_id string, dataset_id string, file_name string")
+                info = self.spark.createDataFrame([(submission.submission_id, submission.dataset_id, stem_of(submission.path))], "submission_id string, dataset_id string, file_name string")
                 step = iter(range(1 << 30))
                 outcome = engine.rules(typed, {"submission_info": info}, lambda f: write_parquet(f, f"{folder}/filters/{next(step)}"))
                 catalog = outcome.catalog
@@ -194,12 +193,17 @@ class Pipeline:
                 records = count_rows(typed.get(f"Original{main}", next(iter(typed.values()))))
         except ReaderError as error:
             status = Status(processing_failed=True)
-            write_processing_error(folder, stage, error)
+            parts.append(self._failed(folder, stage, error))
         except Exception as error:  # recorded and reported; one submission must not stop the others
             status = Status(status.validation_failed, True)
-            write_processing_error(folder, stage, error)
+            parts.append(self._failed(folder, stage, error))
         return self.report(submission, folder, parts, records, status)
 
+    def _failed(self, folder: str, stage: str, error: Exception) -> DataFrame:
+        """Record a failure of the engine; the report says it too, without the traceback."""
+        write_processing_error(self.spark, folder, stage, error)
+        return from_mapping(self.spark, [describe_error(error, stage)])
+
     def report(self, submission: Submission, folder: str, parts: list[DataFrame], records: int | None, status: Status) -> Status:
         self._mark("error_report", submission)
         messages = union_messages(parts, None) if parts else None
@@ -212,18 +216,17 @@ class Pipeline:
             numbers = statistics(counted, records)
             if self.audit and numbers:
                 self.audit.add("submission_statistics", [{"submission_id": submission.submission_id, **numbers}])
-            details = {"Submission": submission.submission_id, "File": Path(submission.path).name, "Dataset": submission.dataset_id}
+            details = {"Submission": submission.submission_id, "File": name_of(submission.path), "Dataset": submission.dataset_id}
             write_report(f"{folder}/error_report.xlsx", messages, list(self.engines[submission.dataset_id].config.contract.datasets), details, status.processing_failed)
         self._mark("failed" if status.processing_failed else "success", submission, status.result)
         return status
 
     def run_folder(self, folder: str, max_workers: int = 7, dead_letters: str | None = None) -> dict[str, Status]:
         """Every submission of a folder, several at a time; Spark's scheduler shares the cluster among them."""
-        found, dead = discover(folder)
+        found, dead = discover(folder, self.spark)
         for files in dead if dead_letters else []:
-            Path(dead_letters).mkdir(parents=True, exist_ok=True)
             for name in files:
-                shutil.move(name, dead_letters)
+                Files(self.spark).move(name, dead_letters)
         with ThreadPoolExecutor(max_workers) as pool:
             return dict(zip([s.submission_id for s in found], pool.map(self.run, found), strict=True))
 

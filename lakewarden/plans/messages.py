@@ -165,6 +165,11 @@ def submission_message(spark: Any, code: str, text: str, *, entity: str | None =
     return spark.createDataFrame([row], MESSAGE_SCHEMA)
 
 
+def distinct_messages(frame: DataFrame) -> DataFrame:
+    """Messages without repeats, for those about files: one file read for several entities says the same each time."""
+    return frame.distinct()
+
+
 def from_mapping(spark: Any, rows: Sequence[Mapping[str, Any]]) -> DataFrame:
     """Messages from dictionaries with some of the columns."""
     return spark.createDataFrame([tuple(r.get(f.name) for f in MESSAGE_SCHEMA) for r in rows], MESSAGE_SCHEMA)

@@ -10,6 +10,8 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.sources.files import Files
+
 # The names of message types and the verdicts on a submission.
 FILE_REJECTION, RECORD_REJECTION, WARNING = "File Rejection", "Record Rejection", "Warning"
 PROCESSING_FAILED = "There was an issue processing the submission. Please contact support."
@@ -102,9 +104,9 @@ _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
-def write_xlsx(path: str, sheets: Mapping[str, Iterable[Sequence[Any]]]) -> None:
-    """A workbook from the standard library alone. Rows stream into the archive; a sheet that fills up goes on in
-    another one (``name_2`` and so on)."""
+def write_xlsx(path: str | Any, sheets: Mapping[str, Iterable[Sequence[Any]]]) -> None:
+    """A workbook from the standard library alone, to a local path or an open file that need not seek. Rows stream into
+    the archive; a sheet that fills up goes on in another one (``name_2`` and so on)."""
     names: list[str] = []
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
         for name, rows in sheets.items():
@@ -151,8 +153,11 @@ def write_report(path: str, messages: DataFrame, tables: Sequence[str], details:
     columns = ["Type", "Table", "Data_Item", "Category", "Error_Code", "Count"]
 
     def rows() -> Iterable[Sequence[Any]]:
+        """Type by type, a partition at a time: in order without a sort."""
         yield report.columns
-        yield from report.orderBy("Type").toLocalIterator()
+        for kind in found:
+            yield from report.where(F.col("Type") == kind).toLocalIterator()
 
-    write_xlsx(path, {"Summary": summary, "Error Summary": [columns, *[[r[c] for c in columns] for r in counted]], "Error Data": rows()})
+    with Files(messages.sparkSession).output(path) as out:
+        write_xlsx(out, {"Summary": summary, "Error Summary": [columns, *[[r[c] for c in columns] for r in counted]], "Error Data": rows()})
     return verdict(found, processing_failed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -14,6 +14,9 @@ from lakewarden.plans.messages import MESSAGE_SCHEMA
 from lakewarden.plans.templating import render
 
 
+STRATEGIES = ("upfront", "runtime")
+
+
 class CriticalFailure(RuntimeError):
     """A filter whose failure must stop the run has failed for some record."""
 
@@ -57,22 +60,28 @@ def evaluate(
     parameters: Mapping[str, Any] | None = None,
     keys: Mapping[str, Sequence[str]] | None = None,
     hold: Callable[[DataFrame], DataFrame] | None = None,
+    templating: str = "upfront",
 ) -> Outcome:
     """Run a program. ``keys`` names each entity's key fields; ``hold`` may persist or stage the flagged rows, which
-    both messages and survivors read. Only critical filters run a job here."""
+    both messages and survivors read. Only critical filters run a job here. Templates are rendered ``upfront``, so that
+    one that can't be rendered or built stops the run before any step, or at ``runtime``, each before its step."""
     from lakewarden.plans.config import build_filter, build_step
 
     parameters, keys = parameters or {}, keys or {}
-    scopes = {id(rule): {**parameters, **rule.parameters} for rule in rules}
-    for rule in rules:
-        for spec in rule.pre_sync:
-            catalog = build_step(render(spec, scopes[id(rule)])).run(catalog)
+    if templating not in STRATEGIES:
+        raise ValueError(f"unknown templating strategy {templating!r}")
+
+    def built(phase: str, build: Callable) -> Iterable:
+        made = (build(render(spec, {**parameters, **rule.parameters})) for rule in rules for spec in getattr(rule, phase))
+        return list(made) if templating == "upfront" else made
+
+    before, filters_of, after = built("pre_sync", build_step), built("sync_filters", build_filter), built("post_sync", build_step)
+    for step in before:
+        catalog = step.run(catalog)
 
     by_entity: dict[str, list] = {}
-    for rule in rules:
-        for spec in rule.sync_filters:
-            own = build_filter(render(spec, scopes[id(rule)]))
-            by_entity.setdefault(own.entity, []).append(own)
+    for own in filters_of:
+        by_entity.setdefault(own.entity, []).append(own)
     messages: list[DataFrame] = []
     for entity, filters in by_entity.items():
         frame = catalog[entity] if hold is None else hold(catalog[entity])
@@ -84,9 +93,8 @@ def evaluate(
         messages.append(found.messages)
         catalog = catalog.put(entity, found.survivors)
 
-    for rule in rules:
-        for spec in rule.post_sync:
-            catalog = build_step(render(spec, scopes[id(rule)])).run(catalog)
+    for step in after:
+        catalog = step.run(catalog)
     return Outcome(catalog, union_messages(messages, catalog))
 
 

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.operators.index import add_record_index
+from lakewarden.sources.files import Files
 
 HEAD_BYTES = 4096
+CORRUPT = "_corrupt_record"
 NULL_TOKENS = ("NULL", "null", "")
 
 
@@ -28,6 +30,21 @@ class EmptyFileError(ReaderError):
     pass
 
 
+#: Options that documents may hold for readers of other kinds and that mean nothing here.
+IGNORED_OPTIONS = {"spark_session", "connection", "rules_location", "json_format"}
+
+
+def _refuse_unknown(reader: str, options: Mapping[str, Any]) -> None:
+    unknown = sorted(set(options) - IGNORED_OPTIONS)
+    if unknown:
+        raise ReaderError(f"the {reader} reader has no option {', '.join(unknown)}")
+
+
+def charset(encoding: str) -> str:
+    """The name that Java knows a character set by; a byte order mark is skipped in any case."""
+    return "utf-8" if encoding.lower() in ("utf-8-sig", "utf8", "utf_8_sig") else encoding
+
+
 @dataclass
 class SubmissionRejected(ReaderError):
     """The file as a whole is refused; becomes a submission message."""
@@ -63,19 +80,7 @@ def get_reader(name: str) -> Reader:
 
 def head_of(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
     """The first bytes of a file (of the first file of a folder), through Spark's file systems."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if store.getFileStatus(place).isDirectory():
-        files = sorted(str(s.getPath()) for s in store.listStatus(place) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
-        if not files:
-            return b""
-        place = jvm.org.apache.hadoop.fs.Path(files[0])
-    stream = store.open(place)
-    try:
-        return bytes(stream.readNBytes(size))
-    finally:
-        stream.close()
+    return Files(spark).head(path, size)
 
 
 def guard(spark: SparkSession, path: str) -> bytes:
@@ -138,7 +143,14 @@ def stringified(frame: DataFrame, schema: T.StructType | None = None) -> DataFra
 
 def _csv_options(options: Mapping[str, Any]) -> dict[str, Any]:
     names = {"delimiter": "sep", "delim": "sep", "quote_char": "quote", "quotechar": "quote", "escape_char": "escape", "encoding": "encoding"}
-    return {names[k]: v for k, v in options.items() if k in names and v is not None}
+    _refuse_unknown("CSV", {k: v for k, v in options.items() if k not in names})
+    return {names[k]: charset(v) if k == "encoding" else v for k, v in options.items() if k in names and v is not None}
+
+
+def _header_line(spark: SparkSession, path: str, options: Mapping[str, Any]) -> list[str]:
+    """The cells of the first line, as far as the head of the file has it."""
+    first = head_of(spark, path).decode(options.get("encoding") or "utf-8", errors="replace").splitlines()[:1]
+    return first[0].split(options.get("delimiter") or options.get("delim") or ",") if first else []
 
 
 @register_reader("csv")
@@ -153,7 +165,13 @@ def read_csv(
         raise ReaderError("a CSV file can't hold nested fields")
     guard(spark, path)
     reader = spark.read.options(header=header, multiLine=multi_line, inferSchema=False, enforceSchema=False, nullValue="\x01", emptyValue="", **_csv_options(options))
-    raw = reader.csv(path)
+    try:
+        raw = reader.csv(path)
+    except Exception as error:
+        code, text = field_check_error_code, field_check_error_message or "The file can't be read as CSV"
+        raise SubmissionRejected(code, text, "Unable to parse file. Please check the structure of the file.") from error
+    if header and not any(c.strip().strip("\ufeff") for c in _header_line(spark, path, options)):
+        raise SubmissionRejected(field_check_error_code, field_check_error_message or "The file can't be read as CSV", "Unable to parse file. Please check the structure of the file.")
     if header:
         names = [c.strip().strip("﻿") for c in raw.columns]
         if field_check:
@@ -169,13 +187,16 @@ def read_csv(
 
 
 @register_reader("repeating_header_csv")
-def read_repeating_header(spark: SparkSession, path: str, schema: T.StructType, **options: Any) -> DataFrame:
+def read_repeating_header(
+    spark: SparkSession, path: str, schema: T.StructType, *, non_unique_header_error_code: str = "NonUniqueHeader",
+    non_unique_header_error_message: str | None = None, **options: Any,
+) -> DataFrame:
     """One row of columns that repeat on every line; several different ones reject the submission."""
     distinct = read_csv(spark, path, schema, **options).distinct()
     rows = distinct.limit(SHOWN_HEADERS + 1).collect()
     if len(rows) > 1:
         differing = [f"{name}: {', '.join(sorted({str(r[name]) for r in rows}))}" for name in schema.names if len({r[name] for r in rows}) > 1]
-        raise SubmissionRejected("NonUniqueHeader", "The header values are not the same on every line", "; ".join(differing))
+        raise SubmissionRejected(non_unique_header_error_code, non_unique_header_error_message or "The header values are not the same on every line", "; ".join(differing))
     return distinct
 
 
@@ -184,9 +205,10 @@ SHOWN_HEADERS = 10
 
 
 @register_reader("json")
-def read_json(spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = True, encoding: str = "utf-8", **_: Any) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = True, encoding: str = "utf-8", **options: Any) -> DataFrame:
+    _refuse_unknown("JSON", options)
     guard(spark, path)
-    return spark.read.schema(schema).json(path, multiLine=multi_line, encoding=encoding)
+    return spark.read.schema(schema).json(path, multiLine=multi_line, encoding=charset(encoding))
 
 
 @register_reader("xml")
@@ -194,32 +216,130 @@ def read_xml(
     spark: SparkSession, path: str, schema: T.StructType, *, record_tag: str, root_tag: str | None = None, trim_cells: bool = True,
     null_values: Sequence[str] = NULL_TOKENS, sanitise_multiline: bool = True, n_records_to_read: int | None = None,
     xsd_location: str | None = None, xsd_error_code: str = "XSDValidationError", xsd_error_message: str | None = None,
-    encoding: str = "utf-8", exclude_attribute: bool = True, **_: Any,
+    encoding: str = "utf-8", exclude_attribute: bool = True, ignore_namespace: bool = True, namespace: str | None = None,
+    mode: str = "PERMISSIVE", infer_schema: bool = False, sampling_ratio: float = 1.0, **options: Any,
 ) -> DataFrame:
-    """Records are the elements of ``record_tag`` under any namespace prefix."""
+    """Records are the elements of ``record_tag``, under any namespace prefix or that of ``namespace``.
+
+    With ``root_tag`` they are the children of such elements only. Where that is the document's own root all records are
+    below it, so each is a row from the start; otherwise a row is one ``root_tag`` element, whose records are exploded.
+    ``infer_schema`` reads what is there (from a share of ``sampling_ratio``) and fits it to the schema afterwards, so that
+    a single element and a list of them are both lists. Of a file that ends too early the whole rows are read: an element
+    that nothing closes is none.
+    """
+    _refuse_unknown("XML", options)
+    if mode not in ("PERMISSIVE", "DROPMALFORMED", "FAILFAST"):
+        raise ReaderError(f"the XML reader has no mode {mode!r}")
     head = guard(spark, path).decode(encoding, errors="replace")
     if xsd_location:
-        _validate_xsd(spark, path, head, xsd_location, xsd_error_code, xsd_error_message)
-    frame = spark.read.format("xml").options(
-        rowTag=record_tag, ignoreNamespace=True, excludeAttribute=exclude_attribute, charset=encoding, nullValue="", mode="PERMISSIVE",
-    ).schema(schema).load(path)
+        _validate_xsd(spark, path, xsd_location, xsd_error_code, xsd_error_message)
+    root = _root_of(head)
+    inner = root_tag is not None and root_tag != root.split(":")[-1] and root_tag != root
+    tag = root_tag if inner else record_tag
+    by_prefix = namespace is not None or not ignore_namespace
+    reader = spark.read.format("xml").options(
+        rowTag=f"{namespace}:{tag}" if namespace else tag, ignoreNamespace=not by_prefix, excludeAttribute=exclude_attribute, charset=charset(encoding),
+        nullValue="", mode=mode, samplingRatio=sampling_ratio, inferSchema=False, columnNameOfCorruptRecord=CORRUPT,
+    )
+    inside = T.StructType([T.StructField(f"{namespace}:{record_tag}" if namespace else record_tag, T.ArrayType(schema))]) if inner else schema
+    if infer_schema:
+        frame = reader.load(path)
+    else:
+        wanted = _prefixed(inside, namespace) if namespace else inside
+        frame = reader.schema(T.StructType([*wanted, T.StructField(CORRUPT, T.StringType())])).load(path)
+    if CORRUPT in frame.columns:
+        closed = F.col(CORRUPT).rlike(rf"</([\w.-]+:)?{tag}\s*>\s*$")
+        # Spark refuses a scan of nothing but the text of corrupt rows, so the test names another column too.
+        other = F.length(F.concat(F.coalesce(F.col(CORRUPT), F.lit("")), F.isnull(F.col(f"`{frame.columns[0]}`")).cast("string"))) > 0
+        frame = frame.where((F.col(CORRUPT).isNull() | closed) & other).drop(CORRUPT)
+    if namespace:
+        frame = frame.select(*[F.col(f"`{f.name}`").cast(_plain(f.dataType, namespace)).alias(_local_name(f.name, namespace)) for f in frame.schema])
+    if inner:
+        held = next((f for f in frame.schema if f.name.lower() == record_tag.lower()), None)
+        if held is None:
+            frame = spark.createDataFrame([], schema)
+        else:
+            several = F.col(f"`{held.name}`") if isinstance(held.dataType, T.ArrayType) else F.array(F.col(f"`{held.name}`"))
+            frame = frame.select(F.explode(several).alias("record")).where("record IS NOT NULL").select("record.*")
+    if infer_schema:
+        frame = fitted(frame, schema)
     if n_records_to_read is not None:
         frame = frame.limit(n_records_to_read)
     clean = lambda c: blank_to_null(one_line(c) if sanitise_multiline else c, null_values, trim_cells)
     return _clean_strings(frame, clean)
 
 
-def _validate_xsd(spark: SparkSession, path: str, head: str, xsd: str, code: str, message: str | None) -> None:
-    """The whole document is one row, and Spark's own validation marks it as corrupt if it doesn't fit."""
+def _root_of(head: str) -> str:
+    """The name of a document's first element, with its prefix."""
     import re
 
-    root = re.search(r"<([A-Za-z_][\w.:-]*)", re.sub(r"<[?!][^>]*>", "", head))
-    if root is None:
-        raise ReaderError(f"{path} has no element")
-    schema = T.StructType([T.StructField("_unused", T.StringType()), T.StructField("_corrupt_record", T.StringType())])
-    row = spark.read.format("xml").options(rowTag=root[1], rowValidationXSDPath=xsd, mode="PERMISSIVE").schema(schema).load(path).limit(1).collect()
-    if not row or row[0]["_corrupt_record"] is not None:
-        raise SubmissionRejected(code, message or "The file does not fit its schema definition")
+    found = re.search(r"<([A-Za-z_][\w.:-]*)", re.sub(r"<!--.*?-->|<[?!][^>]*>", "", head, flags=re.DOTALL))
+    if found is None:
+        raise ReaderError("the file has no element")
+    return found[1]
+
+
+def _local_name(name: str, namespace: str) -> str:
+    return name.removeprefix(f"{namespace}:")
+
+
+def _prefixed(kind: T.DataType, namespace: str) -> T.DataType:
+    """The type with its field names under a prefix, as they stand in the file."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name if f.name.startswith(("_", f"{namespace}:")) else f"{namespace}:{f.name}", _prefixed(f.dataType, namespace)) for f in kind])
+    return T.ArrayType(_prefixed(kind.elementType, namespace)) if isinstance(kind, T.ArrayType) else kind
+
+
+def _plain(kind: T.DataType, namespace: str) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(_local_name(f.name, namespace), _plain(f.dataType, namespace)) for f in kind])
+    return T.ArrayType(_plain(kind.elementType, namespace)) if isinstance(kind, T.ArrayType) else kind
+
+
+def fitted(frame: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns of any shape in that of a schema, at every depth: strings, single elements in lists, missing fields null."""
+
+    def fit(column: Column, have: T.DataType, want: T.DataType) -> Column:
+        if isinstance(want, T.ArrayType):
+            if not isinstance(have, T.ArrayType):
+                return F.when(column.isNotNull(), F.array(fit(column, have, want.elementType)))
+            return F.transform(column, lambda x: fit(x, have.elementType, want.elementType))
+        if isinstance(want, T.StructType):
+            if not isinstance(have, T.StructType):
+                return F.lit(None).cast(want)
+            return F.when(column.isNotNull(), F.struct(*[field(lambda name: column.getField(name), have, f) for f in want]))
+        if isinstance(have, T.StructType):  # an element with attributes keeps its text apart
+            return column.getField("_VALUE").cast("string") if "_VALUE" in have.names else F.lit(None).cast("string")
+        return column.cast("string")
+
+    def field(get: Callable[[str], Column], have: T.StructType, want: T.StructField) -> Column:
+        found = next((f for f in have if f.name.lower() == want.name.lower()), None)
+        return (F.lit(None).cast(want.dataType) if found is None else fit(get(found.name), found.dataType, want.dataType)).alias(want.name)
+
+    return frame.select(*[field(lambda name: F.col(f"`{name}`"), frame.schema, f) for f in schema])
+
+
+def _validate_xsd(spark: SparkSession, path: str, xsd: str, code: str, message: str | None) -> None:
+    """The file streams through the JVM's validator, which holds no more of it than the open elements. Entities and
+    schemas elsewhere are not fetched."""
+    jvm, files = spark.sparkContext._jvm, Files(spark)
+    constants = jvm.javax.xml.XMLConstants
+    factory = jvm.javax.xml.validation.SchemaFactory.newInstance(constants.W3C_XML_SCHEMA_NS_URI)
+    source = jvm.javax.xml.transform.stream.StreamSource
+    schema, data = files.input(xsd), files.input(path)
+    try:
+        validator = factory.newSchema(source(schema)).newValidator()
+        for name in (constants.ACCESS_EXTERNAL_DTD, constants.ACCESS_EXTERNAL_SCHEMA):
+            validator.setProperty(name, "")
+        validator.validate(source(data))
+    except Exception as error:
+        reason = getattr(error, "java_exception", None)
+        if reason is None or "SAX" not in reason.getClass().getName():
+            raise
+        raise SubmissionRejected(code, message or "The file does not fit its schema definition", str(reason.getMessage())[:500]) from error
+    finally:
+        schema.close()
+        data.close()
 
 
 @register_reader("parquet")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import traceback
-from pathlib import Path
+import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.operators.index import drop_record_index
+from lakewarden.sources.files import Files
 
 
 def write_parquet(frame: DataFrame, path: str) -> DataFrame:
@@ -31,19 +32,19 @@ def write_messages(messages: DataFrame, folder: str, stage: str) -> str:
     return place
 
 
-def write_processing_error(folder: str, stage: str, error: BaseException) -> str:
-    """A failure of the engine itself; one line on the driver."""
-    place = Path(folder) / "processing_errors" / "processing_errors.jsonl"
-    place.parent.mkdir(parents=True, exist_ok=True)
+def write_processing_error(spark: SparkSession, folder: str, stage: str, error: BaseException) -> str:
+    """A failure of the engine itself, one line in a file of its own below ``processing_errors/processing_errors.jsonl``
+    (not every store can append), which Spark reads as one table."""
+    place = f"{folder}/processing_errors/processing_errors.jsonl"
     row: dict[str, Any] = {"step_name": stage, "error_location": "processing", "error_level": "integrity", "error_message": str(error), "error_traceback": traceback.format_exception(error)}
-    with place.open("a") as out:
-        out.write(json.dumps(row) + "\n")
-    return str(place)
+    Files(spark).write_text(f"{place}/{stage}-{uuid.uuid4().hex}.json", json.dumps(row) + "\n")
+    return place
 
 
-def describe_error(error: BaseException, entity: str | None = None) -> dict[str, Any]:
-    """An exception as the columns of an integrity message."""
-    return {"Entity": entity, "Key": "", "FailureType": "integrity", "Status": "error", "ErrorType": type(error).__name__, "ErrorMessage": str(error), "Category": "Bad file"}
+def describe_error(error: BaseException, stage: str, entity: str | None = None) -> dict[str, Any]:
+    """Any exception as the columns of an integrity message."""
+    text = f"Unexpected error ({type(error).__name__}: {error}) in {stage}"
+    return {"Entity": entity, "Key": "", "FailureType": "integrity", "Status": "error", "ErrorType": type(error).__name__, "ErrorMessage": text, "Category": "Bad file"}
 
 
 def count_rows(frame: DataFrame) -> int:

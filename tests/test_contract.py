@@ -110,7 +110,7 @@ def test_missing_columns_are_typed_null(spark):
 
 
 def test_warnings_and_field_functions(spark):
-    document = {"datasets": {"p": {"fields": {"nhs": "nhsnumber", "word": {"type": "str", "functions": [{"name": "exclude_word", "kwargs": {"word": "no"}, "error_type": "warning", "error_message": "has no"}]}}}}}
+    document = {"datasets": {"p": {"fields": {"nhs": "nhsnumber", "word": {"type": "str", "functions": [{"name": "split", "kwargs": {"split_on": "-", "keep": 1}, "error_type": "warning", "error_message": "one part"}, {"name": "exclude_word", "kwargs": {"word": "NO"}}]}}}}}
     out = apply_contract(Contract.from_json(document), "p", spark.createDataFrame([("9434765919", "no way")], "nhs string, word string"))
     assert sorted((m.Status, m.ErrorCode, m.Category) for m in out.messages.collect()) == [("informational", "WrongFormat", "Wrong format")] * 2
 

@@ -129,13 +129,98 @@ def test_pipeline_over_a_folder(spark, tmp_path, rows):
     assert len(spark.read.parquet(f"{tmp_path}/work/{key}/business_rules/Originalplanets").collect()) == 4
     assert zipfile.is_zipfile(f"{tmp_path}/work/{key}/error_report.xlsx")
     broken = next(k for k, v in names.items() if v == "empty")
-    assert (tmp_path / "work" / broken / "processing_errors" / "processing_errors.jsonl").exists()
+    failures = spark.read.json(f"{tmp_path}/work/{broken}/processing_errors/processing_errors.jsonl").collect()
+    assert len(failures) == 1 and failures[0].step_name == "file_transformation" and "is empty" in failures[0].error_message
+    said = spark.read.json(f"{tmp_path}/work/{broken}/errors/all_errors.jsonl").collect()
+    assert [(r.FailureType, r.ErrorType) for r in said] == [("integrity", "EmptyFileError")]
+    assert sorted(p.name for p in (tmp_path / "dead").iterdir() if not p.name.startswith(".")) == ["a.csv", "a.metadata.json", "a.xml"]
     assert audit.queue("failed").count() == 1 and audit.lookup("submission_info", [("file_name", "in", ["good", "mixed"])]).count() == 2
     assert sum(audit.downstream_pending(1, k, 3, ("success", "failed")).count() for k in range(3)) == 4
     audit.export(key, str(tmp_path / "export"))
     assert spark.read.parquet(str(tmp_path / "export" / "submission_statistics.parquet")).count() == 1
 
 
+def test_pipeline_by_uri(spark, tmp_path, rows):
+    """Documents, submissions and work through a URI of Spark's file systems."""
+    base = f"file://{tmp_path}"
+    for name in ("in", "cfg"):
+        (tmp_path / name).mkdir()
+    twice = json.loads(json.dumps(DOCUMENT))
+    twice["contract"]["datasets"]["orbits"] = twice["contract"]["datasets"]["planets"]
+    (tmp_path / "cfg" / "p.json").write_text(json.dumps(twice))
+    submission(tmp_path / "in", "good", "planet,mass,moons\nearth,5.9,1\n")
+    submission(tmp_path / "in", "bad", "planet,weight\nearth,1\n")
+    pipeline = Pipeline(spark, {"planets": DatasetConfig.load(f"{base}/cfg/p.json")}, f"{base}/work")
+    found, _ = discover(f"{base}/in", spark)
+    results = {s.path.rsplit("/", 1)[1]: (s, pipeline.run(s).result) for s in found}
+    assert {name: r for name, (_, r) in results.items()} == {"good.csv": "success", "bad.csv": "validation_failed"}
+    # One file, read for two entities, is refused once.
+    bad = results["bad.csv"][0].submission_id
+    assert spark.read.json(f"{base}/work/{bad}/errors/all_errors.jsonl").count() == 1
+    assert zipfile.is_zipfile(tmp_path / "work" / bad / "error_report.xlsx")
+
+
+def test_xml_root_namespace_inference_and_cut_files(spark, tmp_path, rows):
+    place = tmp_path / "x.xml"
+    place.write_text(
+        '<?xml version="1.0"?><!-- <nothing> --><f xmlns:n="u" xmlns:m="v"><old><r><a>0</a></r></old><new><r><a>1</a><p><q>x</q></p></r><r><a>2</a><p><q>y</q></p><p><q>z</q></p></r></new>'
+        "<new><r><a> 3 </a></r></new><n:r><n:a>4</n:a><n:p><n:q>w</n:q></n:p></n:r><m:r><m:a>5</m:a></m:r></f>"
+    )
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("p", T.ArrayType(strings("q"))), T.StructField("gone", T.StringType())])
+    read = lambda **o: sorted((r.a, tuple(q.q for q in r.p or ()), r.gone) for r in readers.read_xml(spark, str(place), schema, record_tag="r", **o).collect())
+    new = [("1", ("x",), None), ("2", ("y", "z"), None), ("3", (), None)]
+    assert read(root_tag="new") == new == read(root_tag="new", infer_schema=True)
+    assert read(root_tag="f") == read() == sorted([("0", (), None), *new, ("4", ("w",), None), ("5", (), None)])
+    assert read(namespace="n") == [("4", ("w",), None)]
+    assert read(root_tag="none") == []
+    for wrong in ({"mode": "ANY"}, {"colour": "red"}):
+        with pytest.raises(readers.ReaderError):
+            read(**wrong)
+    cut = tmp_path / "cut.xml"
+    cut.write_text("<f><r><a>1</a></r><r><a>2</a></r><r><a>3</")
+    assert [r.a for r in readers.read_xml(spark, str(cut), schema, record_tag="r").collect()] == ["1", "2"]
+
+
+def test_reader_options_and_unreadable_csv(spark, tmp_path):
+    place = tmp_path / "a.csv"
+    place.write_bytes("\ufeffa,b\n1,é\n".encode())
+    assert [tuple(r) for r in readers.read_csv(spark, str(place), strings("a", "b"), encoding="utf-8-sig").collect()] == [("1", "é")]
+    with pytest.raises(readers.ReaderError):
+        readers.read_csv(spark, str(place), strings("a"), colour="red")
+    with pytest.raises(readers.ReaderError):
+        readers.read_json(spark, str(place), strings("a"), colour="red")
+    place.write_text(" \n1\n")
+    with pytest.raises(readers.SubmissionRejected) as error:
+        readers.read_csv(spark, str(place), strings("a"), field_check_error_code="X")
+    assert error.value.code == "X" and "Unable to parse" in error.value.value
+    place.write_text("org\nA\nB\n")
+    with pytest.raises(readers.SubmissionRejected) as error:
+        readers.read_repeating_header(spark, str(place), strings("org"), non_unique_header_error_code="Y", non_unique_header_error_message="differ")
+    assert (error.value.code, error.value.text) == ("Y", "differ")
+
+
+def test_audit_appends_are_tried_again(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    audit = AuditLog(spark, pool="t2")
+    plain, failures = DataFrameWriter.insertInto, []
+
+    def unlucky(self, name, *rest):
+        """Fails once before and once after the rows are there."""
+        failures.append(name)
+        if len(failures) != 2:
+            plain(self, name, *rest)
+        if len(failures) in (2, 4):
+            raise OSError("another driver's append")
+
+    monkeypatch.setattr(DataFrameWriter, "insertInto", unlucky)
+    monkeypatch.setattr("lakewarden.plans.audit.PAUSE_SECONDS", 0.0)
+    for status in ("received", "data_contract", "success"):
+        audit.mark(status, ["s1", "s2"])
+    assert len(failures) == 4 and audit.table("processing_status").count() == 6
+    assert {r.processing_status for r in audit.latest_status().collect()} == {"success"}
+
+
 def test_report_verdicts_and_workbook(spark, tmp_path):
     assert verdict([]) == ACCEPTED and verdict(["Warning", "File Rejection"]) == REJECTED and verdict([], True) == PROCESSING_FAILED
     messages = from_mapping(spark, [{"Entity": "p", "FailureType": "record", "Status": "error", "ErrorCode": "E", "ReportingField": "f", "ErrorMessage": "<&>", "Category": "Bad value", "RecordIndex": 3}])
