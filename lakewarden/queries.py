@@ -630,3 +630,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         "post_filter_rules": [{"operation": "group_by", "entity": "lineitem", "group_by": "l_returnflag", "agg_columns": {"count(*)": "n", "round(sum(revenue), 2)": "revenue"}, "new_entity_name": "totals"}],
     }})
     return evaluate(catalog(spark, sf_dir, "lineitem"), config.rules).catalog["totals"]
+
+
+from lakewarden import io_queries  # noqa: E402, F401  registers its queries here
