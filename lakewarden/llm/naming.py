@@ -34,7 +34,8 @@ def unused(taken: Iterable[str], *wanted: str) -> list[str]:
 
 
 def without(df: DataFrame, keys: DataFrame, name: str, kind: str = "left_anti") -> DataFrame:
-    """The rows of ``df`` whose column ``name`` is not (``left_semi``: is) in the one column of ``keys``."""
+    """The rows of ``df`` whose column ``name`` is not (``left_semi``: is) in the one column of ``keys``, which may be
+    marked for broadcast by the caller who knows its size."""
     (other,) = unused(df.columns, "key")
     renamed = keys.toDF(other)
     return df.join(renamed, column(name) == column(other), kind).select(*columns(df))

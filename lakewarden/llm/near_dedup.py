@@ -224,7 +224,8 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int =
     Of rows with words that repeat the doc_id that stays, the one whose text has the least hash stays.
     """
     found = stage(near_duplicates(docs, threshold, width, bands).where("n_shingles > 0 AND doc_id IS NOT NULL"), "near-found")
-    staying = without(docs, found.where("NOT kept").select("doc_id").distinct(), "doc_id")
+    dropped = stage(found.where("NOT kept").select("doc_id").distinct(), "near-dropped")
+    staying = without(docs, F.broadcast(dropped) if dropped.count() <= 2 * BROADCAST_ROWS else dropped, "doc_id")
     repeated = stage(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-repeated")
     if repeated.isEmpty():
         return staying
