@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lakewarden.functions.library import register_functions
-from lakewarden.operators.catalog import Catalog
+from lakewarden.operators.catalog import RECORD_INDEX, Catalog
 from lakewarden.operators.index import add_record_index
 from lakewarden.plans.audit import AuditLog
 from lakewarden.plans.config import DatasetConfig
@@ -61,7 +61,9 @@ class Engine:
         typed, messages = {}, []
         stage = (lambda name: lambda frame: write_parquet(frame, f"{folder}/{name}")) if folder else (lambda name: None)
         for name, frame in raw.items():
-            found = apply_contract(self.config.contract, name, add_record_index(frame), stage(f"contract/{name}"))
+            # A staged table gives the same partitions each time, which the record index counts on.
+            source = write_parquet(frame, f"{folder}/raw/{name}") if folder and RECORD_INDEX not in frame.columns else frame
+            found = apply_contract(self.config.contract, name, add_record_index(source), stage(f"contract/{name}"))
             typed[name] = found.typed
             messages.append(found.messages)
             if self.config.contract.cache_originals:

@@ -105,6 +105,17 @@ def test_engine_end_to_end(spark, rows):
     assert rows(out.messages, "ErrorCode", "RecordIndex") == [("BadValue", 4), ("FieldBlank", 4), ("LIGHT", 3), ("MANY", 2)]
 
 
+def test_engine_writes_its_stages(spark, tmp_path, rows):
+    engine = Engine(spark, DatasetConfig.from_json(DOCUMENT))
+    raw = spark.createDataFrame([(f"p{k}", str(k), str(k % 9)) for k in range(200)], "planet string, mass string, moons string").repartition(7)
+    out = engine.run({"planets": raw}, str(tmp_path / "w"), reject=True)
+    kept = spark.read.parquet(f"{tmp_path}/w/outputs/planets")
+    assert kept.columns == ["planet", "mass", "moons"] and kept.count() == out.catalog["planets"].count() == sum(k > 0 and k % 9 <= 5 for k in range(200))
+    assert spark.read.json(f"{tmp_path}/w/errors/engine_errors.jsonl").count() == out.messages.count()
+    numbered = spark.read.parquet(f"{tmp_path}/w/contract/planets")
+    assert sorted(r[0] for r in numbered.select(RECORD_INDEX).collect()) == list(range(1, 201))
+
+
 def test_pipeline_over_a_folder(spark, tmp_path, rows):
     inbox = tmp_path / "in"
     inbox.mkdir()
