@@ -1,14 +1,18 @@
 """The pipeline over a small corpus with planted cases, against a plain version of what each stage must do."""
 
+import hashlib
+import math
 import random
+import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from lakewarden.llm.mixing import mixing_report  # noqa: E402
 from lakewarden.llm.scratch import stage  # noqa: E402
 from lakewarden.llm.tokens import encoder  # noqa: E402
 
@@ -51,6 +55,32 @@ def corpus(spark, tmp_path_factory):
     return str(folder), dict(rows), toxic, gone, contaminated
 
 
+def plain_copies(rows):
+    """How often the mix takes each document: targets by resharing what is above three times a source's size until
+    nothing is, and the draw of the id and the text."""
+    size = {doc: len(re.findall(r"[^\x20\x09-\x0D]+", text or "")) for doc, text, _ in rows}
+    names = sorted({s for _, _, s in rows if s is not None}, key=lambda s: s.encode()) + [None] * any(s is None for _, _, s in rows)
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    total = {s: sum(size[d] for d, _, own in rows if own == s) for s in names}
+    full, level = set(), Fraction(0)
+    while True:
+        rest = [s for s in names if s not in full]
+        level = Fraction(sum(total.values()) - 3 * sum(total[s] for s in full), sum(weight[s] for s in rest)) if rest else Fraction(0)
+        above = {s for s in rest if weight[s] * level > 3 * total[s]}
+        if not above:
+            break
+        full |= above
+    copies = {}
+    for doc, text, source in rows:
+        target = 3 * total[source] if source in full else weight[source] * level
+        rate = target / total[source] if total[source] else Fraction(0)
+        inner = "null" if text is None else hashlib.md5(text.encode()).hexdigest()
+        draw = int(hashlib.md5(f"mix:{doc}:{inner}".encode()).hexdigest()[:13], 16) / 2**52
+        if n := math.floor(rate) + (draw < float(rate - math.floor(rate))):
+            copies[doc] = n
+    return copies
+
+
 def test_stages_take_effect(spark, corpus):
     folder, texts, toxic, gone, contaminated = corpus
     docs, expected = spark.read.parquet(f"{folder}/documents.parquet"), set(texts)
@@ -58,11 +88,11 @@ def test_stages_take_effect(spark, corpus):
         docs = stage(function(spark, docs, folder), f"test-{name}")
         expected -= leaving
         assert docs.columns == COLUMNS and {r.doc_id for r in docs.select("doc_id").collect()} == expected, name
-    copies = {r.doc_id: r.copies for r in mixing_report(docs).collect() if r.copies}
+    copies = plain_copies([(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()])
     mixed = corpus_pipeline.mixing(spark, docs, folder)
     assert mixed.columns == COLUMNS
     # The plain version of the last stage: ids of each row, in order of doc_id.
-    library, at, plain = encoder(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")).tokenizer, 0, []
+    library, at, plain = encoder(public_tokenizers.path("byte_bpe_50k.json")).tokenizer, 0, []
     for doc in sorted(copies):
         ids = np.array([*library.encode(texts[doc] or "", add_special_tokens=False).ids, 2], dtype="<u4")
         for _ in range(copies[doc]):
