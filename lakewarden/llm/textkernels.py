@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at a time; a longer text is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 

@@ -169,7 +169,7 @@ def simple8b_decode(words: np.ndarray, per_block: np.ndarray, n: int, block: int
 class ShardWriter:
     """Writes one shard file; holds a block of ids and the two indexes, not the ids of the shard."""
 
-    def __init__(self, out, block: int = BLOCK, flush_blocks: int = 256):
+    def __init__(self, out, block: int = BLOCK, flush_blocks: int = 64):
         self.out, self.block, self.flush = out, block, block * flush_blocks
         self.pending: list[np.ndarray] = []
         self.held = self.n_ids = 0
@@ -239,7 +239,7 @@ class ShardReader:
         values = simple8b_decode(words, rows[:, 1], n, self.block)
         return values[start - first * self.block : end - first * self.block].astype("<u4")
 
-    def documents(self, blocks_at_once: int = 256) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    def documents(self, blocks_at_once: int = 64) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, start, ids) in order, a run of documents of about ``blocks_at_once`` blocks at a time."""
         ends = np.append(self.starts[1:], self.n_ids)
         row = 0

@@ -315,9 +315,14 @@ def test_near_dedup_edge_rows(docs, empty):
 
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (200, 200)], "a long, b long")
-    found = {r.node: r.root for r in components.components(edges).collect()}
-    assert found == {**{k: 0 for k in range(1, 61)}, 101: 100}
-    assert components.components(edges.limit(0)).count() == 0
+    for small in (0, components.SMALL):  # by stars, and in one task
+        found = {r.node: r.root for r in components.components(edges, small).collect()}
+        assert found == {**{k: 0 for k in range(1, 61)}, 101: 100}
+        assert components.components(edges.limit(0), small).count() == 0
+    rng = random.Random(3)
+    pairs = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(70)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    assert sorted(map(tuple, components.components(edges, 0).collect())) == sorted(map(tuple, components.components(edges).collect()))
 
 
 def test_rows_pass_through_with_any_column_names(spark):
