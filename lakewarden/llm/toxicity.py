@@ -116,10 +116,12 @@ def fit_logistic(words: list[np.ndarray], dense: np.ndarray, label: np.ndarray,
     if min(n_positive, n - n_positive) < LEAST:
         return LogisticModel(constant=n_positive / n if n else 0.0)
     flat = np.concatenate(words)
-    known, index = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(own) for own in words])
+    known = np.unique(flat)
+    index = np.searchsorted(known, flat).astype(np.int32)
+    del flat  # a number for each word of each text is what a fit takes most memory for
+    held = np.repeat(label == 1, [len(own) for own in words])
     present = np.bincount(index, minlength=len(known)).astype(float)
-    positive = np.bincount(index, weights=label[owner], minlength=len(known))
+    positive = np.bincount(index[held], minlength=len(known)).astype(float)
     g = _g_test(present, positive, n, n_positive)
     # For one degree of freedom P(G > x) is below exp(-x / 2), so this bound is on the safe side.
     bar = 2 * np.log(max(len(known), 1) / SIGNIFICANCE)
