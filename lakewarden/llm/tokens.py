@@ -297,8 +297,6 @@ class CutEncoder:
                 coded += self._mark(word[4]) if word[4] else b""
             else:
                 coded = self._letters(" " + piece)
-        if len(self.young) >= MEMORY // 2:
-            self.young, self.old = {}, self.young
         self.young[piece] = coded
         return coded
 
@@ -324,13 +322,33 @@ class CutEncoder:
         first, *rest = text.split(" ")
         if not rest or not _ends_well.search(first):
             return self._by_cuts(text)
-        coded = list(map(self.young.get, rest))
+        young, old, plain, merge, space = self.young, self.old, self.plain, self.merge, self.spelling[0x20]
+        coded = list(map(young.get, rest))
         if None in coded:
             for k, own in enumerate(coded):
                 if own is None:
-                    coded[k] = own = self.young.get(rest[k]) or self._piece(rest[k])
+                    piece = rest[k]
+                    own = young.get(piece)
                     if own is None:
-                        return self._by_cuts(text)
+                        own = old.get(piece)
+                        if own is None and plain and piece.isascii():  # spelled as it is
+                            if piece.isalpha():
+                                own = array("I", [t.id for t in merge(space + piece)]).tobytes()
+                            elif piece[-1:] in (".", ",") and (stem := piece[:-1]).isalpha():
+                                own = young.get(stem) or old.get(stem)
+                                if own is None:
+                                    own = array("I", [t.id for t in merge(space + stem)]).tobytes()
+                                young[stem] = own
+                                own += self._mark(piece[-1])
+                        if own is not None:
+                            young[piece] = own
+                        else:
+                            own = self._piece(piece)
+                            if own is None:
+                                return self._by_cuts(text)
+                    coded[k] = own
+            if len(young) >= MEMORY // 2:
+                self.young, self.old = {}, young
         return np.frombuffer(self._library([first])[0] + b"".join(coded), dtype="<u4")
 
     def _by_cuts(self, text: str) -> np.ndarray:
