@@ -50,8 +50,8 @@ BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)
 ESCAPE = 15
 #: Text bytes in a shard, about.
 SHARD_BYTES = 32 << 20
-#: Distinct pieces that a worker remembers, some 200 bytes each.
-MEMORY = 500_000
+#: Distinct pieces that a worker remembers, some 200 bytes each; fewer cost time, not results.
+MEMORY = 1_000_000
 
 _counts = np.array([*COUNT, 1])
 _bits = np.array([*BITS, 64])
@@ -262,7 +262,8 @@ class CutEncoder:
     merge model directly; any other piece takes the library's whole way.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, memory: int = MEMORY):
+        self.memory = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -347,7 +348,7 @@ class CutEncoder:
                             if own is None:
                                 return self._by_cuts(text)
                     coded[k] = own
-            if len(young) >= MEMORY // 2:
+            if len(young) >= self.memory // 2:
                 self.young, self.old = {}, young
         return np.frombuffer(self._library([first])[0] + b"".join(coded), dtype="<u4")
 
@@ -363,15 +364,16 @@ class CutEncoder:
 _encoders: dict[str, CutEncoder] = {}
 
 
-def encoder(tokenizer_file: str) -> CutEncoder:
+def encoder(tokenizer_file: str, memory: int = MEMORY) -> CutEncoder:
     if tokenizer_file not in _encoders:
         _encoders[tokenizer_file] = CutEncoder(tokenizer_file)
+    _encoders[tokenizer_file].memory = memory
     return _encoders[tokenizer_file]
 
 
-def _shards(folder: str, tokenizer_file: str, end_id: int):
+def _shards(folder: str, tokenizer_file: str, end_id: int, memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, name, writer, out = encoder(tokenizer_file), None, None, None
+        own, name, writer, out = encoder(tokenizer_file, memory), None, None, None
         context = TaskContext.get()
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
@@ -394,7 +396,7 @@ def _shards(folder: str, tokenizer_file: str, end_id: int):
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str | None = None, n_shards: int | None = None) -> tuple[str, DataFrame]:
+def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str | None = None, n_shards: int | None = None, memory: int = MEMORY) -> tuple[str, DataFrame]:
     """Write ``docs`` (doc_id, text) in ascending doc_id order. Returns the folder and the staged manifest:
     ``shard, file, n_ids, n_docs``; shards in order of ``shard``. ``tokenizer_file`` must exist on every executor."""
     spark = docs.sparkSession
@@ -409,7 +411,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str
         .repartitionByRange(int(n_shards), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first())
     )
-    manifest = ordered.mapInArrow(_shards(uri, tokenizer_file, end_id), "shard long, file string, n_ids long, n_docs long")
+    manifest = ordered.mapInArrow(_shards(uri, tokenizer_file, end_id, memory), "shard long, file string, n_ids long, n_docs long")
     return uri, stage(manifest, "token-manifest")
 
 
@@ -447,6 +449,6 @@ def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
     return listing.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_index(docs: DataFrame, tokenizer_file: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+def token_index(docs: DataFrame, tokenizer_file: str, end_id: int = 2, folder: str | None = None, memory: int = MEMORY) -> DataFrame:
     """Write the shards of ``docs`` and return what the files hold, per document."""
-    return read_shards(*write_shards(docs, tokenizer_file, end_id, folder))
+    return read_shards(*write_shards(docs, tokenizer_file, end_id, folder, memory=memory))
