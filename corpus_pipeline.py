@@ -46,7 +46,8 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of every row in shard files; what the files hold, per row."""
     import public_tokenizers
 
-    return token_index(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # Executors hold what earlier stages left in their workers, so fewer pieces are remembered than by default.
+    return token_index(docs, public_tokenizers.path("byte_bpe_50k.json"), memory=300_000)
 
 
 _written: dict[tuple[str, str], list[str]] = {}
