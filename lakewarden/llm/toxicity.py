@@ -11,7 +11,8 @@ at ``SIGNIFICANCE`` with a correction for the number of words); selection is ins
 
 The fit uses some ``LABELLED`` labelled documents: a draw by a hash of the id, so the number is within a few hundred
 (five standard deviations) of it, and one text of each id. That bound also bounds the broadcast that picks their texts.
-The driver gathers the distinct words' hashes of these texts, no text. Every document is scored, whole.
+One task gathers the distinct words' hashes of these texts, no text, and fits in order of the ids' hashes; the
+driver gets the models only. Every document is scored, whole.
 
 Defined cases: a null or empty text has no words and is judged by the rest of the model, which gives about
 the base rate of empty texts; labels that are null are left out; rows that repeat a doc_id in the labels
@@ -22,6 +23,7 @@ empty result; columns of ``docs`` other than doc_id and text pass through :func:
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -42,6 +44,8 @@ SIGNIFICANCE = 1e-3
 LEAST = 5
 THRESHOLD = 0.5
 SHAPES = 5
+#: Words that a fit handles at a time, besides those of the longest text.
+RUN = 1 << 18
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
@@ -81,6 +85,27 @@ def _g_test(present: np.ndarray, positive: np.ndarray, n: int, n_positive: int)
     return 2 * total
 
 
+def _runs(words: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stretches of texts of some ``RUN`` words: the words' hashes, and the row of each."""
+    begin, held = 0, 0
+    for end, own in enumerate(words, 1):
+        held += len(own)
+        if held >= RUN or end == len(words):
+            yield np.concatenate(words[begin:end]), np.repeat(np.arange(begin, end), [len(x) for x in words[begin:end]])
+            begin, held = end, 0
+
+
+def _distinct(words: Sequence[np.ndarray]) -> np.ndarray:
+    """The sorted distinct hashes, by merging those of runs, so that no copy of all words is made."""
+    levels: list[np.ndarray] = [np.empty(0, dtype=np.uint64)]
+    for flat, _ in _runs(words):
+        levels.append(np.unique(flat))
+        while len(levels) > 1 and len(levels[-2]) <= 2 * len(levels[-1]):
+            last = levels.pop()
+            levels[-1] = np.union1d(levels[-1], last)
+    return np.unique(np.concatenate(levels))
+
+
 @dataclass
 class LogisticModel:
     """Weights over chosen words (sorted hashes), the dense columns and an intercept."""
@@ -92,17 +117,17 @@ class LogisticModel:
     constant: float | None = None
 
     def _matrix(self, words: Sequence[np.ndarray], dense: np.ndarray) -> np.ndarray:
-        sparse = np.zeros((len(words), len(self.words)))
-        if len(self.words):
-            owner = np.repeat(np.arange(len(words)), [len(own) for own in words])
-            flat = np.concatenate(words) if len(words) else np.empty(0, dtype=np.uint64)
+        x = np.zeros((len(words), len(self.words) + dense.shape[1] + 1))
+        for flat, owner in _runs(words) if len(self.words) else ():
             place = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
             hit = self.words[place] == flat
-            sparse[owner[hit], place[hit]] = 1
+            x[owner[hit], place[hit]] = 1
         # Texts far longer than those trained on must not be judged by their length.
         shape = np.clip((dense - self.centre) / self.scale, -3, 3)
         shape[[len(own) == 0 for own in words], :SHAPES] = 0
-        return np.concatenate([sparse, shape, np.ones((len(words), 1))], axis=1)
+        x[:, len(self.words) : -1] = shape
+        x[:, -1] = 1
+        return x
 
     def probability(self, words: Sequence[np.ndarray], dense: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -115,13 +140,12 @@ def fit_logistic(words: list[np.ndarray], dense: np.ndarray, label: np.ndarray,
     n, n_positive = len(label), int(label.sum())
     if min(n_positive, n - n_positive) < LEAST:
         return LogisticModel(constant=n_positive / n if n else 0.0)
-    flat = np.concatenate(words)
-    known = np.unique(flat)
-    index = np.searchsorted(known, flat).astype(np.int32)
-    del flat  # a number for each word of each text is what a fit takes most memory for
-    held = np.repeat(label == 1, [len(own) for own in words])
-    present = np.bincount(index, minlength=len(known)).astype(float)
-    positive = np.bincount(index[held], minlength=len(known)).astype(float)
+    known = _distinct(words)
+    present, positive = np.zeros(len(known)), np.zeros(len(known))
+    for flat, owner in _runs(words):
+        index = np.searchsorted(known, flat)
+        present += np.bincount(index, minlength=len(known))
+        positive += np.bincount(index[label[owner] == 1], minlength=len(known))
     g = _g_test(present, positive, n, n_positive)
     # For one degree of freedom P(G > x) is below exp(-x / 2), so this bound is on the safe side.
     bar = 2 * np.log(max(len(known), 1) / SIGNIFICANCE)
@@ -197,12 +221,33 @@ def _training_rows(n_labels: int):
                 shapes += shape.tolist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.list_(pa.int64())), pa.array(shapes, pa.list_(pa.float64())), *batch.columns[1:]],
-                names=["words", "shape", "fold", *(f"y{k}" for k in range(n_labels))],
+                names=["words", "shape", "place", "fold", *(f"y{k}" for k in range(n_labels))],
             )
 
     return run
 
 
+def _fit(categories: Sequence[str]):
+    """The pickled chain of all training rows; the task that gets them holds eight bytes for each word of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, rest = [], []
+        for batch in batches:
+            flat, begin = batch.column(0).values.to_numpy().view(np.uint64), batch.column(0).offsets.to_numpy()
+            words += [flat[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            shape = np.array(batch.column(1).to_pylist()).reshape(-1, SHAPES)
+            y = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[4:]], axis=1)
+            rest.append((shape, batch.column(2).to_numpy(), batch.column(3).to_numpy(), y))
+        if not words:
+            return
+        shape, place, fold, y = (np.concatenate(parts) for parts in zip(*rest, strict=True))
+        order = np.argsort(place)
+        chain = fit_chain([words[i] for i in order], shape[order], y[order], fold[order], categories)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, labelled: int = LABELLED, folds: int = FOLDS) -> Chain:
     small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(c).cast("double").alias(c) for c in categories])
@@ -215,15 +260,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGO
     others = [F.first(c).alias(c) for c in categories]
     picked = drawn.groupBy("doc_id").agg(F.min_by(F.struct("text"), F.coalesce(F.xxhash64("text"), F.lit(0))).alias("least"), *others).select("doc_id", "least.text", *categories)
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds))
-    rows = picked.select("text", fold.alias("fold"), *[F.col(c).alias(f"y{k}") for k, c in enumerate(categories)])
-    schema = "words array<long>, shape array<double>, fold long, " + ", ".join(f"y{k} double" for k in range(len(categories)))
-    table = rows.mapInArrow(_training_rows(len(categories)), schema).toArrow()
-    if not table.num_rows:
+    rows = picked.select("text", F.xxhash64("doc_id").alias("place"), fold.alias("fold"), *[F.col(c).alias(f"y{k}") for k, c in enumerate(categories)])
+    schema = "words array<long>, shape array<double>, place long, fold long, " + ", ".join(f"y{k} double" for k in range(len(categories)))
+    table = rows.mapInArrow(_training_rows(len(categories)), schema).repartition(1)
+    found = table.mapInArrow(_fit(tuple(categories)), "chain binary").collect()
+    if not found:
         return Chain(tuple(categories), [LogisticModel(constant=0.0) for _ in categories])
-    words = [x.values.to_numpy().view(np.uint64) for x in table.column("words")]
-    shape = np.array(table.column("shape").to_pylist()).reshape(-1, SHAPES)
-    y = np.stack([np.array([np.nan if v is None else v for v in table.column(f"y{k}").to_pylist()]) for k in range(len(categories))], axis=1)
-    return fit_chain(words, shape, y, table.column("fold").to_numpy(), categories)
+    return pickle.loads(found[0].chain)
 
 
 def _scores(shared, position: int):

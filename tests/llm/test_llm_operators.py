@@ -138,6 +138,42 @@ def test_logistic_model_equals_a_plain_one():
     assert np.abs(model.probability(texts, shape) - expected).max() < 2e-3
 
 
+def test_toxicity_is_fit_outside_the_driver(docs, spark, monkeypatch):
+    """The driver neither gathers the training rows nor fits; the models don't depend on how the rows are dealt."""
+    import os
+
+    rows = [(k, prose(k, 20) + (" vile" if k % 3 == 0 else "")) for k in range(120)]
+    labels = spark.createDataFrame([(k, None if k % 7 == 0 else k % 2, int(k % 3 == 0)) for k in range(120)], "doc_id long, quality int, toxic int")
+    fit, driver = toxicity.fit_chain, os.getpid()
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return fit(*args)
+
+    monkeypatch.setattr(toxicity, "fit_chain", elsewhere)
+    one, other = (toxicity.train(docs(*rows).repartition(n), labels) for n in (1, 7))
+    for m, n in zip(one.models, other.models, strict=True):
+        assert len(m.weights) and (m.words == n.words).all() and (m.weights == n.weights).all()
+
+
+def test_logistic_fit_makes_no_copy_of_all_words(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    texts = [np.sort(rng.choice(np.arange(1, 4000, dtype=np.uint64), 2000, replace=False)) for _ in range(1000)]
+    shape, label = rng.normal(size=(1000, toxicity.SHAPES)), np.array([float(5 in t) for t in texts])
+    tracemalloc.start()
+    whole = toxicity.fit_logistic(texts, shape, label)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(t.nbytes for t in texts)
+    monkeypatch.setattr(toxicity, "RUN", 3000)
+    runs = toxicity.fit_logistic(texts, shape, label)
+    assert 5 in whole.words and (whole.words == runs.words).all() and (whole.weights == runs.weights).all()
+
+
 def test_later_models_see_out_of_fold_probabilities():
     import numpy as np
 
