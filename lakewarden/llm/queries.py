@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,6 +157,54 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm.repetition import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat", "n_repeats")
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), b AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d
+), s AS (
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, (VALUES (5), (8), (51)) v(k)
+), r AS (
+  SELECT doc_id, k, i FROM s QUALIFY count(*) OVER (PARTITION BY doc_id, k, array_to_string(w[i:i + k - 1], ' ')) > 1
+), c AS (SELECT DISTINCT doc_id, k, i + unnest(range(k)) AS place FROM r),
+n AS (
+  SELECT doc_id, count(*) FILTER (k = 8) AS n_repeat_words, count(*) FILTER (k = 5) AS covered_words, count(*) FILTER (k = 51) AS long_words
+  FROM c GROUP BY doc_id
+), j AS (
+  SELECT b.doc_id, n_words, word_chars, n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(covered_words, 0) AS covered_words, coalesce(long_words, 0) AS long_words
+  FROM b LEFT JOIN n ON b.doc_id = n.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * covered_words <= 30 * n_words AND long_words = 0 AS kept, covered_words
+FROM j
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm.periodic import runs_report
+
+    return runs_report(_with_periods(_table(spark, sf_dir, "documents")))
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The texts with the query's periods put into a tenth of them; a text without an id keeps its words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.expr(r"IF(h % 10 = 0, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), NULL)"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.expr("(h div 10) % n")).withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    periods = F.expr("slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a))")
+    changed = F.array_join(F.concat(F.expr("slice(words, 1, int(a))"), periods), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -167,6 +216,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_output": op9_token_output,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_quality_rules": op11_quality_rules,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -174,4 +225,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op11_quality_rules": OP11_SQL,
 }

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -19,3 +21,12 @@ def docs(spark):
 @pytest.fixture
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture
+def sf_dir():
+    """The smallest given tables."""
+    path = Path("/root/testdata/sf0.001")
+    if not path.exists():
+        pytest.skip("no test tables")
+    return str(path)
