@@ -170,11 +170,21 @@ WITH d AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d
+), u AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+e AS (SELECT doc_id, i, ' ' || word || ' ' || lead(word) OVER p AS pair, lead(word, 4) OVER p AS fifth FROM u WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+f AS (
+  SELECT doc_id, i, md5(pair || lead(pair, 2) OVER p || ' ' || fifth) AS s5,
+    md5(pair || lead(pair, 2) OVER p || lead(pair, 4) OVER p || lead(pair, 6) OVER p) AS s8
+  FROM e WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), g AS (
+  SELECT doc_id, i, s5, s8, md5(s8 || lead(s8, 8) OVER p || lead(s8, 16) OVER p || lead(s8, 24) OVER p || lead(s8, 32) OVER p
+    || lead(s8, 40) OVER p || lead(s8, 43) OVER p) AS s51
+  FROM f WINDOW p AS (PARTITION BY doc_id ORDER BY i)
 ), s AS (
-  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, (VALUES (5), (8), (51)) v(k)
-), r AS (
-  SELECT doc_id, k, i FROM s QUALIFY count(*) OVER (PARTITION BY doc_id, k, array_to_string(w[i:i + k - 1], ' ')) > 1
-), c AS (SELECT DISTINCT doc_id, k, i + unnest(range(k)) AS place FROM r),
+  SELECT doc_id, 5 AS k, i, s5 AS s FROM g WHERE s5 IS NOT NULL UNION ALL SELECT doc_id, 8, i, s8 FROM g WHERE s8 IS NOT NULL
+  UNION ALL SELECT doc_id, 51, i, s51 FROM g WHERE s51 IS NOT NULL
+), m AS (SELECT doc_id, k, s FROM s GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, k, i + unnest(range(k)) AS place FROM s SEMI JOIN m USING (doc_id, k, s)),
 n AS (
   SELECT doc_id, count(*) FILTER (k = 8) AS n_repeat_words, count(*) FILTER (k = 5) AS covered_words, count(*) FILTER (k = 51) AS long_words
   FROM c GROUP BY doc_id
