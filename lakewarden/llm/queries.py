@@ -199,6 +199,37 @@ FROM j
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm.negatives import hard_negatives
+
+    rows = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)").cast("bigint").alias("label"),
+        # A component that isn't finite becomes null, and a row with a null component takes no part.
+        F.expr("transform(embedding, x -> IF(isnan(x) OR abs(x) = double('infinity'), NULL, floor(256 * CAST(x AS DOUBLE))))").alias("vector"),
+    )
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), q AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM p WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM q JOIN p USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewarden.llm.periodic import runs_report
 
@@ -227,6 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_output": op9_token_output,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -236,4 +268,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
     "op8_warc": OP8_SQL,
     "op11_quality_rules": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
