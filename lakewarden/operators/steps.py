@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.operators.catalog import Catalog, ConstraintError
 from lakewarden.operators.expressions import Expressions, split_expressions, to_columns
+from lakewarden.operators.intervals import RangeJoin
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -163,6 +164,11 @@ class JoinStep(Step):
         source, target = self.sides(catalog)
         return source.join(target, F.expr(self.join_condition), self.how)
 
+    def ranges(self, catalog: Catalog, existence: bool = False) -> RangeJoin | None:
+        """The join by ranges where the condition compares the sides and equates nothing."""
+        found = RangeJoin.of(self.entity, catalog[self.entity], self.target, catalog[self.target], self.join_condition)
+        return None if found is not None and existence and found.by_pair and not found.groups else found
+
 
 def _merged_columns(entity: str, source: DataFrame, target_name: str, target: DataFrame, new_columns: Expressions) -> list[Column]:
     """Source columns, then new ones. Of equal names (in any case) the last wins and takes the place of the first."""
@@ -199,7 +205,11 @@ class LeftJoin(JoinStep):
 
     def build(self, catalog: Catalog) -> DataFrame:
         source, target = catalog[self.entity], catalog[self.target]
-        return self.joined(catalog).select(*_merged_columns(self.entity, source, self.target, target, self.new_columns))
+        merge = lambda frame: frame.select(*_merged_columns(self.entity, source, self.target, target, self.new_columns))
+        ranges = self.ranges(catalog, existence=self.how == "left")
+        if ranges is not None:
+            return ranges.left(merge) if self.how == "left" else ranges.pairs(merge)
+        return merge(self.joined(catalog))
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -242,7 +252,7 @@ def _equal_columns(step: JoinStep) -> list[tuple[str, str]] | None:
 
 def _refuse_many_matches(step: JoinStep, catalog: Catalog) -> None:
     """A row with several matches is an error. Where columns are equated, rows that meet a repeated key of the target
-    are looked for; only other conditions need the joined pairs counted by row."""
+    are looked for; ranges tell by the second match of each row; only other conditions need the joined pairs counted by row."""
     equal = _equal_columns(step)
     if equal is not None:
         keys = [F.col(f"`{b}`").alias(f"key_{k}") for k, (_, b) in enumerate(equal)]
@@ -252,6 +262,11 @@ def _refuse_many_matches(step: JoinStep, catalog: Catalog) -> None:
         if not found.isEmpty():
             raise ConstraintError(f"rows of {step.entity!r} match several rows of {step.target!r} on {step.join_condition!r}")
         return
+    ranges = step.ranges(catalog, existence=True)
+    if ranges is not None:
+        if not ranges.several().isEmpty():
+            raise ConstraintError(f"rows of {step.entity!r} match several rows of {step.target!r} on {step.join_condition!r}")
+        return
     source, row = _numbered(catalog[step.entity])
     pairs = source.alias(step.entity).join(catalog[step.target].alias(step.target), F.expr(step.join_condition))
     if not pairs.groupBy(F.col(f"{step.entity}.{row}")).count().where("count > 1").isEmpty():
@@ -264,6 +279,9 @@ class SemiJoin(JoinStep):
     how = "left_semi"
 
     def build(self, catalog: Catalog) -> DataFrame:
+        ranges = self.ranges(catalog, existence=True)
+        if ranges is not None:
+            return ranges.exists("__exists__").where(f"__exists__ = {self.how == 'left_semi'}").drop("__exists__")
         return self.joined(catalog)
 
 
@@ -274,7 +292,10 @@ class AntiJoin(SemiJoin):
 
 
 def _exists(step: JoinStep, catalog: Catalog) -> DataFrame:
-    """The source with a boolean ``__exists__``: a correlated EXISTS, which plans to one existence join."""
+    """The source with a boolean ``__exists__``: a correlated EXISTS, which plans to one existence join, or the range join's."""
+    ranges = step.ranges(catalog, existence=True)
+    if ranges is not None:
+        return ranges.exists("__exists__")
     source, target = catalog[step.entity], catalog[step.target]
     names = {"source": source, "target": target}
     text = (

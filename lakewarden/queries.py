@@ -131,6 +131,29 @@ step_query(
     [steps.LeftJoin(entity="orders", target="events", join_condition="events.event_id BETWEEN orders.o_orderkey * 3 AND orders.o_orderkey * 3 + 2", new_columns=("events.event_id", "events.event_type"))],
     "SELECT orders.*, event_id, event_type FROM orders LEFT JOIN events ON event_id BETWEEN o_orderkey * 3 AND o_orderkey * 3 + 2",
 )
+step_query(
+    "op_inner_join_overlap", ("supplier", "part"),
+    [steps.InnerJoin(entity="supplier", target="part", join_condition="supplier.s_suppkey * 20 <= part.p_partkey + part.p_size DIV 10 AND supplier.s_suppkey * 20 + 5 >= part.p_partkey", new_columns=("part.p_partkey", "part.p_size"))],
+    "SELECT supplier.*, p_partkey, p_size FROM supplier JOIN part ON s_suppkey * 20 <= p_partkey + p_size // 10 AND s_suppkey * 20 + 5 >= p_partkey",
+)
+step_query(
+    "op_semi_join_range", ("customer", "orders"), [steps.SemiJoin(entity="customer", target="orders", join_condition="orders.o_totalprice >= customer.c_acctbal AND orders.o_totalprice < customer.c_acctbal + 10 AND orders.o_orderstatus = 'O'")],
+    "SELECT * FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice >= c_acctbal AND o_totalprice < c_acctbal + 10 AND o_orderstatus = 'O')",
+)
+step_query(
+    "op_orphans_range", ("orders", "events"), [steps.IdentifyOrphans(entity="orders", target="events", join_condition="events.event_id BETWEEN orders.o_orderkey * 3 AND orders.o_orderkey * 3 + 2 AND events.event_type <> 'view'")],
+    """SELECT *, NOT EXISTS (SELECT 1 FROM events WHERE event_id BETWEEN o_orderkey * 3 AND o_orderkey * 3 + 2 AND event_type <> 'view') AS "IsOrphaned" FROM orders""",
+)
+step_query(
+    "op_has_match_range", ("orders", "events"),
+    [steps.HasMatch(entity="orders", target="events", join_condition="events.event_id >= orders.o_orderkey * 3 AND events.event_id < orders.o_orderkey * 3 + 1", column_name="has_event")],
+    "SELECT *, EXISTS (SELECT 1 FROM events WHERE event_id >= o_orderkey * 3 AND event_id < o_orderkey * 3 + 1) AS has_event FROM orders",
+)
+step_query(
+    "op_one_to_one_range", ("events", "orders"),
+    [steps.OneToOneJoin(entity="events", target="orders", join_condition="events.event_id > orders.o_orderkey * 3 - 1 AND events.event_id <= orders.o_orderkey * 3", new_columns={"orders.o_totalprice": "price"})],
+    "SELECT events.*, o_totalprice AS price FROM events LEFT JOIN orders ON event_id > o_orderkey * 3 - 1 AND event_id <= o_orderkey * 3",
+)
 step_query(
     "op_one_to_one_join", ("orders", "customer"),
     [steps.OneToOneJoin(entity="orders", target="customer", join_condition="orders.o_custkey = customer.c_custkey", new_columns={"customer.c_name": "c_name"})],
