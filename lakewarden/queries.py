@@ -634,6 +634,50 @@ def _xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_xml(spark, place, _strings("s_suppkey", "s_name"), record_tag="supplier")
 
 
+_LINES_SQL = """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS l_quantity,
+  l_returnflag || {between} || l_linestatus AS flags FROM lineitem"""
+
+
+def _line_rows(spark: SparkSession, sf_dir: str, between: str) -> DataFrame:
+    """Lines with a text that holds what a reader must not take for the end of a record."""
+    flags = F.concat("l_returnflag", F.lit(between), "l_linestatus").alias("flags")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("l_quantity"), flags)
+
+
+@query("reader_csv_multiline", _LINES_SQL.format(between="chr(10) || '\",' || chr(10)"))
+def _csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _shared(spark, "lines-csv")
+    _line_rows(spark, sf_dir, '\n",\n').write.csv(place, header=True, escape='"', quoteAll=True)
+    return readers.read_csv(spark, place, _strings("l_orderkey", "l_linenumber", "l_quantity", "flags"), multi_line=True, escape_char='"')
+
+
+@query("reader_json_array", _LINES_SQL.format(between="'}, {\"[' || chr(10)"))
+def _json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _shared(spark, "lines-json")
+    objects = _line_rows(spark, sf_dir, '}, {"[\n').select(F.to_json(F.struct("*")).alias("value"))
+    objects.mapInArrow(_as_array, "value string").write.text(place)
+    return readers.read_json(spark, place, _strings("l_orderkey", "l_linenumber", "l_quantity", "flags"))
+
+
+def _as_array(batches):
+    """Each partition's objects as one JSON array over lines."""
+    import pyarrow as pa
+
+    first = True
+    for batch in batches:
+        lines = [("[" if first and k == 0 else ",") + text for k, text in enumerate(batch.column(0).to_pylist())]
+        first = first and not lines
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], names=["value"])
+
+
+@query("reader_xml_one_file", _LINES_SQL.format(between="'</line> <!-- > '"))
+def _xml_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _shared(spark, "lines-xml")
+    _line_rows(spark, sf_dir, "</line> <!-- > ").write.format("xml").options(rootTag="lines", rowTag="line").save(place)
+    return readers.read_xml(spark, place, _strings("l_orderkey", "l_linenumber", "l_quantity", "flags"), record_tag="line", root_tag="lines")
+
+
 @query("reader_parquet", "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")
 def _parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_parquet(spark, f"{sf_dir}/region.parquet")

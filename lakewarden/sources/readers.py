@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from lakewarden.operators.index import add_record_index
 from lakewarden.sources.files import Files
+from lakewarden.sources.splitting import CsvScanner, JsonScanner, Records, XmlScanner
 
 HEAD_BYTES = 4096
 CORRUPT = "_corrupt_record"
@@ -181,11 +182,32 @@ def read_csv(
         if len(raw.columns) != len(schema):
             raise SubmissionRejected("FieldCountMismatch", f"expected {len(schema)} fields and found {len(raw.columns)}")
         raw = raw.toDF(*schema.names)
+    if multi_line and _splits(options.get("encoding") or "utf-8"):
+        raw = _split_csv(spark, path, raw.columns, header, _csv_options(options))
     shaped = stringified(raw, schema)
     tokens = ("",) if null_empty_strings else tuple(null_values)
     return _clean_strings(shaped, lambda c: blank_to_null(c, tokens, trim_cells or null_empty_strings))
 
 
+def _splits(encoding: str) -> bool:
+    """Whether records can be cut out of bytes as they are."""
+    return charset(encoding).lower() in ("utf-8", "us-ascii", "ascii")
+
+
+def _split_csv(spark: SparkSession, path: str, names: Sequence[str], header: bool, options: Mapping[str, Any]) -> DataFrame:
+    """The records of files whose quoted cells may hold line breaks, read by as many tasks as there are splits."""
+    marks = {"delimiter": options.get("sep", ","), "quote": options.get("quote", '"'), "escape": options.get("escape", "\\")}
+    found = Records(spark, path, lambda mode, depth: CsvScanner(mode, depth, **marks)).frame()
+    text = F.regexp_replace(F.regexp_replace("text", r"\r?\n\z", ""), "^\ufeff", "")
+    found = found.select("file", "block", "number", text.alias("text")).where(F.trim("text") != "")
+    if header:
+        found = found.where("NOT (block = 0 AND number = 1)")
+    ddl = ", ".join(f"`{k}` string" for k in range(len(names)))
+    given = {k: str(v) for k, v in options.items() if k != "encoding"}
+    cells = F.from_csv("text", ddl, {"nullValue": "\x01", "emptyValue": "", "lineSep": "\x02", "maxCharsPerColumn": "-1", **given})
+    return found.select(cells.alias("cells")).select("cells.*").toDF(*names)
+
+
 @register_reader("repeating_header_csv")
 def read_repeating_header(
     spark: SparkSession, path: str, schema: T.StructType, *, non_unique_header_error_code: str = "NonUniqueHeader",
@@ -207,7 +229,10 @@ SHOWN_HEADERS = 10
 @register_reader("json")
 def read_json(spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = True, encoding: str = "utf-8", **options: Any) -> DataFrame:
     _refuse_unknown("JSON", options)
-    guard(spark, path)
+    head = guard(spark, path)
+    if multi_line and _splits(encoding) and head.removeprefix(b"\xef\xbb\xbf").lstrip().startswith(b"["):
+        found = Records(spark, path, JsonScanner).frame()
+        return found.select(F.from_json("text", schema).alias("record")).select("record.*")
     return spark.read.schema(schema).json(path, multiLine=multi_line, encoding=charset(encoding))
 
 
@@ -246,7 +271,16 @@ def read_xml(
         frame = reader.load(path)
     else:
         wanted = _prefixed(inside, namespace) if namespace else inside
-        frame = reader.schema(T.StructType([*wanted, T.StructField(CORRUPT, T.StringType())])).load(path)
+        wanted = T.StructType([*wanted, T.StructField(CORRUPT, T.StringType())])
+        if _splits(encoding):
+            # Elements are cut out by as many tasks as the file has splits; each is then read like a document of one row.
+            found = Records(spark, path, lambda at, depth: XmlScanner(at, depth, tag=f"{namespace}:{tag}" if namespace else tag, any_prefix=not by_prefix)).frame()
+            kept = {"ignoreNamespace": str(not by_prefix), "excludeAttribute": str(exclude_attribute), "nullValue": "", "columnNameOfCorruptRecord": CORRUPT}
+            parsed = F.from_xml("text", wanted, {**kept, "mode": "FAILFAST" if mode == "FAILFAST" else "PERMISSIVE"})
+            frame = found.select(parsed.alias("record")).select("record.*")
+            frame = frame.where(F.col(CORRUPT).isNull()) if mode == "DROPMALFORMED" else frame
+        else:
+            frame = reader.schema(wanted).load(path)
     if CORRUPT in frame.columns:
         closed = F.col(CORRUPT).rlike(rf"</([\w.-]+:)?{tag}\s*>\s*$")
         # Spark refuses a scan of nothing but the text of corrupt rows, so the test names another column too.
