@@ -102,7 +102,7 @@ def _assemble(tokenizer_file: str):
     schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("n_turns", pa.int64()), ("ids", pa.binary()), ("mask", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_file)
+        own = encoder(tokenizer_file, literal=True)
         base, number = own.tokenizer.get_vocab_size(), TaskContext.get().partitionId() << 32
         current, part, rows, held = None, None, [], 0
 
@@ -139,7 +139,7 @@ def _assemble(tokenizer_file: str):
 
 def format_conversations(turns: DataFrame, tokenizer_file: str) -> DataFrame:
     """``turns`` (conv_id, turn, role, text) as parts of token ids with a loss mask."""
-    base = encoder(tokenizer_file).tokenizer.get_vocab_size()
+    base = encoder(tokenizer_file, literal=True).tokenizer.get_vocab_size()
     rows = turns.select("conv_id", "turn", "role", F.xxhash64("text").alias("tie"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(max(turns.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES)))
@@ -173,7 +173,7 @@ def _decoded(tokenizer_file: str, base: int):
         return len(turns), len(loss), chars, "".join(turns).encode(), loss.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoder(tokenizer_file).tokenizer
+        tokenizer = encoder(tokenizer_file, literal=True).tokenizer
 
         def decode(parts: list[list[int]]) -> list[str]:
             return tokenizer.decode_batch(parts, skip_special_tokens=False)
@@ -228,7 +228,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(parts: DataFrame, tokenizer_file: str) -> DataFrame:
     """Per conversation, from its tokens and mask alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    base = encoder(tokenizer_file).tokenizer.get_vocab_size()
+    base = encoder(tokenizer_file, literal=True).tokenizer.get_vocab_size()
     schema = "conv_id long, part long, n_turns long, loss_chars long, chars long, turns binary, loss binary"
     decoded = parts.mapInArrow(_decoded(tokenizer_file, base), schema)
     ordered = decoded.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "part")

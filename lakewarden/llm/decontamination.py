@@ -17,8 +17,7 @@ A signature table of up to ``BROADCAST_ROWS`` rows is broadcast; a larger one is
 
 Defined cases: words are runs of characters other than white space, lower-cased; a text of one to four
 words has its whole sequence as the only shingle; an item of that length is found inside any document, whose
-runs of as many words are probed too, unless ``short_inside`` is off (then only in a document that is those words,
-the rule of the registered query's SQL); null or blank texts have none and match nothing; items or documents without an
+runs of as many words are probed too; null or blank texts have none and match nothing; items or documents without an
 id are never reported; rows that repeat an id are one item or document whose shingles are united; empty tables give an
 empty result; other columns are ignored, or passed through.
 """
@@ -107,9 +106,9 @@ def _passes(bitmap: Column, h: Column) -> Column:
     return F.getbit(F.get(bitmap, word), bit) == 1
 
 
-def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5, short_inside: bool = True) -> DataFrame:
+def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
     """Pairs ``doc_id, item_id, n_item_shingles, n_shared, containment`` with containment >= threshold."""
-    lengths = _short_lengths(items, width) if short_inside else []
+    lengths = _short_lengths(items, width)
     item_sets = stage(_item_sets(items, threshold, width), "contain-items")
     signatures = stage(item_sets.select("item_id", "size_bound", F.explode(F.slice("shingles", F.lit(1), F.col("k"))).alias("h")), "contain-signatures")
     bitmap = _bitmap(signatures)

@@ -15,8 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewarden.llm.decontamination import find_contained
 
-    # As in the SQL, an item of one to four words is found only as a whole document.
-    return find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), short_inside=False)
+    return find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 OP1_SQL = r"""
@@ -30,6 +29,8 @@ WITH doc_words AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
     THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM doc_words
+  UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM doc_words, (SELECT DISTINCT len(w) AS k FROM item_words WHERE len(w) BETWEEN 1 AND 4)
 ), item_shingles AS (
   SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5
     THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))

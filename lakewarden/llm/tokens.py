@@ -262,14 +262,18 @@ class CutEncoder:
     merge model directly; any other piece takes the library's whole way.
     """
 
-    def __init__(self, tokenizer_file: str, memory: int = MEMORY):
+    def __init__(self, tokenizer_file: str, memory: int = MEMORY, literal: bool = False):
+        """``literal``: the tokenizer's special tokens are text like any other where they occur in a text; otherwise they
+        are recognised, as the library does by default."""
         self.memory = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        #: What the library looks for in a whole text before it cuts it up.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (literal and t.special)]
         self.plain = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel)
         self.merge = self.tokenizer.model.tokenize
         spelled = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -320,6 +324,9 @@ class CutEncoder:
         return self.young[key]
 
     def encode(self, text: str) -> np.ndarray:
+        for content in self.added:
+            if content in text:
+                return np.frombuffer(self._library([text])[0], dtype="<u4")
         first, *rest = text.split(" ")
         if not rest or not _ends_well.search(first):
             return self._by_cuts(text)
@@ -361,14 +368,15 @@ class CutEncoder:
         return np.frombuffer(self._library([first])[0] + b"".join([known[piece] for piece in rest]), dtype="<u4")
 
 
-_encoders: dict[str, CutEncoder] = {}
+_encoders: dict[tuple[str, bool], CutEncoder] = {}
 
 
-def encoder(tokenizer_file: str, memory: int = MEMORY) -> CutEncoder:
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = CutEncoder(tokenizer_file)
-    _encoders[tokenizer_file].memory = memory
-    return _encoders[tokenizer_file]
+def encoder(tokenizer_file: str, memory: int = MEMORY, literal: bool = False) -> CutEncoder:
+    key = tokenizer_file, literal
+    if key not in _encoders:
+        _encoders[key] = CutEncoder(tokenizer_file, literal=literal)
+    _encoders[key].memory = memory
+    return _encoders[key]
 
 
 def _shards(folder: str, tokenizer_file: str, end_id: int, memory: int):

@@ -1,3 +1,4 @@
+import functools
 import re
 
 import numpy as np
@@ -119,17 +120,32 @@ def test_pieces_and_runs_equal_brute_force(docs, length, most):
     assert got == expected
 
 
+@functools.cache
+def library(path, literal):
+    """The library's own tokenizer, apart from the operator's."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    if literal:
+        found.encode_special_tokens = True
+    return found
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", ".", ",", "'s", "'", "-", "½", "²", "1", "word", "Wörd", "ɏ", "x", "e\u0301", "日本", "\u200d", "😀", "<|endoftext|>", "</s>"]) | st.text(max_size=4), max_size=40).map("".join))
 def test_encoder_equals_the_library_on_any_text(text):
-    own = tokens.encoder(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
-    assert own.encode(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    for literal in (False, True):
+        expected = library(path, literal).encode(text, add_special_tokens=False).ids
+        assert tokens.encoder(path, literal=literal).encode(text).tolist() == expected
 
 
 def test_encoder_equals_the_library():
     public = pytest.importorskip("public_tokenizers")
-    own = tokens.CutEncoder(public.path("byte_bpe_50k.json"))
+    path = public.path("byte_bpe_50k.json")
+    own, whole = tokens.CutEncoder(path), library(path, False)
     odd = ["a  b", "\n a", " a b ", "x  y", "don't  they're 's", "é è  ê\n\nz", "<|endoftext|> hi <|endoftext|>x", "", "  ", "\x1c a \x1d b", "日本 語 text", "a 's b 't", "١٢ 3",
            "foo, bar. b1, c' d's, e,, f., ½, ª. a\nb, x", "x a,\nb. c", "a a\nb's c", "z ×a ÷, ª a\n\nb", "a Ǆ ǅ, ɏ. q"]
     for text in odd * 2:
-        assert own.encode(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert own.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]

@@ -50,8 +50,22 @@ def test_decontamination_finds_short_items_inside(spark, docs):
     found = {(r.doc_id, r.item_id): (r.n_shared, r.n_item_shingles) for r in decontamination.find_contained(table, items).collect()}
     assert found == {(10, 1): (1, 1), (10, 2): (1, 1), (11, 3): (1, 1), (12, 3): (1, 1), (14, 1): (1, 1), (16, 5): (1, 1), (17, 1): (1, 1), (17, 4): (26, 26)}
     assert {str(r.doc_id) for r in decontamination.drop_contaminated(table, items).collect()} == {"13", "15", "18", "None"}
-    whole = decontamination.find_contained(table, items, short_inside=False)
-    assert {(r.doc_id, r.item_id) for r in whole.collect()} == {(11, 3), (17, 4)}
+
+
+def test_decontamination_query_equals_its_sql_with_short_items(spark, docs, tmp_path):
+    import duckdb
+
+    from lakewarden.llm.queries import OP1_SQL, op1_benchmark_decontamination
+
+    items = [(1, "alpha"), (2, "Alpha beta"), (3, "one two three four"), (4, prose(1, 30)), (5, None), (6, "beta gamma delta"), (6, "gamma")]
+    table = [(10, prose(10, 40) + " ALPHA\nbeta " + prose(11, 20)), (11, "one two three four"), (12, "zero one two  three four five six"), (13, "one two three"), (14, "beta"), (15, None), (16, "x beta gamma delta"), (17, prose(1, 30) + " alpha")]
+    docs(*table).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    connection = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = {tuple(r) for r in op1_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    assert found == set(connection.execute(OP1_SQL).fetchall()) and {r[:2] for r in found} >= {(10, 1), (10, 2), (12, 3), (17, 4)}
 
 
 def test_decontamination_runs_no_python(docs, spark):
@@ -512,11 +526,12 @@ def test_damaged_records_are_refused():
 
 def test_token_shards(docs, empty, tmp_path):
     import numpy as np
+    from tokenizers import Tokenizer
 
     public = pytest.importorskip("public_tokenizers")
     path = public.path("byte_bpe_50k.json")
-    library = tokens.encoder(path).tokenizer
-    rows = [(k, prose(k, k % 50)) for k in range(300, 0, -1)] + [(None, "no id"), (400, None), (401, ""), (402, prose(3, 30_000)), (7, "again"), (7, "again")]
+    library = Tokenizer.from_file(path)  # as it comes, not the one that the operator holds
+    rows = [(k, prose(k, k % 50)) for k in range(300, 0, -1)] + [(None, "no id"), (400, None), (401, ""), (402, prose(3, 30_000)), (403, "a <|endoftext|> b<|endoftext|>"), (7, "again"), (7, "again")]
     table = docs(*rows)
     folder, manifest = tokens.write_shards(table, path, 2, f"file://{tmp_path}/t", n_shards=4)
     found = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_shards(folder, manifest).collect())

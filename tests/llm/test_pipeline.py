@@ -9,12 +9,12 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from lakewarden.llm.scratch import stage  # noqa: E402
-from lakewarden.llm.tokens import encoder  # noqa: E402
 
 WORDS = [f"w{k}" for k in range(500)]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -92,7 +92,7 @@ def test_stages_take_effect(spark, corpus):
     mixed = corpus_pipeline.mixing(spark, docs, folder)
     assert mixed.columns == COLUMNS
     # The plain version of the last stage: ids of each row, in order of doc_id.
-    library, at, plain = encoder(public_tokenizers.path("byte_bpe_50k.json")).tokenizer, 0, []
+    library, at, plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
     for doc in sorted(copies):
         ids = np.array([*library.encode(texts[doc] or "", add_special_tokens=False).ids, 2], dtype="<u4")
         for _ in range(copies[doc]):
@@ -117,5 +117,5 @@ def test_registration():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n[:2] == "op" and n[2].isdigit()} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n[:2] == "op" and n[2].isdigit()} == set(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
