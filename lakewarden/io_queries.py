@@ -6,9 +6,9 @@ have one row for each nation or a given list.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
-import uuid
 import zipfile
 from xml.etree import ElementTree
 
@@ -392,26 +392,50 @@ _STATUS = "CASE WHEN n_regionkey IN (1, 2) THEN 'success' WHEN n_regionkey = 3 T
 
 
 def _audited(spark: SparkSession, sf_dir: str, show) -> DataFrame:
-    """What ``show`` returns of the audit tables; these are dropped afterwards."""
-    import hashlib
-
-    audit = AuditLog(spark, pool=f"q{uuid.uuid4().hex}")
-    try:
-        nations = table(spark, sf_dir, "nation").collect()
-        ids = {r.n_nationkey: hashlib.md5(str(r.n_nationkey).encode()).hexdigest() for r in nations}
-        audit.add("submission_info", [{"submission_id": ids[r.n_nationkey], "dataset_id": f"d{r.n_regionkey}", "file_name": r.n_name, "file_size": r.n_nationkey} for r in nations])
-        audit.mark("received", ids.values())
-        audit.mark("success", [ids[r.n_nationkey] for r in nations if r.n_regionkey in (1, 2)], "success", 7)
-        audit.mark("failed", [ids[r.n_nationkey] for r in nations if r.n_regionkey == 3], "processing_failed")
-        for r in nations:
-            if r.n_regionkey == 1:
-                audit.add_transfer(ids[r.n_nationkey], "errors", f"t{r.n_nationkey}", "mail", r.n_name)
-        audit.add("submission_statistics", [{"submission_id": ids[r.n_nationkey], "record_count": r.n_nationkey, "number_warnings": 1} for r in nations])
-        shown = show(audit, ids)
-        return spark.createDataFrame(shown.collect(), shown.schema)
-    finally:
-        for name in ("processing_status", "submission_info", "submission_statistics", "transfers"):
-            spark.sql(f"DROP TABLE IF EXISTS {audit._name(name)}")
+    """What ``show`` returns of audit tables in a folder of their own; rows go from table to table."""
+    audit = AuditLog(spark, location=_shared(spark, "audit"))
+    nations = table(spark, sf_dir, "nation").withColumn("submission_id", F.expr("md5(cast(n_nationkey as string))"))
+    audit.append("submission_info", nations.selectExpr("submission_id", "concat('d', n_regionkey) AS dataset_id", "n_name AS file_name", "n_nationkey AS file_size"))
+    audit.append("processing_status", nations.selectExpr("submission_id", "'received' AS processing_status"))
+    audit.append("processing_status", nations.where("n_regionkey IN (1, 2)").selectExpr("submission_id", "'success' AS processing_status", "'success' AS submission_result", "7 AS job_run_id"))
+    audit.snapshot()
+    audit.append("processing_status", nations.where("n_regionkey = 3").selectExpr("submission_id", "'failed' AS processing_status", "'processing_failed' AS submission_result"))
+    transfers = nations.where("n_regionkey = 1").selectExpr("submission_id", "'errors' AS report_name", "concat('t', n_nationkey) AS transfer_id", "'mail' AS transfer_method", "n_name AS recipient")
+    audit.append("transfers", transfers)
+    audit.append("submission_statistics", nations.selectExpr("submission_id", "n_nationkey AS record_count", "1 AS number_warnings"))
+    return show(audit, {k: hashlib.md5(str(k).encode()).hexdigest() for k in range(25)})
+
+
+_EVENT_STATUS = "CASE event_type WHEN 'purchase' THEN 'success' WHEN 'view' THEN 'received' ELSE 'failed' END"
+
+
+def _event_audit(spark: SparkSession, sf_dir: str) -> AuditLog:
+    """Events as marks of submissions (one a user) in four batches, of which two are in a snapshot; one batch is sent twice."""
+    audit = AuditLog(spark, location=_shared(spark, "audit"))
+    marks = table(spark, sf_dir, "events").selectExpr("event_id", "md5(cast(user_id as string)) AS submission_id", f"{_EVENT_STATUS} AS processing_status", "event_id AS job_run_id", "ts AS time_updated")
+    for k in range(4):
+        audit.append("processing_status", marks.where(f"event_id % 4 = {k}"), batch=f"marks-{k}")
+        if k == 1:
+            audit.snapshot()
+    audit.append("processing_status", marks.where("event_id % 4 = 2"), batch="marks-2")
+    return audit
+
+
+@query("audit_events_latest", f"""SELECT md5(CAST(user_id AS VARCHAR)) AS submission_id, {_EVENT_STATUS} AS processing_status, event_id AS job_run_id FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, {_EVENT_STATUS} DESC, event_id DESC) = 1""")
+def _event_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_audit(spark, sf_dir).latest_status().select("submission_id", "processing_status", "job_run_id")
+
+
+@query("audit_events_history", f"SELECT md5(CAST(user_id AS VARCHAR)) AS submission_id, {_EVENT_STATUS} AS processing_status, event_id AS job_run_id FROM events")
+def _event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_audit(spark, sf_dir).table("processing_status").select("submission_id", "processing_status", "job_run_id")
+
+
+@query("messages_distinct_in_order", """SELECT l_returnflag AS "Entity", l_linestatus AS "Category", CAST(min(l_orderkey * 10 + l_linenumber) AS BIGINT) AS place FROM lineitem GROUP BY ALL""")
+def _distinct_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS Entity", "l_linestatus AS Category", "l_orderkey * 10 + l_linenumber AS place")
+    return distinct_messages(messages, order=("place",))
 
 
 @query("audit_marks", f"""SELECT {_ID} AS submission_id, {_STATUS} AS processing_status, CASE WHEN n_regionkey IN (1, 2) THEN 'success' WHEN n_regionkey = 3 THEN 'processing_failed' END AS submission_result,

@@ -1,16 +1,13 @@
-"""Audit: four append-only tables, partitioned by date, and views of the latest records.
+"""Audit: four append-only tables and views of the latest records.
 
-Appends never change a row. Spark's committer allows one append to a table at a time, so the threads of a driver take
-turns. Drivers that run side by side may meet in a table: an append that fails is tried again, unless its rows turn out
-to be there, or they use a ``pool`` of tables each. Readers take the latest record of each submission by one aggregation
-with ``max_by``.
+Each table is a log of committed batches (``batchlog``): appends never change a row or wait for each other, and those with
+an id can be tried again. The latest record of each submission comes from the last snapshot and the batches after it, by one
+aggregation with ``max_by``; :meth:`AuditLog.snapshot` makes a new one.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import threading
-import time
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
@@ -18,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakewarden.plans.batchlog import BatchLog
+
 STATUSES = ("received", "file_transformation", "data_contract", "business_rules", "error_report", "success", "failed", "archived")
 RESULTS = ("success", "validation_failed", "processing_failed", "archived")
 _BASE = "submission_id string, date_updated date, time_updated timestamp"
@@ -56,47 +55,46 @@ def bucket_of(submission_id: Column, buckets: int) -> Column:
     return F.pmod(F.conv(F.right(F.translate(submission_id, "-", ""), F.lit(15)), 16, 10).cast("bigint"), F.lit(buckets))
 
 
-_turn = threading.Lock()
-#: An append that meets another driver's is tried so often, so far apart.
-ATTEMPTS, PAUSE_SECONDS = 60, 1.0
-
-
 class AuditLog:
-    """The audit tables of a database."""
+    """The audit tables of a database, or of a folder."""
 
-    def __init__(self, spark: SparkSession, database: str = "default", pool: str = "audit"):
-        self.spark, self.database, self.pool = spark, database, pool
-        for name, columns in TABLES.items():
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{pool}_{name} ({_BASE}, {columns}) USING parquet PARTITIONED BY (date_updated)")
+    def __init__(self, spark: SparkSession, database: str = "default", pool: str = "audit", location: str | None = None):
+        self.spark = spark
+        base = location or spark.catalog.getDatabase(database).locationUri
+        self._logs = {name: BatchLog(spark, f"{base.rstrip('/')}/{pool}_{name}", self.schema(name), latest) for name in TABLES}
 
-    def _name(self, table: str) -> str:
-        return f"{self.database}.{self.pool}_{table}"
+    @staticmethod
+    def schema(table: str) -> T.StructType:
+        return T.StructType.fromDDL(f"{_BASE}, {TABLES[table]}")
 
     def table(self, table: str) -> DataFrame:
-        return self.spark.table(self._name(table))
+        return self._logs[table].read()
+
+    def latest(self, table: str, since: dt.date | None = None) -> DataFrame:
+        """The latest record of each submission, perhaps only those since a date."""
+        return self._logs[table].latest(since)
 
-    def add(self, table: str, rows: Sequence[Mapping[str, Any]]) -> None:
-        """Append rows, one file for all."""
-        if not rows:
-            return
+    def append(self, table: str, frame: DataFrame, batch: str | None = None) -> str:
+        """Append a frame as one batch, now unless it has times of its own. A batch id that is given makes it safe to try again."""
         now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        schema = T.StructType.fromDDL(f"{_BASE}, {TABLES[table]}")
-        data = [tuple({"date_updated": now.date(), "time_updated": now, **row}.get(f.name) for f in schema) for row in rows]
-        names = self.spark.table(self._name(table)).columns
-        frame = self.spark.createDataFrame(data, schema).select(*names).coalesce(1)
-        with _turn:
-            for attempt in range(1, ATTEMPTS + 1):
-                try:
-                    frame.write.mode("append").insertInto(self._name(table))
-                    return
-                except Exception:
-                    self.spark.catalog.refreshTable(self._name(table))
-                    written = self.table(table).where((F.col("date_updated") == F.lit(now.date())) & (F.col("time_updated") == F.lit(now)))
-                    if written.join(frame.select("submission_id"), "submission_id", "left_semi").count() >= len(rows):
-                        return
-                    if attempt == ATTEMPTS:
-                        raise
-                    time.sleep(PAUSE_SECONDS)
+        if "time_updated" not in frame.columns:
+            frame = frame.withColumn("time_updated", F.lit(now.isoformat()).cast("timestamp"))
+        if "date_updated" not in frame.columns:
+            frame = frame.withColumn("date_updated", F.to_date("time_updated"))
+        return self._logs[table].append(frame, batch)
+
+    def add(self, table: str, rows: Sequence[Mapping[str, Any]], batch: str | None = None) -> None:
+        """Append a few rows, one file for all."""
+        if rows:
+            now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+            schema = self.schema(table)
+            data = [tuple({"date_updated": now.date(), "time_updated": now, **row}.get(f.name) for f in schema) for row in rows]
+            self._logs[table].append(self.spark.createDataFrame(data, schema).coalesce(1), batch)
+
+    def snapshot(self) -> None:
+        """Merge what was appended to each table since its last snapshot."""
+        for log in self._logs.values():
+            log.snapshot()
 
     def mark(self, status: str, submission_ids: Iterable[str], result: str | None = None, job_run_id: int | None = None) -> None:
         if status not in STATUSES:
@@ -109,11 +107,11 @@ class AuditLog:
         self.add("transfers", [{"submission_id": submission_id, "report_name": report_name, "transfer_id": transfer_id, "transfer_method": transfer_method, "recipient": recipient}])
 
     def latest_status(self) -> DataFrame:
-        return latest(self.table("processing_status"))
+        return self.latest("processing_status")
 
     def with_info(self, frame: DataFrame) -> DataFrame:
         """Submission details beside ``frame``; equal columns are those of ``frame``."""
-        info = latest(self.table("submission_info"))
+        info = self.latest("submission_info")
         return frame.join(info.select("submission_id", *[c for c in info.columns if c not in frame.columns]), "submission_id")
 
     def queue(self, status: str) -> DataFrame:
@@ -121,13 +119,12 @@ class AuditLog:
         return self.with_info(self.latest_status().where(F.col("processing_status") == status))
 
     def lookup(self, table: str, tests: Iterable[tuple[str, str, Any]], newest_only: bool = True) -> DataFrame:
-        frame = self.table(table)
-        return (latest(frame) if newest_only else frame).where(predicate(tests))
+        return (self.latest(table) if newest_only else self.table(table)).where(predicate(tests))
 
     def downstream_pending(self, max_days_old: int, run_number: int = 0, max_concurrency: int = 1, statuses: Sequence[str] = ("received", "file_transformation", "data_contract", "business_rules", "error_report")) -> DataFrame:
         """Recent submissions that are not done, of one of the buckets that concurrent runs share."""
         since = dt.date.today() - dt.timedelta(days=max_days_old)
-        open_now = self.latest_status().where((F.col("date_updated") >= F.lit(since)) & F.col("processing_status").isin(*statuses))
+        open_now = self.latest("processing_status", since).where(F.col("processing_status").isin(*statuses))
         return open_now.where(bucket_of(F.col("submission_id"), max_concurrency) == run_number)
 
     def export(self, submission_id: str, folder: str) -> list[str]:

@@ -165,9 +165,15 @@ def submission_message(spark: Any, code: str, text: str, *, entity: str | None =
     return spark.createDataFrame([row], MESSAGE_SCHEMA)
 
 
-def distinct_messages(frame: DataFrame) -> DataFrame:
-    """Messages without repeats, for those about files: one file read for several entities says the same each time."""
-    return frame.distinct()
+def distinct_messages(frame: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Messages without repeats, for those about files: one file read for several entities says the same each time. With
+    columns that order them each stands where it first occurs (one aggregation and a range sort), and they are kept."""
+    if not order:
+        return frame.distinct()
+    columns = [c for c in frame.columns if c not in order]
+    first = F.min(F.struct(*order)).alias("__first")
+    once = frame.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(first).orderBy("__first")
+    return once.select(*[F.col(f"__first.`{c}`") if c in order else F.col(f"`{c}`") for c in frame.columns])
 
 
 def from_mapping(spark: Any, rows: Sequence[Mapping[str, Any]]) -> DataFrame:

@@ -3,7 +3,11 @@ any store that Spark reaches."""
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -11,6 +15,16 @@ from pyspark.sql import SparkSession
 CHUNK = 1 << 20
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: in ``spark.checkpoint.dir``, else in the warehouse; a local session has a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        base = tempfile.mkdtemp(prefix="lakewarden-core-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Files:
     """The file systems of a session. Paths without a scheme belong to the session's default one."""
 
@@ -71,6 +85,27 @@ class Files:
         with self.output(path) as out:
             out.write(text.encode())
 
+    def create_new(self, path: str, text: str) -> bool:
+        """A small file that appears whole, unless there is one of its name already (False). Of writers side by side one
+        succeeds, on local disks and on stores whose rename is atomic and replaces nothing."""
+        store, place = self._at(path)
+        draft = f"{str(path).rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+        self.write_text(draft, text)
+        source = self._jvm.org.apache.hadoop.fs.Path(draft)
+        try:
+            if store.getUri().getScheme() != "file":
+                return not store.exists(place) and store.rename(source, place)
+            link = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+            try:
+                self._jvm.java.nio.file.Files.createLink(link(place), link(source))
+            except Exception as error:
+                if "FileAlreadyExistsException" in str(error):
+                    return False
+                raise
+            return True
+        finally:
+            store.delete(source, False)
+
     def move(self, path: str, folder: str) -> str:
         """Move a file into a folder of the same store, or copy and delete it where the stores differ."""
         store, place = self._at(path)

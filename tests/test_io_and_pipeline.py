@@ -210,28 +210,6 @@ def test_reader_options_and_unreadable_csv(spark, tmp_path):
     assert (error.value.code, error.value.text) == ("Y", "differ")
 
 
-def test_audit_appends_are_tried_again(spark, monkeypatch):
-    from pyspark.sql import DataFrameWriter
-
-    audit = AuditLog(spark, pool="t2")
-    plain, failures = DataFrameWriter.insertInto, []
-
-    def unlucky(self, name, *rest):
-        """Fails once before and once after the rows are there."""
-        failures.append(name)
-        if len(failures) != 2:
-            plain(self, name, *rest)
-        if len(failures) in (2, 4):
-            raise OSError("another driver's append")
-
-    monkeypatch.setattr(DataFrameWriter, "insertInto", unlucky)
-    monkeypatch.setattr("lakewarden.plans.audit.PAUSE_SECONDS", 0.0)
-    for status in ("received", "data_contract", "success"):
-        audit.mark(status, ["s1", "s2"])
-    assert len(failures) == 4 and audit.table("processing_status").count() == 6
-    assert {r.processing_status for r in audit.latest_status().collect()} == {"success"}
-
-
 def test_report_verdicts_and_workbook(spark, tmp_path):
     assert verdict([]) == ACCEPTED and verdict(["Warning", "File Rejection"]) == REJECTED and verdict([], True) == PROCESSING_FAILED
     messages = from_mapping(spark, [{"Entity": "p", "FailureType": "record", "Status": "error", "ErrorCode": "E", "ReportingField": "f", "ErrorMessage": "<&>", "Category": "Bad value", "RecordIndex": 3}])
