@@ -15,8 +15,8 @@ corpus; it decides only the way that windows take) has its windows dealt by thei
 in the order of the next bytes), which is merge-scanned against the arrays of the existing levels: entries side by side
 that agree in all bytes asked for are a match. What is new becomes a level, and levels of about equal size merge, so
 there are O(log n) of them. The family is used over the suffixes at the anchors, which shows the pieces that might have a
-match, and over all suffixes of those where a window starts. All matches are of bytes, never of hashes; one is
-missed only if two different anchors in one piece have equal 32-bit hashes, the least of all in it (some 1e-8 a piece).
+match, and over all suffixes of those where a window starts. All matches are of bytes, never of hashes. Where an anchor's 32-bit
+hash comes more than once in a piece, all pieces of the shard with an anchor of that hash are looked up by window.
 
 **Removal.** Matched runs are packed by the range of documents they belong to, so that a range's runs and its
 compressed texts meet in one task, runs first.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm.scratch import small_batches, stage
 from lakewarden.llm.textkernels import _INVERSE as INVERSE
-from lakewarden.llm.textkernels import mix, pieces, powers, prefix_sums, range_hash
+from lakewarden.llm.textkernels import _EXACT, _ODD, mix, pieces, powers, prefix_sums, range_hash
 
 LENGTH = 50
 GRAM = 12
@@ -62,7 +62,18 @@ SAMPLE_BYTES, SAMPLE_SHARE = 16 << 20, 1 / 1024
 
 def _order_values(sums: np.ndarray, n: int, gram: int) -> np.ndarray:
     """For every position a 32-bit value that depends on the next ``gram`` bytes."""
-    raw = (sums[gram:] - sums[:-gram]) * powers(INVERSE, len(sums))[: n - gram + 1]
+    return _ordered((sums[gram:] - sums[:-gram]) * powers(INVERSE, len(sums))[: n - gram + 1])
+
+
+def _order_values_at(text: np.ndarray, places: np.ndarray, gram: int) -> np.ndarray:
+    """These values for some positions, without sums over the whole text."""
+    raw = np.zeros(len(places), dtype=np.uint64)
+    for k, power in enumerate(powers(_ODD, gram)):
+        raw += _EXACT[text[places + k]] * power
+    return _ordered(raw)
+
+
+def _ordered(raw: np.ndarray) -> np.ndarray:
     raw ^= raw >> np.uint64(29)
     raw *= np.uint64(0xBF58476D1CE4E5B9)
     return (raw >> np.uint64(32)).astype(np.uint32)
@@ -390,10 +401,11 @@ def matched_runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: n
     """
     many, anchor = anchor >= MANY, anchor % MANY
     first, asked = _firsts(text, start + anchor, doc, gram, most)
-    unclear = np.zeros(len(doc), dtype=bool)
-    unclear[first[many]] = True
-    asked = np.flatnonzero(asked)
-    kept, half = unclear[first[asked]], (length - gram + 1) // 2
+    # A piece with two anchors of one value, different ones perhaps, may match a piece that has only the second.
+    values = _order_values_at(text, start + anchor, gram)
+    unclear = np.isin(values, np.unique(values[many]))
+    asked = np.flatnonzero(asked | unclear)
+    kept, half = unclear[asked], (length - gram + 1) // 2
     for before in (0, half):  # what follows the anchor, what precedes it
         own = np.flatnonzero((anchor[asked] >= before) & (anchor[asked] - before + gram + half <= size[asked]))
         piece = asked[own]

@@ -597,3 +597,27 @@ def test_substring_removal_edge_tables(docs, empty):
     text = prose(1, 60)
     out = substrings.repeated_spans(docs((None, text), (1, text), (2, text), (None, text)), keep_text=True).collect()
     assert sorted((str(r.doc_id), r.n_removed, bytes(r.kept).decode()) for r in out) == [("1", 0, text), ("2", len(text), ""), ("None", 0, text), ("None", 0, text)]
+
+
+def test_substrings_with_two_anchors_of_one_hash(docs):
+    import numpy as np
+
+    from lakewarden.llm import substrings
+    from lakewarden.llm.textkernels import prefix_sums
+
+    a, b = "zsitzhmpoegq", "hgdfqnezzbtv"
+    hashes = [substrings._order_values(prefix_sums(np.frombuffer(x.encode(), dtype=np.uint8)), 12, 12)[0] for x in (a, b)]
+    assert hashes[0] == hashes[1]
+    rng, rows = random.Random(8), []
+    filler = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for k in range(0, 80, 2):
+        one = filler(30) + a + filler(rng.randint(0, 20)) + b + filler(60)
+        at = one.index(b)
+        rows += [(k, one), (k + 1, filler(20) + one[at - rng.randint(0, 5) : at + 12 + rng.randint(40, 60)] + filler(20))]
+    seen, expected = set(), {}
+    for k, text in rows:
+        windows = [text[i : i + 50] for i in range(len(text) - 49)]
+        expected[k] = len({j for i, w in enumerate(windows) if w in seen for j in range(i, i + 50)})
+        seen.update(windows)
+    assert sum(n > 0 for n in expected.values()) == 40
+    assert {r.doc_id: r.n_removed for r in substrings.repeated_spans(docs(*rows)).collect()} == expected
