@@ -6,6 +6,7 @@ have one row for each nation or a given list.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
 import json
@@ -26,7 +27,7 @@ from lakewarden.plans.engine import discover
 from lakewarden.plans.messages import distinct_messages, from_mapping, submission_message
 from lakewarden.plans.rules import check_program, evaluate, union_messages
 from lakewarden.queries import _FILTERS, _PROGRAM, _REPORT_CTE, _contract, _filtered, _shared, _strings, catalog, query, table
-from lakewarden.sources import readers, sinks
+from lakewarden.sources import arrowfiles, readers, sinks
 from lakewarden.sources.files import Files, extension_of, name_of, stem_of
 from lakewarden.sources.reference import loader
 
@@ -432,6 +433,36 @@ def _event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_audit(spark, sf_dir).table("processing_status").select("submission_id", "processing_status", "job_run_id")
 
 
+@query("source_arrow_batches", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders")
+def _arrow_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as Arrow streams that tasks write, each read by tasks again."""
+    place = _shared(spark, "arrow")
+    columns = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    names = [r.name for r in columns.mapInArrow(functools.partial(_as_streams, place), "name string").collect()]
+    found = [arrowfiles.read_arrow(spark, name, task_bytes=1 << 20) for name in names]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _as_streams(place, batches):
+    """One Arrow stream for the rows of each partition."""
+    import pyarrow as pa
+    from pyarrow import fs
+    from pyspark import TaskContext
+
+    first = next(iter(batches), None)
+    if first is None:
+        return
+    uri = place if "://" in place else f"file://{place}"
+    store, folder = fs.FileSystem.from_uri(uri)
+    store.create_dir(folder, recursive=True)
+    name = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}.arrows"
+    with store.open_output_stream(f"{folder}/{name}") as out, pa.ipc.new_stream(out, first.schema) as writer:
+        writer.write_batch(first)
+        for batch in batches:
+            writer.write_batch(batch)
+    yield pa.RecordBatch.from_arrays([pa.array([f"{uri}/{name}"])], names=["name"])
+
+
 @query("messages_distinct_in_order", """SELECT l_returnflag AS "Entity", l_linestatus AS "Category", CAST(min(l_orderkey * 10 + l_linenumber) AS BIGINT) AS place FROM lineitem GROUP BY ALL""")
 def _distinct_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS Entity", "l_linestatus AS Category", "l_orderkey * 10 + l_linenumber AS place")

@@ -8,6 +8,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakewarden.sources.arrowfiles import read_arrow
+
 
 def loader(spark: SparkSession, config: Mapping[str, Mapping[str, Any]], base: Path | str | None = None, extra: Mapping[str, DataFrame] | None = None) -> Callable[[str], DataFrame | None]:
     """A function from a name to its DataFrame, or None where nothing is configured under the name."""
@@ -30,13 +32,3 @@ def loader(spark: SparkSession, config: Mapping[str, Mapping[str, Any]], base: P
         return read_arrow(spark, place) if place.endswith((".arrow", ".arrows")) else spark.read.parquet(place)
 
     return load
-
-
-def read_arrow(spark: SparkSession, place: str) -> DataFrame:
-    """An Arrow IPC stream; small by nature, as it goes through the driver."""
-    import pyarrow as pa
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(place if "://" in place else f"file://{Path(place).absolute()}")
-    with store.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as reader:
-        return spark.createDataFrame(reader.read_all())
