@@ -33,11 +33,13 @@ def project(messages: DataFrame) -> DataFrame:
 
 
 def fill_codes(report: DataFrame, codes: DataFrame) -> DataFrame:
-    """Codes and texts from a table (Data_Item, Category, Error_Code, Error) where the report has none."""
-    known = codes.select("Data_Item", "Category", F.col("Error_Code").alias("__code"), F.col("Error").alias("__text")).dropDuplicates(["Data_Item", "Category"])
-    joined = report.join(known, ["Data_Item", "Category"], "left")
-    filled = joined.withColumn("Error_Code", F.coalesce("Error_Code", "__code")).withColumn("Error", F.coalesce("Error", "__text"))
-    return filled.select(*report.columns)
+    """Codes and texts from a table (Data_Item, Category, Error_Code, Error) where the report has none; of several rows for an item
+    and category the one with the least code, then text."""
+    least = F.min(F.struct("Error_Code", "Error")).alias("least")
+    known = codes.groupBy("Data_Item", "Category").agg(least).alias("known")
+    joined = report.alias("report").join(known, ["Data_Item", "Category"], "left")
+    fills = {name: F.coalesce(F.col(f"report.`{name}`"), F.col(f"known.least.`{name}`")).alias(name) for name in ("Error_Code", "Error")}
+    return joined.select(*[fills.get(c, F.col(c) if c in ("Data_Item", "Category") else F.col(f"report.`{c}`")) for c in report.columns])
 
 
 def aggregates(report: DataFrame) -> DataFrame:

@@ -232,3 +232,13 @@ def test_streaming_ingestion(spark, tmp_path, rows):
     assert rows(spark.read.parquet(f"{target}/entities/planets"), "planet") == [("earth",)]
     assert rows(spark.read.parquet(f"{target}/messages"), "ErrorCode") == [("MANY",)]
     assert RECORD_INDEX not in spark.read.parquet(f"{target}/entities/planets").columns
+
+
+def test_codes_of_an_item_are_the_least_and_clash_with_no_column(spark, rows):
+    from lakewarden.plans.report import fill_codes
+
+    report = spark.sql("SELECT * FROM VALUES ('i', 'c', NULL, NULL, 'x'), ('i', 'c', 'own', NULL, 'y'), ('j', 'c', NULL, 'e', 'z') t(Data_Item, Category, Error_Code, Error, least)")
+    codes = spark.sql("SELECT * FROM VALUES ('i', 'c', 'B', 'b'), ('i', 'c', 'A', 'a2'), ('i', 'c', 'A', 'a1') t(Data_Item, Category, Error_Code, Error)")
+    out = fill_codes(report, codes)
+    assert out.columns == report.columns
+    assert rows(out) == [("i", "c", "A", "a1", "x"), ("i", "c", "own", "a1", "y"), ("j", "c", None, "e", "z")]
