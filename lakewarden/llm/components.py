@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is an aggregation and a join on the edge table, so no component is ever gathered in a task, and
-the number of steps grows with the logarithm of the graph (Kiveris et al., "Connected components in
+Each step is an aggregation and a join on the edge table by its ends: rows stream through, but those of one end meet in a
+task, so at the last steps a large component's edges do, at their root. The number of steps grows with the logarithm of the graph (Kiveris et al., "Connected components in
 MapReduce and beyond", 2014). The table is written after each round, which cuts the lineage. A counted table of at most
 ``SMALL`` edges (3 MB) is settled by one task with union-find instead, which gives the same in one job.
 """

@@ -11,7 +11,8 @@ the right of ``presence(x)`` is one matrix and whole blocks of texts are scored
 The fit uses a bounded sample, up to ``PER_LANGUAGE`` texts of every language and fewer where ``LABELLED`` texts are
 not enough for that, but at least one, taken by a hash of the id; counts are over all rows. No language is left out;
 the weights and the landmarks' presences take 256 KiB a language each. What the driver gathers of a sampled text are
-the bits of its buckets, 8 KiB whatever its length: at most ``LABELLED`` times that (98 MB). Every text is predicted, whole.
+the bits of its buckets, 8 KiB whatever its length: about 1.5 times ``LABELLED`` of them, as the draw takes half as many again
+before it is trimmed (147 MB), and one for each language. Every text is predicted, whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing can
 be learned; rows with a null lang or text are not learned from; a null doc_id hashes as an empty text; rows

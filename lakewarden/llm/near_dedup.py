@@ -15,7 +15,7 @@
 
 A pair at the threshold of 0.85 shares none of the 32 bands of 6 registers with a probability of 3e-7, and a pair
 at 0.8 none of 48 bands with 5e-7 (of 32 with 6e-5, so a lower threshold needs more ``bands``); the register
-estimate discards only what lies ``ERRORS`` standard errors below the threshold. Nothing else is lossy.
+estimate discards only what lies ``ERRORS`` standard errors below the threshold. Sets are of 64-bit hashes of shingles. Nothing else is lossy.
 
 What moves: registers and sets of documents that share no bucket are never shuffled, and a round moves those of the
 pairs it compares only. A list of ids or keys is broadcast up to ``BROADCAST_ROWS`` rows of it, and shuffled beyond.
