@@ -24,7 +24,7 @@ from lakewarden.plans.audit import AuditLog
 from lakewarden.plans.config import ConfigError, DatasetConfig
 from lakewarden.plans.contract import apply_contract
 from lakewarden.plans.engine import discover
-from lakewarden.plans.messages import distinct_messages, from_mapping, submission_message
+from lakewarden.plans.messages import distinct_messages, submission_messages
 from lakewarden.plans.rules import check_program, evaluate, union_messages
 from lakewarden.queries import _FILTERS, _PROGRAM, _REPORT_CTE, _contract, _filtered, _shared, _strings, catalog, query, table
 from lakewarden.sources import arrowfiles, readers, sinks
@@ -40,6 +40,24 @@ def _python_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.from_rows(spark, rows, _strings("k", "name", "absent"))
 
 
+@query("source_python_iterators", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(NULL AS VARCHAR) AS absent FROM customer")
+def _python_iterators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files of JSON lines, which tasks read by a Python iterator for each file."""
+    place = _shared(spark, "iterated")
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string"), "c_name").repartition(4).write.json(place)
+    files = spark.read.format("binaryFile").load(place).select("path")
+    return readers.from_iterators(files, _json_lines, _strings("c_custkey", "c_name", "absent"))
+
+
+def _json_lines(file):
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(file.path.replace("file:/", "file:///", 1) if file.path.startswith("file:/") and not file.path.startswith("file://") else file.path)
+    with io.BufferedReader(store.open_input_stream(place)) as lines:
+        for line in lines:
+            yield json.loads(line)
+
+
 @query("source_reference_data", """SELECT 'table' AS kind, n_name AS name FROM nation UNION ALL SELECT 'filename', r_name FROM region
  UNION ALL SELECT 'uri', s_name FROM supplier UNION ALL SELECT 'arrow', n_name FROM nation WHERE n_regionkey = 1""")
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,28 +113,37 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, stem string, extension string, size long, text string, moved boolean")
 
 
-@query("reader_guards", """SELECT * FROM (VALUES ('empty', 'EmptyFileError', NULL), ('null bytes', 'MalformedFile', NULL), ('header', 'FieldCountMismatch', 'Missing fields: n_name; Additional fields: extra'),
- ('no header', 'FieldCountMismatch', NULL), ('unreadable', 'CSVBroken', 'Unable to parse file. Please check the structure of the file.'), ('several headers', 'NonUniqueHeader', 'n_name: A, B'),
- ('unknown option', 'ReaderError', NULL), ('nested fields', 'ReaderError', NULL), ('good', NULL, NULL)) AS v(kind, code, value)""")
+@query("reader_guards", """SELECT kind, code, value, CASE WHEN kind = 'good' THEN (SELECT count(*) FROM supplier) END AS rows_read FROM (VALUES ('empty', 'EmptyFileError', NULL), ('null bytes', 'MalformedFile', NULL),
+ ('header', 'FieldCountMismatch', 'Missing fields: name; Additional fields: extra'), ('no header', 'FieldCountMismatch', NULL), ('unreadable', 'CSVBroken', 'Unable to parse file. Please check the structure of the file.'),
+ ('several headers', 'NonUniqueHeader', 'name: 0, 1'), ('unknown option', 'ReaderError', NULL), ('nested fields', 'ReaderError', NULL), ('good', NULL, NULL)) AS v(kind, code, value)""")
 def _guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, files, rows = _shared(spark, "guards"), Files(spark), []
-    names = ",".join(["n_nationkey", "extra"])
+    """Suppliers as files that are refused, and as one that isn't."""
+    base, rows, read = _shared(spark, "guards"), [], None
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    nested = T.StructType([T.StructField("name", T.ArrayType(T.StringType()))])
     cases = [
-        ("empty", "", {}), ("null bytes", "a\n\0\n", {}), ("header", f"{names}\n1,2\n", {"field_check": True}), ("no header", "1\n", {"header": False}),
-        ("unreadable", " \n1\n", {"field_check_error_code": "CSVBroken"}), ("several headers", "n_nationkey,n_name\n1,A\n1,B\n", {"reader": "repeating_header_csv"}),
-        ("unknown option", "n_name\nA\n", {"colour": "red"}), ("nested fields", "n_name\nA\n", {"nested": True}), ("good", "n_name,n_nationkey\nA,1\n", {"field_check": True}),
+        ("empty", suppliers.where("false").select("name"), {}), ("null bytes", suppliers.selectExpr("concat(name, char(0)) AS line"), {}),
+        ("header", suppliers.selectExpr("k", "name AS extra"), {"field_check": True}), ("no header", suppliers.select(F.col("k").cast("string")), {"header": False}),
+        ("unreadable", suppliers.select(F.lit(" ").alias("line")), {"field_check_error_code": "CSVBroken"}), ("several headers", suppliers.selectExpr("1 AS k", "k % 2 AS name"), {"reader": "repeating_header_csv"}),
+        ("unknown option", suppliers, {"colour": "red"}), ("nested fields", suppliers, {"schema": nested}), ("good", suppliers, {"field_check": True}),
     ]
-    for k, (kind, text, options) in enumerate(cases):
-        files.write_text(f"{base}/{k}.csv", text)
-        schema = T.StructType([T.StructField("n_name", T.ArrayType(T.StringType()))]) if options.pop("nested", False) else _strings("n_nationkey", "n_name")
+    for number, (kind, frame, options) in enumerate(cases):
+        place = f"{base}/{number}.csv"
+        if len(frame.columns) == 1:
+            frame.write.text(place)
+        else:
+            frame.write.option("header", True).csv(place)
+        schema = options.pop("schema", _strings("k", "name"))
         try:
-            readers.get_reader(options.pop("reader", "csv"))(spark, f"{base}/{k}.csv", schema, **options)
-            rows.append((kind, None, None))
+            read = readers.get_reader(options.pop("reader", "csv"))(spark, place, schema, **options)
         except readers.SubmissionRejected as error:
             rows.append((kind, error.code, error.value))
         except readers.ReaderError as error:
             rows.append((kind, type(error).__name__, None))
-    return spark.createDataFrame(rows, "kind string, code string, value string")
+        else:
+            rows.append((kind, None, None))
+    refused = spark.createDataFrame(rows, "kind string, code string, value string")
+    return refused.join(F.broadcast(read.agg(F.count(F.lit(1)).alias("rows_read"))), F.expr("kind = 'good'"), "left")
 
 
 def _orders_xml(spark: SparkSession, sf_dir: str, place: str) -> T.StructType:
@@ -247,12 +274,10 @@ def _aggregate_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.write_parquet(counted, f"{_shared(spark, 'audit')}/error_aggregates.parquet").select("Type", "Error_Code", "Count")
 
 
-@query("sink_processing_errors", "SELECT 'data_contract' AS step_name, 'integrity' AS error_level, 'nation ' || n_nationkey AS error_message FROM nation")
+@query("sink_processing_errors", "SELECT 'data_contract' AS step_name, 'integrity' AS error_level, 'event ' || event_id AS error_message FROM events WHERE event_type = 'error'")
 def _processing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _shared(spark, "failures")
-    for r in table(spark, sf_dir, "nation").collect():
-        place = sinks.write_processing_error(spark, folder, "data_contract", RuntimeError(f"nation {r.n_nationkey}"))
-    return spark.read.json(place).select("step_name", "error_level", "error_message")
+    failures = table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("'data_contract' AS step_name", "concat('event ', event_id) AS error_message")
+    return spark.read.json(sinks.write_processing_errors(failures, _shared(spark, "failures"))).select("step_name", "error_level", "error_message")
 
 
 @query("report_workbook", _REPORT_CTE + """SELECT "Type", "Error_Code", "Data_Item", true AS in_order FROM m""")
@@ -278,31 +303,34 @@ def _workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "Type string, Error_Code string, Data_Item string, in_order boolean")
 
 
-@query("report_verdicts", """SELECT * FROM (VALUES (false, false, false, 'File has been accepted, no issues to report'), (false, false, true, 'File has been accepted, all records accepted with warnings'),
- (false, true, true, 'File has been accepted with record rejections'), (true, true, true, 'File has been rejected'), (false, true, false, 'File has been accepted with record rejections'),
- (true, false, false, 'File has been rejected')) AS v(file, record, warned, text)""")
+_EVENT_TYPE = "CASE event_type WHEN 'error' THEN 'File Rejection' WHEN 'signup' THEN 'Record Rejection' WHEN 'click' THEN 'Warning' END"
+
+
+@query("report_verdicts", f"""SELECT user_id, CAST(ts AS DATE) AS day, CASE max(CASE {_EVENT_TYPE} WHEN 'File Rejection' THEN 3 WHEN 'Record Rejection' THEN 2 WHEN 'Warning' THEN 1 ELSE 0 END)
+ WHEN 3 THEN 'File has been rejected' WHEN 2 THEN 'File has been accepted with record rejections' WHEN 1 THEN 'File has been accepted, all records accepted with warnings'
+ ELSE 'File has been accepted, no issues to report' END AS verdict FROM events GROUP BY user_id, CAST(ts AS DATE)""")
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = (report.FILE_REJECTION, report.RECORD_REJECTION, report.WARNING)
-    cases = [(False, False, False), (False, False, True), (False, True, True), (True, True, True), (False, True, False), (True, False, False)]
-    rows = [(*case, report.verdict([k for k, there in zip(kinds, case, strict=True) if there])) for case in cases]
-    return spark.createDataFrame(rows, "file boolean, record boolean, warned boolean, text string")
+    """Events as what was found in submissions, one of a user a day."""
+    found = table(spark, sf_dir, "events").selectExpr("user_id", "cast(ts AS date) AS day", f"{_EVENT_TYPE} AS Type")
+    return report.verdicts(found, "user_id", "day")
 
 
 # Messages
 
 
-@query("messages_distinct", "SELECT 'E' || r_regionkey AS code, r_name AS text FROM region")
+@query("messages_distinct", "SELECT 'E' || s_suppkey AS code, s_name AS text FROM supplier")
 def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What several readers say of one file, once each."""
-    said = [submission_message(spark, f"E{r.r_regionkey}", r.r_name) for r in table(spark, sf_dir, "region").collect()]
-    return distinct_messages(union_messages([*said, *said])).select(F.col("ErrorCode").alias("code"), F.col("ErrorMessage").alias("text"))
+    """What several readers say of each file, once each."""
+    said = submission_messages(table(spark, sf_dir, "supplier"), F.expr("concat('E', s_suppkey)"), F.col("s_name"))
+    return distinct_messages(union_messages([said, said])).select(F.col("ErrorCode").alias("code"), F.col("ErrorMessage").alias("text"))
 
 
-@query("messages_of_errors", """SELECT * FROM (VALUES ('ValueError', 'integrity', 'Unexpected error (ValueError: no) in data_contract', 'orders'),
- ('ConfigError', 'integrity', 'Unexpected error (ConfigError: bad) in business_rules', NULL)) AS v(kind, failure, text, entity)""")
+@query("messages_of_errors", """SELECT event_type AS kind, 'integrity' AS failure, 'Unexpected error (' || event_type || ': event ' || event_id || ') in data_contract' AS text, 'user ' || user_id AS entity
+ FROM events WHERE event_type IN ('error', 'click')""")
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [sinks.describe_error(ValueError("no"), "data_contract", "orders"), sinks.describe_error(ConfigError("bad"), "business_rules")]
-    return from_mapping(spark, rows).select(F.col("ErrorType").alias("kind"), F.col("FailureType").alias("failure"), F.col("ErrorMessage").alias("text"), F.col("Entity").alias("entity"))
+    events = table(spark, sf_dir, "events").where("event_type IN ('error', 'click')")
+    told = sinks.describe_errors(events, F.col("event_type"), F.expr("concat('event ', event_id)"), F.lit("data_contract"), F.expr("concat('user ', user_id)"))
+    return told.select(F.col("ErrorType").alias("kind"), F.col("FailureType").alias("failure"), F.col("ErrorMessage").alias("text"), F.col("Entity").alias("entity"))
 
 
 @query("messages_of_warnings", """SELECT CAST(n_nationkey AS VARCHAR) AS k, 'informational' AS status, 'Wrong format' AS category,
@@ -354,13 +382,20 @@ def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("n_nationkey", F.col("b").cast("bigint").alias("b"), F.lit(refused).alias("refused"))
 
 
-@query("rules_data_flow", """SELECT * FROM (VALUES ('without customer', 'root: customer'), ('without any', 'dear_orders: orders'), ('without any', 'root: customer')) AS v(kind, missing)""")
+@query("rules_data_flow", """SELECT 'with both' AS kind, NULL AS missing, c_mktsegment AS segment, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+ WHERE o_orderstatus IN ('O', 'F') AND coalesce(c_mktsegment <> 'MACHINERY', false) GROUP BY c_mktsegment
+ UNION ALL SELECT *, NULL, NULL FROM (VALUES ('without customer', 'root: customer'), ('without any', 'dear_orders: orders'), ('without any', 'root: customer')) AS v(kind, missing)""")
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a program's steps and filters need that no step before them makes, told before anything runs."""
-    config = DatasetConfig.from_json(_PROGRAM)
-    cases = [("with both", {"orders", "customer"}), ("without customer", {"orders"}), ("without any", set())]
-    rows = [(kind, missing) for kind, have in cases for missing in check_program(config.rules, have, config.parameters)]
-    return spark.createDataFrame(rows, "kind string, missing string")
+    """What a program's steps and filters need that no step before them makes, told before anything runs; it runs where nothing is missing."""
+    config, parts = DatasetConfig.from_json(_PROGRAM), []
+    for kind, have in (("with both", ("orders", "customer")), ("without customer", ("orders",)), ("without any", ())):
+        missing = check_program(config.rules, set(have), config.parameters)
+        if missing:
+            parts.append(spark.createDataFrame([(kind, m, None, None) for m in missing], "kind string, missing string, segment string, n long"))
+        else:
+            made = evaluate(catalog(spark, sf_dir, *have), config.rules, config.parameters, {"orders": ("o_orderkey",)}).catalog["by_segment"]
+            parts.append(made.select(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("missing"), "segment", "n"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("rules_templating_runtime", """SELECT c_mktsegment AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey

@@ -78,7 +78,7 @@ class Engine:
                     catalog = catalog.put(name, reject_records(catalog[name], contract_messages, name))
         if folder:
             write_entities(dict(catalog.entities), f"{folder}/outputs")
-            write_messages(total, folder, "engine")
+            write_messages(total, folder, "engine", mode="overwrite")
         return Outcome(catalog, total)
 
 
@@ -210,7 +210,7 @@ class Pipeline:
         self._mark("error_report", submission)
         messages = union_messages(parts, None) if parts else None
         if messages is not None:
-            messages = self.spark.read.schema(messages.schema).json(write_messages(messages, folder, "all"))
+            messages = self.spark.read.schema(messages.schema).json(write_messages(messages, folder, "all", mode="overwrite"))
             counted = aggregates(project(messages))
             counted = write_parquet(counted, f"{folder}/audit/error_aggregates.parquet")
             failed = not messages.where("Status <> 'informational'").isEmpty()

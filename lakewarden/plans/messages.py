@@ -176,6 +176,21 @@ def distinct_messages(frame: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     return once.select(*[F.col(f"__first.`{c}`") if c in order else F.col(f"`{c}`") for c in frame.columns])
 
 
+def messages_from(frame: DataFrame, **columns: Column) -> DataFrame:
+    """One message for each row of a frame: columns of messages by expressions, null where there is none."""
+    unknown = sorted(set(columns) - set(MESSAGE_SCHEMA.names))
+    if unknown:
+        raise ValueError(f"messages have no column {', '.join(unknown)}")
+    return frame.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in MESSAGE_SCHEMA])
+
+
+def submission_messages(frame: DataFrame, code: Column, text: Column, *, entity: Column | None = None, value: Column | None = None, category: str = "Bad file") -> DataFrame:
+    """What :func:`submission_message` says, for each row of a frame, such as a list of refused files."""
+    fixed = {"Key": "", "FailureType": "submission", "Status": "error", "ErrorType": "reader", "ErrorLocation": "Whole File", "Category": category}
+    given = {"ErrorCode": code, "ErrorMessage": text, "Entity": entity, "Value": value}
+    return messages_from(frame, **{k: F.lit(v) for k, v in fixed.items()}, **{k: v for k, v in given.items() if v is not None})
+
+
 def from_mapping(spark: Any, rows: Sequence[Mapping[str, Any]]) -> DataFrame:
     """Messages from dictionaries with some of the columns."""
     return spark.createDataFrame([tuple(r.get(f.name) for f in MESSAGE_SCHEMA) for r in rows], MESSAGE_SCHEMA)

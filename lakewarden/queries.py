@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Callable
 
@@ -96,10 +97,12 @@ step_query("op_copy_entity", ("nation",), [steps.CopyEntity(entity="nation", new
 step_query("op_rename_entity", ("nation",), [steps.RenameEntity(entity="nation", new_entity_name="nations")], "SELECT * FROM nation")
 
 
-@query("op_remove_entity", "SELECT * FROM (VALUES ('region')) t(entity)")
+@query("op_remove_entity", "SELECT 'orders' AS entity, CAST(o_orderkey AS BIGINT) AS id FROM orders UNION ALL SELECT 'supplier', s_suppkey FROM supplier")
 def _remove_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = steps.RemoveEntities(entity=("nation", "absent")).run(catalog(spark, sf_dir, "nation", "region"))
-    return spark.createDataFrame([(name,) for name in state], "entity string")
+    """The rows of the entities that are left."""
+    state = steps.RemoveEntities(entity=("customer", "absent")).run(catalog(spark, sf_dir, "orders", "customer", "supplier"))
+    parts = [state[name].select(F.lit(name).alias("entity"), F.col(state[name].columns[0]).cast("bigint").alias("id")) for name in state]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # Joins

@@ -6,7 +6,7 @@ and chosen by file extension in the contract.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -397,6 +397,27 @@ def from_rows(spark: SparkSession, rows: Sequence[Mapping[str, Any]], schema: T.
     return spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
 
 
+def from_iterators(shards: DataFrame, rows: Callable[[Any], Iterable[Mapping[str, Any]]], schema: T.StructType, batch_rows: int = 1000) -> DataFrame:
+    """An entity from Python iterators that tasks run: ``rows`` is called with each row of ``shards`` (a file's name, a range of
+    keys) and yields dictionaries; missing fields are null. Neither the shards nor their rows pass through the driver,
+    and a task holds ``batch_rows`` rows at a time. ``rows`` must yield the same again when a task is repeated."""
+    names, columns = schema.fieldNames(), shards.columns
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import itertools
+
+        import pandas as pd
+
+        shape = T.Row(*columns)
+        for batch in batches:
+            for values in batch.itertuples(index=False, name=None):
+                found = iter(rows(shape(*values)))
+                while held := list(itertools.islice(found, batch_rows)):
+                    yield pd.DataFrame([[r.get(n) for n in names] for r in held], columns=names, dtype=object)
+
+    return shards.mapInPandas(run, schema)
+
+
 def read_entity(spark: SparkSession, path: str, schema: T.StructType, config: Mapping[str, Any]) -> DataFrame:
     """Read by a reader configuration: ``reader`` and its ``kwargs_`` (or ``parameters``)."""
     options = {**config.get("parameters", {}), **config.get("kwargs_", {})}

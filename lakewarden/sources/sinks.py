@@ -7,10 +7,11 @@ import traceback
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.operators.index import drop_record_index
+from lakewarden.plans.messages import messages_from
 from lakewarden.sources.files import Files
 
 
@@ -25,10 +26,11 @@ def write_entities(entities: dict[str, DataFrame], folder: str) -> dict[str, Dat
     return {name: write_parquet(drop_record_index(frame), f"{folder}/{name}") for name, frame in entities.items()}
 
 
-def write_messages(messages: DataFrame, folder: str, stage: str) -> str:
-    """Messages as JSON lines under ``errors/<stage>_errors.jsonl``, written by all tasks at once."""
+def write_messages(messages: DataFrame, folder: str, stage: str, mode: str = "append") -> str:
+    """Messages as JSON lines under ``errors/<stage>_errors.jsonl``, written by all tasks at once. ``mode="overwrite"`` is
+    for a frame that holds all messages of the stage, so that a rerun doesn't double them."""
     place = f"{folder}/errors/{stage}_errors.jsonl"
-    messages.write.mode("append").option("ignoreNullFields", "false").json(place)
+    messages.write.mode(mode).option("ignoreNullFields", "false").json(place)
     return place
 
 
@@ -41,6 +43,24 @@ def write_processing_error(spark: SparkSession, folder: str, stage: str, error:
     return place
 
 
+def write_processing_errors(errors: DataFrame, folder: str) -> str:
+    """Many failures as :func:`write_processing_error` writes one, by tasks: ``step_name``, ``error_message`` and, if it is
+    there, ``error_traceback`` (an array of lines)."""
+    place = f"{folder}/processing_errors/processing_errors.jsonl"
+    trace = F.col("error_traceback") if "error_traceback" in errors.columns else F.array().cast("array<string>")
+    rows = errors.select("step_name", F.lit("processing").alias("error_location"), F.lit("integrity").alias("error_level"), "error_message", trace.alias("error_traceback"))
+    rows.write.mode("append").option("ignoreNullFields", "false").json(place)
+    return place
+
+
+def describe_errors(errors: DataFrame, kind: Column, text: Column, stage: Column, entity: Column | None = None) -> DataFrame:
+    """What :func:`describe_error` says of one exception, for each row of a frame of them."""
+    said = F.concat(F.lit("Unexpected error ("), kind, F.lit(": "), F.coalesce(text, F.lit("")), F.lit(") in "), stage)
+    fixed = {"Key": "", "FailureType": "integrity", "Status": "error", "Category": "Bad file"}
+    given = {"ErrorType": kind, "ErrorMessage": said, **({} if entity is None else {"Entity": entity})}
+    return messages_from(errors, **{k: F.lit(v) for k, v in fixed.items()}, **given)
+
+
 def describe_error(error: BaseException, stage: str, entity: str | None = None) -> dict[str, Any]:
     """Any exception as the columns of an integrity message."""
     text = f"Unexpected error ({type(error).__name__}: {error}) in {stage}"

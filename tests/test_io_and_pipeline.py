@@ -242,3 +242,66 @@ def test_codes_of_an_item_are_the_least_and_clash_with_no_column(spark, rows):
     out = fill_codes(report, codes)
     assert out.columns == report.columns
     assert rows(out) == [("i", "c", "A", "a1", "x"), ("i", "c", "own", "a1", "y"), ("j", "c", None, "e", "z")]
+
+
+def test_verdicts_of_many_submissions(spark, rows):
+    from lakewarden.plans.report import ACCEPTED_WITH_WARNINGS, verdicts
+
+    found = spark.sql("SELECT * FROM VALUES (1, 'Warning', 'x'), (1, 'File Rejection', 'x'), (2, 'Warning', 'x'), (3, NULL, 'x'), (NULL, 'Record Rejection', 'x'), (NULL, 'Warning', 'x') t(`a b`, Type, verdict)")
+    said = verdicts(found, "a b")
+    assert said.columns == ["a b", "verdict"]
+    assert {r[0]: r[1] for r in said.collect()} == {1: REJECTED, 2: ACCEPTED_WITH_WARNINGS, 3: ACCEPTED, None: ACCEPTED_WITH_REJECTIONS}
+    assert verdicts(found.limit(0), "a b").count() == 0
+    # One exchange: what tasks found is combined before it.
+    assert verdicts(found, "a b")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_iterators_are_made_by_tasks(spark, rows):
+    def count(shard):
+        import os
+
+        for k in range(shard.first, shard.first + shard.n):
+            yield {"k": str(k), "part": [{"pid": str(os.getpid())}]} if k % 3 else {}
+
+    shards = spark.sql("SELECT * FROM VALUES (0, 5), (10, 0), (20, 2500) t(first, n)")
+    schema = T.StructType([*strings("k"), T.StructField("part", T.ArrayType(strings("pid")))])
+    made = readers.from_iterators(shards, count, schema, batch_rows=100)
+    import os
+
+    assert made.count() == 2505 and made.where("k IS NULL").count() == 2 + 833 and made.where("size(part) = 1").count() == 3 + 1667
+    assert str(os.getpid()) not in {r.part[0].pid for r in made.where("k IS NOT NULL").collect()}
+    assert readers.from_iterators(shards.limit(0), count, schema).collect() == []
+
+
+def test_errors_and_refusals_as_messages(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lakewarden.plans.messages import messages_from, submission_message, submission_messages
+    from lakewarden.sources import sinks
+
+    frame = spark.sql("SELECT * FROM VALUES ('KeyError', 'no'), ('ValueError', NULL) t(kind, Key)")
+    told = sinks.describe_errors(frame, F.col("kind"), F.col("Key"), F.lit("rules"))
+    plain = from_mapping(spark, [sinks.describe_error(type(k, (Exception,), {})(*t), "rules") for k, t in (("KeyError", ["no"]), ("ValueError", []))])
+    assert sorted(map(str, told.collect())) == sorted(map(str, plain.collect()))
+    one = submission_messages(frame.limit(1), F.lit("C"), F.lit("t"), value=F.lit("v"))
+    assert one.collect() == submission_message(spark, "C", "t", value="v").collect()
+    with pytest.raises(ValueError):
+        messages_from(frame, Colour=F.lit("red"))
+    errors = spark.sql("SELECT 's' AS step_name, concat('e', id) AS error_message FROM range(50)")
+    place = sinks.write_processing_errors(errors, str(tmp_path))
+    sinks.write_processing_error(spark, str(tmp_path), "t", RuntimeError("last"))
+    read = spark.read.json(place)
+    assert read.count() == 51 and read.where("step_name = 't'").first().error_message == "last"
+    assert set(read.columns) == {"step_name", "error_location", "error_level", "error_message", "error_traceback"}
+
+
+def test_a_second_run_of_a_submission_doubles_no_message(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    submission(tmp_path / "in", "mixed", "planet,mass,moons\nearth,5.9,1\nsaturn,560,82\n")
+    pipeline = Pipeline(spark, {"planets": DatasetConfig.from_json(DOCUMENT)}, str(tmp_path / "work"))
+    found, _ = discover(str(tmp_path / "in"), spark)
+    said = []
+    for _ in range(2):
+        pipeline.run(found[0])
+        said.append(spark.read.json(f"{tmp_path}/work/{found[0].submission_id}/errors/all_errors.jsonl").count())
+    assert said[0] == said[1] == 1
