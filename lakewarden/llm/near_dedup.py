@@ -191,6 +191,26 @@ def _linked(buckets: DataFrame, labels: DataFrame, sets: DataFrame, search: _Sea
         pivots *= GROWTH
 
 
+def _ties(spare: DataFrame, classes: DataFrame, hint) -> DataFrame:
+    """Links (a, b) from the classes of a document with several sets (rows that repeat its doc_id) to the document."""
+    ids = spare.select(F.col("doc_id").alias("end"))
+    own = classes.join(hint(ids), F.col("rep") == F.col("end"), "left_semi").select(F.col("rep").alias("doc_id"), "rep")
+    several = spare.unionByName(own).groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("doc_id")
+    return stage(spare.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "near-ties")
+
+
+def _with_ties(labels: DataFrame, ties: DataFrame) -> DataFrame:
+    """``rep, label`` with the components of ``ties`` contracted."""
+    if ties.isEmpty():
+        return labels
+    name = lambda of, end: labels.select(F.col("rep").alias(of), F.col("label").alias(end))
+    named = ties.join(name("a", "la"), "a", "left").join(name("b", "lb"), "b", "left")
+    roots = components(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    ends = ties.select(F.col("a").alias("rep")).unionByName(ties.select(F.col("b").alias("rep"))).distinct().join(labels, "rep", "left_anti")
+    known = labels.unionByName(ends.select("rep", F.col("rep").alias("label")))
+    return stage(known.join(roots, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("root", "label").alias("label")), "near-labels")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
@@ -200,8 +220,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5, ba
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stage(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
     chosen = classes.select("digest", F.col("rep").alias("doc_id"))
-    spare = stage(usable.select("digest", "doc_id").join(classes, "digest").where("doc_id > rep").select("digest", "doc_id").distinct(), "near-spare")
-    registers = usable.join(F.broadcast(spare) if spare.count() <= BROADCAST_ROWS // 4 else spare, ["digest", "doc_id"], "left_anti")
+    spare = stage(usable.select("digest", "doc_id").join(classes, "digest").where("doc_id > rep").select("digest", "doc_id", "rep").distinct(), "near-spare")
+    hint = F.broadcast if spare.count() <= BROADCAST_ROWS // 4 else lambda df: df
+    registers = usable.join(hint(spare.select("digest", "doc_id")), ["digest", "doc_id"], "left_anti")
     registers = registers.select(F.col("doc_id").alias("rep"), "n_shingles", "registers")
     key = F.expr(f"explode(transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(registers, i * {2 * rows} + 1, {2 * rows}))))")
     keyed = registers.select(key.alias("key"), "rep", F.col("n_shingles").alias("n"))
@@ -212,6 +233,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5, ba
     registers = stage(_among(registers, "rep", active).distinct(), "near-registers")
     sets = stage(texts.mapInArrow(_full_sets(width), "rep long, shingles array<long>"), "near-sets")
     labels = _linked(buckets, active.select("rep", F.col("rep").alias("label")), sets, _Search(registers, sets, threshold))
+    labels = _with_ties(labels, _ties(spare.select("doc_id", "rep"), classes, hint))
     placed = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(labels, "rep", "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(linked, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))

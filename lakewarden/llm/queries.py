@@ -99,6 +99,28 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, doc_id, md5(unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM d
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.r AS ra, b.r AS rb, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT DISTINCT a, b FROM p JOIN n x ON x.r = ra JOIN n y ON y.r = rb WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (
+  SELECT DISTINCT doc_id, doc_id AS root FROM d
+  UNION SELECT e.b, c.root FROM c JOIN e ON c.doc_id = e.a WHERE c.root < e.b
+), t AS (SELECT doc_id, min(root) AS component_id FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(d.doc_id = component_id, true) AS kept
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN t ON d.doc_id = t.doc_id AND n.n > 0
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewarden.llm.exact_dedup import keepers
 
@@ -127,6 +149,28 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting_report(turns, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), k AS (
+  -- A control string, escaped or not, is longer by a backslash in the output.
+  SELECT *, '<\\*/?s>|\[\\*/?(?:SYS|INST|TOOL|ROLE)\]|\[\\*(?:ANS|END)\]' AS control FROM t
+), f AS (
+  SELECT conv_id, turn, role, text, length(text) + len(regexp_extract_all(text, control)) + CASE role
+    WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'tool' THEN 13 WHEN 'assistant' THEN 9
+    ELSE 18 + length(role) + len(regexp_extract_all(role, control)) END AS chars FROM k
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewarden.llm.warc import archive_report
 
@@ -266,7 +310,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
     "op4_source_mixing": OP4_SQL,
+    "op5_near_dedup": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op7_chat_formatting": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op11_quality_rules": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,

@@ -119,3 +119,24 @@ def test_registration():
     names = set(entry.queries())
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n[:2] == "op" and n[2].isdigit()} == set(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_interleaved_runs_drop_only_their_own_tables(spark):
+    import contextvars
+
+    from lakewarden.llm.scratch import stage
+
+    first = corpus_pipeline._tidy("one", lambda spark, docs, sf_dir: stage(docs, "own"), None)
+    second = corpus_pipeline._tidy("two", lambda spark, docs, sf_dir: docs, "one")
+    runs = []
+    for name in "ab":
+        context = contextvars.copy_context()
+        context.run(corpus_pipeline._run.set, name)
+        runs.append((context, context.run(first, spark, spark.range(3), "")))
+    (a, of_a), (b, of_b) = runs
+    a.run(second, spark, spark.range(1), "")
+    assert of_b.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT"):
+        of_a.count()
+    b.run(second, spark, spark.range(1), "")
+    assert not [key for key in corpus_pipeline._written if key[2] == "one"]
