@@ -2,13 +2,15 @@
 
 Every stage is a function of (spark, docs, sf_dir); :func:`run` writes what a stage returns as Parquet and
 reads it again as the next one's documents. A stage is called when the result of the one before it has been written,
-so it first drops that one's intermediate tables. The stages can't be expressed in SQL (a trained classifier, a
+so it first drops that one's intermediate tables, those of its own run. The stages can't be expressed in SQL (a trained classifier, a
 tokenizer), so there is no oracle; ``tests/llm/test_pipeline.py`` holds the result against a brute-force version.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,18 +52,20 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_index(docs, public_tokenizers.path("byte_bpe_50k.json"), memory=300_000)
 
 
-_written: dict[tuple[str, str], list[str]] = {}
+#: The run that a stage belongs to ('' for stages called by themselves), and the folders of each run's stages.
+_run: ContextVar[str] = ContextVar("pipeline_run", default="")
+_written: dict[tuple[str, str, str], list[str]] = {}
 
 
 def _tidy(name: str, function: Stage, before: str | None) -> Stage:
     """The stage, with its intermediate tables in one folder and those of the stage before it dropped."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        application = spark.sparkContext.applicationId
-        for folder in _written.pop((application, before or ""), []):
+        of = (spark.sparkContext.applicationId, _run.get())
+        for folder in _written.pop((*of, before or ""), []):
             drop(spark, folder)
         with scope(spark, f"pipeline-{name}") as folder:
-            _written.setdefault((application, name), []).append(folder)
+            _written.setdefault((*of, name), []).append(folder)
             return function(spark, docs, sf_dir)
 
     return run_stage
@@ -76,12 +80,18 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, function in STAGES[:-1]:
-        path = new_path(spark, f"pipeline-{name}-kept")
-        out = function(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
-        if before is not None:
-            drop(spark, before)
-        before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    token = _run.set(uuid.uuid4().hex)
+    try:
+        for name, function in STAGES[:-1]:
+            path = new_path(spark, f"pipeline-{name}-kept")
+            out = function(spark, docs, sf_dir)
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+            if before is not None:
+                drop(spark, before)
+            before = path
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        # What the last stage wrote is read by the result.
+        _written.pop((spark.sparkContext.applicationId, _run.get(), STAGES[-1][0]), None)
+        _run.reset(token)
