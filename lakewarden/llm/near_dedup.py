@@ -48,6 +48,8 @@ ERRORS = 5
 BROADCAST_ROWS = 1_000_000
 #: Pivots in a bucket in the first round and in the first over rare shingles, and how many times more by round there.
 PIVOTS, RARE_PIVOTS, GROWTH = 1, 16, 4
+#: A class of equal sets is large from so many rows on, and there are no more large ones than this.
+LARGE_ROWS, LARGE_CLASSES = 1000, 4096
 
 
 def _signatures(width: int, registers: int):
@@ -191,6 +193,23 @@ def _linked(buckets: DataFrame, labels: DataFrame, sets: DataFrame, search: _Sea
         pivots *= GROWTH
 
 
+def _large(classes: DataFrame) -> DataFrame:
+    """The classes (digest, rep) that hold ``LARGE_ROWS`` rows or more and one row in ``LARGE_CLASSES``, so at most that many."""
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    return stage(classes.where(F.col("copies") >= max(LARGE_ROWS, -(-total // LARGE_CLASSES))).select("digest", "rep"), "near-large")
+
+
+def _placed(rows: DataFrame, classes: DataFrame, large: DataFrame) -> DataFrame:
+    """``rows`` with the ``rep`` of their class, and a ``salt``. Those of large classes get it by a broadcast; they and rows that
+    have no class would crowd one task of the shuffled join, so they have a salt that is in no class (0 is in all). ``rows`` is a
+    written table, so that a repeated task numbers its rows as before."""
+    marked = rows.join(F.broadcast(large.select("digest", F.col("rep").alias("large_rep"))), "digest", "left")
+    apart = F.col("large_rep").isNotNull() | F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    salt = F.when(apart, 1 + F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int")).otherwise(F.lit(0))
+    found = marked.withColumn("salt", salt).join(classes.select("digest", "salt", "rep"), ["digest", "salt"], "left")
+    return found.select("doc_id", "n_shingles", "digest", F.coalesce("large_rep", "rep").alias("rep"), "salt")
+
+
 def _ties(spare: DataFrame, classes: DataFrame, hint) -> DataFrame:
     """Links (a, b) from the classes of a document with several sets (rows that repeat its doc_id) to the document."""
     ids = spare.select(F.col("doc_id").alias("end"))
@@ -218,9 +237,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5, ba
     schema = "doc_id long, n_shingles long, digest binary, registers binary"
     signed = stage(docs.mapInArrow(_signatures(width, bands * rows), schema), "near-signatures")
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = stage(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
-    chosen = classes.select("digest", F.col("rep").alias("doc_id"))
-    spare = stage(usable.select("digest", "doc_id").join(classes, "digest").where("doc_id > rep").select("digest", "doc_id", "rep").distinct(), "near-spare")
+    # The salt is a column of the table, not a literal, so that it stays a key of the joins below.
+    grouped = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = stage(grouped.withColumn("salt", F.lit(0)), "near-classes")
+    large = _large(classes)
+    placed = stage(_placed(signed.select("doc_id", "n_shingles", "digest"), classes, large), "near-placed")
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    spare = stage(placed.where(linked & (F.col("doc_id") > F.col("rep"))).select("digest", "doc_id", "rep").distinct(), "near-spare")
     hint = F.broadcast if spare.count() <= BROADCAST_ROWS // 4 else lambda df: df
     registers = usable.join(hint(spare.select("digest", "doc_id")), ["digest", "doc_id"], "left_anti")
     registers = registers.select(F.col("doc_id").alias("rep"), "n_shingles", "registers")
@@ -233,9 +256,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5, ba
     registers = stage(_among(registers, "rep", active).distinct(), "near-registers")
     sets = stage(texts.mapInArrow(_full_sets(width), "rep long, shingles array<long>"), "near-sets")
     labels = _linked(buckets, active.select("rep", F.col("rep").alias("label")), sets, _Search(registers, sets, threshold))
-    labels = _with_ties(labels, _ties(spare.select("doc_id", "rep"), classes, hint))
-    placed = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(labels, "rep", "left")
-    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    labels = _with_ties(labels, _ties(spare.select("doc_id", "rep"), classes.select("rep"), hint))
+    shown = F.broadcast(labels.join(F.broadcast(large.select("rep")), "rep", "left_semi").select("rep", F.col("label").alias("large_label")))
+    rest = stage(labels.withColumn("salt", F.lit(0)), "near-rest")
+    placed = placed.join(shown, "rep", "left").join(rest, ["rep", "salt"], "left").withColumn("label", F.coalesce("large_label", "label"))
     component = F.when(linked, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -60,3 +60,13 @@ def test_chat_matches_sql_on_odd_rows(spark, tmp_path):
     spark.createDataFrame(made, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     frame = QUERIES["op7_chat_formatting"](spark, str(tmp_path))
     assert rows(frame.columns, frame.collect()) == by_sql(tmp_path, OP7_SQL)
+
+
+def test_large_classes_of_copies_match_sql(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr("lakewarden.llm.near_dedup.LARGE_ROWS", 20)
+    words = [f"w{k}" for k in range(100)]
+    made = [(k, " ".join(words)) for k in range(100, 400, 2)] + [(k, " ".join([*words[:98], "x"])) for k in range(101, 201, 2)]
+    made += [(k, "") for k in range(500, 600)] + [(None, " ".join(words))] * 30 + [(k, f"alone {k}") for k in range(50)] + [(700, " ".join(words)), (700, "alone 7")]
+    docs(*made).write.parquet(str(tmp_path / "documents.parquet"))
+    frame = QUERIES["op5_near_dedup"](spark, str(tmp_path))
+    assert rows(frame.columns, frame.collect()) == by_sql(tmp_path, OP5_SQL)
