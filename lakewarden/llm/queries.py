@@ -282,10 +282,10 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_periods(docs: DataFrame) -> DataFrame:
-    """The texts with the query's periods put into a tenth of them; a text without an id keeps its words."""
+    """The texts with the query's periods put into a tenth of them; a text without an id or without words stays as it is."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     rows = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.expr(r"IF(h % 10 = 0, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), NULL)"))
-    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.expr("(h div 10) % n")).withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    rows = rows.withColumn("n", F.expr("nullif(size(words), 0)")).withColumn("a", F.expr("(h div 10) % n")).withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
     periods = F.expr("slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a))")
     changed = F.array_join(F.concat(F.expr("slice(words, 1, int(a))"), periods), " ")
     return rows.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
