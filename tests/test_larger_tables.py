@@ -28,3 +28,18 @@ def test_first_file_of_a_folder_is_empty(spark, tmp_path, rows):
     (tmp_path / "none" / "part-0.xml").write_text("")
     with pytest.raises(readers.EmptyFileError):
         readers.read_xml(spark, str(tmp_path / "none"), strings("k"), record_tag="r")
+
+
+def compared(spark, rows, folder, name, table):
+    """The rows of a query and of its SQL over one table."""
+    frame = QUERIES[name](spark, str(folder))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    return rows(frame), sorted(connection.execute(f"SELECT {', '.join(frame.columns)} FROM ({ORACLE_SQL[name]})").fetchall(), key=repr)
+
+
+def test_nhs_numbers_of_keys_that_make_eleven_digits(spark, tmp_path, rows):
+    spark.range(1_136_000, 1_137_500).union(spark.range(9_000_000, 9_000_500)).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    found, expected = compared(spark, rows, tmp_path, "contract_type_nhs_number", "orders")
+    assert found == expected and len(found) == 2000
+    assert {len(v) for _, v, _ in found} == {10, 11} and {bad for _, _, bad in found} == {True, False}
