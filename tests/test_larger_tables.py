@@ -43,3 +43,29 @@ def test_nhs_numbers_of_keys_that_make_eleven_digits(spark, tmp_path, rows):
     found, expected = compared(spark, rows, tmp_path, "contract_type_nhs_number", "orders")
     assert found == expected and len(found) == 2000
     assert {len(v) for _, v, _ in found} == {10, 11} and {bad for _, _, bad in found} == {True, False}
+
+
+@pytest.mark.parametrize("escape", ["\\", '"'])
+def test_whole_records_are_found_as_line_by_line(escape):
+    import random
+
+    from lakewarden.sources.splitting import CsvScanner
+
+    draw = random.Random(3)
+    for _ in range(3000):
+        text = "".join(draw.choice(['"', '"', ",", "\n", "\\", "a", '","', '""', '"\n"']) for _ in range(draw.randint(0, 25))).encode() + b"\n"
+        inside = draw.randint(0, 1)
+        one, other = CsvScanner(inside, inside, escape=escape), CsvScanner(inside, inside, escape=escape)
+        places, begins = one.edges(text)
+        assert list(zip(places.tolist(), begins.tolist(), strict=True)) == list(other.scan(text))
+        assert (one.mode, one.depth, one.lowest) == (other.mode, other.depth, other.lowest)
+
+
+def test_files_of_one_split_are_cut_in_one_pass(spark, tmp_path, rows):
+    from lakewarden.sources.splitting import CsvScanner, Records
+
+    (tmp_path / "a.csv").write_text('1,"a\nb"\n2,"open\nend')
+    (tmp_path / "b.csv").write_text("3,c\n")
+    records = Records(spark, str(tmp_path), lambda mode, depth: CsvScanner(mode, depth, escape='"'))
+    assert {r.alone for r in records.chunks.collect()} == {True}
+    assert rows(records.frame(), "text") == [('1,"a\nb"\n',), ('2,"open\nend\n',), ("3,c\n",)]
