@@ -13,7 +13,7 @@ import json
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -282,25 +282,60 @@ def _processing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("report_workbook", _REPORT_CTE + """SELECT "Type", "Error_Code", "Data_Item", true AS in_order FROM m""")
 def _workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the workbook's last sheet, read back from the file, and whether types ascend."""
+    """The rows of the workbook's last sheet and those it goes on in, read back from the file by a task a sheet, and whether types ascend."""
     folder = _shared(spark, "workbook")
     report.write_report(f"{folder}/report.xlsx", _messages(spark, sf_dir), ["lineitem"], {"File": "lineitem"})
-    stream = Files(spark).input(f"{folder}/report.xlsx")
-    try:
-        book = zipfile.ZipFile(io.BytesIO(bytes(stream.readAllBytes())))
-    finally:
-        stream.close()
-    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    rows, kinds, header = [], [], None
-    for row in ElementTree.parse(book.open("xl/worksheets/sheet3.xml")).iter(f"{space}row"):
-        cells = {c.get("r").rstrip("0123456789"): "".join(c.itertext()) for c in row}
-        if header is None:
-            header = {name: column for column, name in cells.items()}
+    book = spark.createDataFrame([(f"{folder}/report.xlsx",)], "path string").coalesce(1)
+    sheets = readers.from_iterators(book, _sheets, T.StructType.fromDDL("path string, sheet int, type string, code string, item string"))
+    place = f"{folder}/rows"
+    cells = readers.from_iterators(sheets.repartition("sheet"), _sheet_rows, T.StructType.fromDDL("sheet int, Type string, Error_Code string, Data_Item string, ascends boolean"))
+    cells.write.parquet(place)
+    found = spark.read.schema(cells.schema).parquet(place)
+    # One row a sheet.
+    by_sheet = found.groupBy("sheet").agg(F.min("Type").alias("least"), F.max("Type").alias("most"), F.bool_and("ascends").alias("ascends"))
+    follows = F.coalesce(F.lag("most").over(Window.orderBy("sheet")) <= F.col("least"), F.lit(True))
+    order = by_sheet.select((F.col("ascends") & follows).alias("follows")).agg(F.bool_and("follows").alias("in_order"))
+    return found.select("Type", "Error_Code", "Data_Item").crossJoin(F.broadcast(order))
+
+
+_SHEET_SPACE = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _row_cells(path: str, sheet: int):
+    """The rows of a sheet, one at a time, as texts by column name."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    with store.open_input_file(place) as source, zipfile.ZipFile(source) as book, book.open(f"xl/worksheets/sheet{sheet}.xml") as text:
+        data = None
+        for event, element in ElementTree.iterparse(text, ("start", "end")):
+            if event == "start" and element.tag == f"{_SHEET_SPACE}sheetData":
+                data = element
+            elif event == "end" and element.tag == f"{_SHEET_SPACE}row":
+                yield {c.get("r").rstrip("0123456789"): "".join(c.itertext()) for c in element}
+                data.clear()
+
+
+def _sheets(book):
+    """The sheets of messages in a workbook, and in which columns the fields are."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(book.path)
+    with store.open_input_file(place) as source, zipfile.ZipFile(source) as archive:
+        last = sum(name.startswith("xl/worksheets/sheet") for name in archive.namelist())
+    header = {name: column for column, name in next(_row_cells(book.path, 3)).items()}
+    for sheet in range(3, last + 1):
+        yield {"path": book.path, "sheet": sheet, "type": header["Type"], "code": header["Error_Code"], "item": header["Data_Item"]}
+
+
+def _sheet_rows(sheet):
+    before = None
+    for number, cells in enumerate(_row_cells(sheet.path, sheet.sheet)):
+        if sheet.sheet == 3 and number == 0:
             continue
-        kinds.append(cells[header["Type"]])
-        rows.append(tuple(cells.get(header[name]) for name in ("Type", "Error_Code", "Data_Item")))
-    rows = [(*row, kinds == sorted(kinds)) for row in rows]
-    return spark.createDataFrame(rows, "Type string, Error_Code string, Data_Item string, in_order boolean")
+        kind = cells[sheet.type]
+        yield {"sheet": sheet.sheet, "Type": kind, "Error_Code": cells.get(sheet.code), "Data_Item": cells.get(sheet.item), "ascends": before is None or before <= kind}
+        before = kind
 
 
 _EVENT_TYPE = "CASE event_type WHEN 'error' THEN 'File Rejection' WHEN 'signup' THEN 'Record Rejection' WHEN 'click' THEN 'Warning' END"

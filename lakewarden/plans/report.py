@@ -21,6 +21,8 @@ ACCEPTED_WITH_WARNINGS = "File has been accepted, all records accepted with warn
 ACCEPTED = "File has been accepted, no issues to report"
 
 SHEET_ROWS = 1_000_000
+#: Rows of the last sheet that the driver fetches at a time, about.
+FETCHED_ROWS = 50_000
 
 
 def project(messages: DataFrame) -> DataFrame:
@@ -163,9 +165,13 @@ def write_report(path: str, messages: DataFrame, tables: Sequence[str], details:
     columns = ["Type", "Table", "Data_Item", "Category", "Error_Code", "Count"]
 
     def rows() -> Iterable[Sequence[Any]]:
-        """By type, table and record: one range sort, fetched a partition at a time."""
+        """By type, table and record: one range sort, fetched a partition at a time. Their number grows with the rows, and rows of
+        equal keys are dealt to several, so what the driver holds doesn't grow."""
         yield report.columns
-        yield from report.orderBy("Type", "Table", "Record_Index", "Data_Item", "Error_Code").toLocalIterator()
+        keys = ["Type", "Table", "Record_Index", "Data_Item", "Error_Code", "__tie"]
+        parts = max(1, -(-sum(r["Count"] for r in counted) // FETCHED_ROWS))
+        dealt = report.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+        yield from dealt.select(*report.columns).toLocalIterator()
 
     with Files(messages.sparkSession).output(path) as out:
         write_xlsx(out, {"Summary": summary, "Error Summary": [columns, *[[r[c] for c in columns] for r in counted]], "Error Data": rows()})

@@ -1,5 +1,7 @@
 """What only larger tables, more partitions or larger keys show."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,8 @@ from pyspark.sql import types as T
 from lakewarden.queries import ORACLE_SQL, QUERIES
 from lakewarden.sources import readers
 
+SMALLEST = Path("/root/testdata/sf0.001")
+
 
 def strings(*names):
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -69,3 +73,13 @@ def test_files_of_one_split_are_cut_in_one_pass(spark, tmp_path, rows):
     records = Records(spark, str(tmp_path), lambda mode, depth: CsvScanner(mode, depth, escape='"'))
     assert {r.alone for r in records.chunks.collect()} == {True}
     assert rows(records.frame(), "text") == [('1,"a\nb"\n',), ('2,"open\nend\n',), ("3,c\n",)]
+
+
+def test_workbook_of_several_sheets_is_read_whole(spark, monkeypatch):
+    if not SMALLEST.exists():
+        pytest.skip("no test tables")
+    whole = QUERIES["report_workbook"](spark, str(SMALLEST)).count()
+    monkeypatch.setattr("lakewarden.plans.report.SHEET_ROWS", 700)
+    monkeypatch.setattr("lakewarden.plans.report.FETCHED_ROWS", 300)
+    found = QUERIES["report_workbook"](spark, str(SMALLEST))
+    assert found.count() == whole > 2 * 700 and {r.in_order for r in found.select("in_order").distinct().collect()} == {True}
