@@ -13,7 +13,7 @@ import json
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -286,34 +286,61 @@ def _workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _shared(spark, "workbook")
     report.write_report(f"{folder}/report.xlsx", _messages(spark, sf_dir), ["lineitem"], {"File": "lineitem"})
     book = spark.createDataFrame([(f"{folder}/report.xlsx",)], "path string").coalesce(1)
-    sheets = readers.from_iterators(book, _sheets, T.StructType.fromDDL("path string, sheet int, type string, code string, item string"))
+    sheets = readers.from_iterators(book, _sheets, T.StructType.fromDDL("path string, sheet int, type string, code string, item string")).collect()
+    # One slice a sheet: a shuffle would hash several sheets to a task, or have small partitions (a row each) put together.
+    shards = spark.sparkContext.parallelize([(s.path, s.sheet) for s in sheets], len(sheets)).toDF("path string, sheet int")
+    texts = shards.mapInArrow(_row_texts, "sheet int, text string")
+    row = F.regexp_extract("text", r'<row r="(\d+)"', 1)
+    first = sheets[0]
+    cells = texts.select("sheet", row.alias("row"), "text").select(
+        "sheet", F.col("row").cast("int").alias("row"), _cell("Type", first.type), _cell("Error_Code", first.code), _cell("Data_Item", first.item)
+    )
     place = f"{folder}/rows"
-    cells = readers.from_iterators(sheets.repartition("sheet"), _sheet_rows, T.StructType.fromDDL("sheet int, Type string, Error_Code string, Data_Item string, ascends boolean"))
-    cells.write.parquet(place)
+    cells.where(f"sheet > {first.sheet} OR row > 1").write.parquet(place)
     found = spark.read.schema(cells.schema).parquet(place)
-    # One row a sheet.
-    by_sheet = found.groupBy("sheet").agg(F.min("Type").alias("least"), F.max("Type").alias("most"), F.bool_and("ascends").alias("ascends"))
-    follows = F.coalesce(F.lag("most").over(Window.orderBy("sheet")) <= F.col("least"), F.lit(True))
-    order = by_sheet.select((F.col("ascends") & follows).alias("follows")).agg(F.bool_and("follows").alias("in_order"))
+    # One row a type: types ascend where each begins after the one before it has ended.
+    at = F.struct("sheet", "row")
+    by_type = found.groupBy("Type").agg(F.min(at).alias("begins"), F.max(at).alias("ends"))
+    follows = F.coalesce(F.lag("ends").over(Window.orderBy("Type")) < F.col("begins"), F.lit(True))
+    order = by_type.select(follows.alias("follows")).agg(F.bool_and("follows").alias("in_order"))
     return found.select("Type", "Error_Code", "Data_Item").crossJoin(F.broadcast(order))
 
 
+def _cell(name: str, column: str) -> Column:
+    """The text of a row's cell, null where the row has none."""
+    text = F.regexp_extract("text", rf'<c r="{column}\d+"[^>]*>(?:<is><t[^>]*>|<v>)([^<]*)<', 1)
+    for written, mark in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(written), F.lit(mark))
+    return F.when(F.contains("text", F.concat(F.lit(f'<c r="{column}'), "row", F.lit('"'))), text).alias(name)
+
+
 _SHEET_SPACE = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def _row_cells(path: str, sheet: int):
-    """The rows of a sheet, one at a time, as texts by column name."""
+def _row_texts(batches):
+    """The rows of each sheet as they are written, those of a piece of its text at a time."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        for path, sheet in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            store, place = fs.FileSystem.from_uri(path)
+            with store.open_input_file(place) as source, zipfile.ZipFile(source) as book, book.open(f"xl/worksheets/sheet{sheet}.xml") as text:
+                held = b""
+                while piece := text.read(1 << 20):
+                    *rows, held = (held + piece).split(b"</row>")
+                    number = pa.repeat(pa.scalar(sheet, pa.int32()), len(rows))
+                    yield pa.RecordBatch.from_arrays([number, pa.array(rows, pa.binary()).cast(pa.string())], names=["sheet", "text"])
+
+
+def _first_row(path: str, sheet: int) -> dict[str, str]:
+    """The texts of a sheet's first row by column name."""
     from pyarrow import fs
 
     store, place = fs.FileSystem.from_uri(path)
     with store.open_input_file(place) as source, zipfile.ZipFile(source) as book, book.open(f"xl/worksheets/sheet{sheet}.xml") as text:
-        data = None
-        for event, element in ElementTree.iterparse(text, ("start", "end")):
-            if event == "start" and element.tag == f"{_SHEET_SPACE}sheetData":
-                data = element
-            elif event == "end" and element.tag == f"{_SHEET_SPACE}row":
-                yield {c.get("r").rstrip("0123456789"): "".join(c.itertext()) for c in element}
-                data.clear()
+        row = next(element for _, element in ElementTree.iterparse(text) if element.tag == f"{_SHEET_SPACE}row")
+        return {c.get("r").rstrip("0123456789"): "".join(c.itertext()) for c in row}
 
 
 def _sheets(book):
@@ -323,21 +350,11 @@ def _sheets(book):
     store, place = fs.FileSystem.from_uri(book.path)
     with store.open_input_file(place) as source, zipfile.ZipFile(source) as archive:
         last = sum(name.startswith("xl/worksheets/sheet") for name in archive.namelist())
-    header = {name: column for column, name in next(_row_cells(book.path, 3)).items()}
+    header = {name: column for column, name in _first_row(book.path, 3).items()}
     for sheet in range(3, last + 1):
         yield {"path": book.path, "sheet": sheet, "type": header["Type"], "code": header["Error_Code"], "item": header["Data_Item"]}
 
 
-def _sheet_rows(sheet):
-    before = None
-    for number, cells in enumerate(_row_cells(sheet.path, sheet.sheet)):
-        if sheet.sheet == 3 and number == 0:
-            continue
-        kind = cells[sheet.type]
-        yield {"sheet": sheet.sheet, "Type": kind, "Error_Code": cells.get(sheet.code), "Data_Item": cells.get(sheet.item), "ascends": before is None or before <= kind}
-        before = kind
-
-
 _EVENT_TYPE = "CASE event_type WHEN 'error' THEN 'File Rejection' WHEN 'signup' THEN 'Record Rejection' WHEN 'click' THEN 'Warning' END"
 
 

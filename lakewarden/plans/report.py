@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 import zipfile
-from collections.abc import Iterable, Mapping, Sequence
+import zlib
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 from typing import Any
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lakewarden.sources.files import Files
+from lakewarden.sources.files import Files, scratch
 
 # The names of message types and the verdicts on a submission.
 FILE_REJECTION, RECORD_REJECTION, WARNING = "File Rejection", "Record Rejection", "Warning"
@@ -21,7 +26,7 @@ ACCEPTED_WITH_WARNINGS = "File has been accepted, all records accepted with warn
 ACCEPTED = "File has been accepted, no issues to report"
 
 SHEET_ROWS = 1_000_000
-#: Rows of the last sheet that the driver fetches at a time, about.
+#: Rows of the last sheet that a task renders, about.
 FETCHED_ROWS = 50_000
 
 
@@ -116,25 +121,88 @@ _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
-def write_xlsx(path: str | Any, sheets: Mapping[str, Iterable[Sequence[Any]]]) -> None:
+_SHEET_BEGINS = f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>'
+_SHEET_ENDS = "</sheetData></worksheet>"
+
+
+def _row(number: int, values: Sequence[Any]) -> str:
+    return f'<row r="{number}">{"".join(_cell(number, k, v) for k, v in enumerate(values))}</row>'
+
+
+@dataclass
+class Rendered:
+    """Sheets whose rows tasks have rendered and deflated: the first row, and for each sheet its files in order (path, bytes as text, CRC-32)."""
+
+    header: Sequence[Any]
+    sheets: list[list[tuple[str, int, int]]] = field(default_factory=list)
+
+
+def _joined_crc(first: int, second: int, length: int) -> int:
+    """The CRC-32 of two texts, one after the other, from theirs; ``length`` is that of the second."""
+
+    def times(a: int, b: int) -> int:
+        product = 0
+        for k in range(31, -1, -1):
+            product ^= b if a >> k & 1 else 0
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        return product
+
+    power, square, n = 1 << 31, 1 << 30, 8 * length
+    while n:
+        power = times(square, power) if n & 1 else power
+        square, n = times(square, square), n >> 1
+    return times(power, first) ^ second
+
+
+def _write_rendered(book: zipfile.ZipFile, name: str, begins: bytes, files: Files, parts: Sequence[tuple[str, int, int]]) -> None:
+    """A member of an archive from files of deflated text, which are copied as they are: each ends on a whole byte and none refers to
+    another's text, so one after the other they are one stream."""
+    ends = _SHEET_ENDS.encode()
+    first, last = zlib.compressobj(wbits=-15), zlib.compressobj(wbits=-15)
+    packed = first.compress(begins) + first.flush(zlib.Z_FULL_FLUSH), last.compress(ends) + last.flush()
+    entry = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+    entry.compress_type = zipfile.ZIP_DEFLATED
+    entry.file_size, entry.CRC = len(begins), zlib.crc32(begins)
+    for _, size, crc in parts:
+        entry.file_size, entry.CRC = entry.file_size + size, _joined_crc(entry.CRC, crc, size)
+    entry.file_size, entry.CRC = entry.file_size + len(ends), _joined_crc(entry.CRC, zlib.crc32(ends), len(ends))
+    entry.compress_size = sum(map(len, packed)) + sum(files.size(path) for path, _, _ in parts)
+    out = book.fp
+    entry.header_offset = out.tell()
+    out.write(entry.FileHeader())
+    out.write(packed[0])
+    for path, _, _ in parts:
+        files.append(path, out)
+    out.write(packed[1])
+    book.start_dir = out.tell()
+    book.filelist.append(entry)
+    book.NameToInfo[name] = entry
+
+
+def write_xlsx(path: str | Any, sheets: Mapping[str, Iterable[Sequence[Any]] | Rendered], files: Files | None = None) -> None:
     """A workbook from the standard library alone, to a local path or an open file that need not seek. Rows stream into
-    the archive; a sheet that fills up goes on in another one (``name_2`` and so on)."""
+    the archive; a sheet that fills up goes on in another one (``name_2`` and so on). Rendered rows need ``files`` and a file of theirs."""
     names: list[str] = []
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
         for name, rows in sheets.items():
+            if isinstance(rows, Rendered):
+                for part, parts in enumerate(rows.sheets or [[]], 1):
+                    names.append(name if part == 1 else f"{name}_{part}")
+                    begins = _SHEET_BEGINS + (_row(1, rows.header) if part == 1 else "")
+                    _write_rendered(book, f"xl/worksheets/sheet{len(names)}.xml", begins.encode(), files, parts)
+                continue
             source, part = iter(rows), 1
             pending = next(source, None)
             while pending is not None or part == 1:
                 names.append(name if part == 1 else f"{name}_{part}")
                 with book.open(f"xl/worksheets/sheet{len(names)}.xml", "w") as out:
-                    out.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>'.encode())
+                    out.write(_SHEET_BEGINS.encode())
                     number = 0
                     while pending is not None and number < SHEET_ROWS:
                         number += 1
-                        cells = "".join(_cell(number, k, v) for k, v in enumerate(pending))
-                        out.write(f'<row r="{number}">{cells}</row>'.encode())
+                        out.write(_row(number, pending).encode())
                         pending = next(source, None)
-                    out.write(b"</sheetData></worksheet>")
+                    out.write(_SHEET_ENDS.encode())
                 part += 1
         entries = "".join(f'<sheet name="{escape(n)}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(names, 1))
         book.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>{entries}</sheets></workbook>')
@@ -150,8 +218,98 @@ def write_xlsx(path: str | Any, sheets: Mapping[str, Iterable[Sequence[Any]]]) -
         )
 
 
+def _cell_text(column: int, name: str, kind: T.DataType, row: Column) -> Column:
+    """What :func:`_cell` makes of a field but for control characters, as an expression; ``row`` is the row's number as a text."""
+    value = F.col(f"`{name}`")
+    begins = F.concat(F.lit(f'<c r="{_column_name(column)}'), row)
+    if isinstance(kind, T.NumericType):
+        cell = F.concat(begins, F.lit('"><v>'), value.cast("string"), F.lit("</v></c>"))
+    else:
+        text = value.cast("string")
+        for mark, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(mark), F.lit(written))
+        cell = F.concat(begins, F.lit('" t="inlineStr"><is><t xml:space="preserve">'), text, F.lit("</t></is></c>"))
+    return F.coalesce(cell, F.lit(""))
+
+
+#: Characters that no cell may hold, a byte each.
+_CONTROLS = bytes(k for k in range(32) if k not in b"\t\n\r")
+_RENDERED = "sheet bigint, position bigint, path string, size bigint, crc bigint"
+
+
+def _deflated(batches: Iterator[Any], folder: str) -> Iterator[Any]:
+    """A partition's rendered rows (sheet, position, text) as a file a sheet, deflated. Names are an attempt's own."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    sheet = out = None
+    done: list[dict[str, Any]] = []
+
+    def close() -> None:
+        out.write(packer.flush(zlib.Z_FULL_FLUSH))
+        out.close()
+
+    for batch in filter(len, batches):
+        numbers = batch.column(0)
+        for number in pc.unique(numbers).to_pylist():
+            rows = batch.filter(pc.equal(numbers, number))
+            if number != sheet:
+                if out is not None:
+                    close()
+                sheet, packer, name = number, zlib.compressobj(wbits=-15), f"{uuid.uuid4().hex}.deflated"
+                out = store.open_output_stream(f"{base}/{name}")
+                done.append({"sheet": number, "position": rows.column(1)[0].as_py(), "path": f"{folder}/{name}", "size": 0, "crc": 0})
+            # The texts lie one after the other in the column's buffer.
+            texts = rows.column(2)
+            _, offsets, data = texts.buffers()
+            ends = np.frombuffer(offsets, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            text = data[int(ends[0]) : int(ends[-1])].to_pybytes().translate(None, _CONTROLS)
+            done[-1]["size"] += len(text)
+            done[-1]["crc"] = zlib.crc32(text, done[-1]["crc"])
+            out.write(packer.compress(text))
+    if out is not None:
+        close()
+    if done:
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("sheet", pa.int64()), ("position", pa.int64()), ("path", pa.string()), ("size", pa.int64()), ("crc", pa.int64())]))
+
+
+def _render(report: DataFrame, total: int, folder: str) -> Rendered:
+    """Rows by type, table and record, rendered and deflated by tasks into ``folder``. One range sort, kept on the executors' disks: rows
+    of equal keys are dealt to several partitions, whose sizes (a row each) tell the rows' numbers in the sheets."""
+    if not total:
+        return Rendered(report.columns)
+    keys = ["Type", "Table", "Record_Index", "Data_Item", "Error_Code", "__tie"]
+    limit, parts = SHEET_ROWS, -(-total // FETCHED_ROWS)
+    dealt = report.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("__tie")
+    dealt.persist(StorageLevel.DISK_ONLY)
+    try:
+        sizes = dict(dealt.groupBy(F.spark_partition_id()).count().collect())
+        # The header is row 0 of the first sheet.
+        starts, at = [], 1
+        for part in range(max(sizes) + 1):
+            starts.append(at)
+            at += sizes.get(part, 0)
+        begins = F.get(F.expr(f"array({', '.join(f'{start}L' for start in starts)})"), F.spark_partition_id())
+        position = begins + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        placed = dealt.select("*", position.alias("__position")).select("*", (F.col("__position") % limit + 1).cast("string").alias("__row"))
+        cells = [_cell_text(k, f.name, f.dataType, F.col("__row")) for k, f in enumerate(report.schema)]
+        text = F.concat(F.lit('<row r="'), F.col("__row"), F.lit('">'), *cells, F.lit("</row>"))
+        rows = placed.select(F.floor(F.col("__position") / limit).alias("sheet"), F.col("__position").alias("position"), text.alias("text"))
+        written = rows.mapInArrow(lambda batches: _deflated(batches, folder), _RENDERED).collect()
+    finally:
+        dealt.unpersist()
+    sheets: list[list[tuple[str, int, int]]] = [[] for _ in range(1 + (at - 1) // limit)]
+    for r in sorted(written, key=lambda r: r.position):
+        sheets[r.sheet].append((r.path, r.size, r.crc))
+    return Rendered(report.columns, sheets)
+
+
 def write_report(path: str, messages: DataFrame, tables: Sequence[str], details: Mapping[str, Any], processing_failed: bool = False) -> str:
-    """Three sheets: the summary with its matrix, the aggregates, and every message, streamed row by row."""
+    """Three sheets: the summary with its matrix, the aggregates, and every message. Tasks render and deflate the messages; the
+    driver copies their deflated text into the workbook, a buffer at a time."""
     report = project(messages)
     counted = aggregates(report).collect()
     found = sorted({r["Type"] for r in counted})
@@ -163,16 +321,12 @@ def write_report(path: str, messages: DataFrame, tables: Sequence[str], details:
     summary += [("", "Status", verdict(found, processing_failed)), (), ("", "", *names)]
     summary += [("", kind, *(cells.get((kind, name), 0) for name in names)) for kind in found]
     columns = ["Type", "Table", "Data_Item", "Category", "Error_Code", "Count"]
-
-    def rows() -> Iterable[Sequence[Any]]:
-        """By type, table and record: one range sort, fetched a partition at a time. Their number grows with the rows, and rows of
-        equal keys are dealt to several, so what the driver holds doesn't grow."""
-        yield report.columns
-        keys = ["Type", "Table", "Record_Index", "Data_Item", "Error_Code", "__tie"]
-        parts = max(1, -(-sum(r["Count"] for r in counted) // FETCHED_ROWS))
-        dealt = report.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-        yield from dealt.select(*report.columns).toLocalIterator()
-
-    with Files(messages.sparkSession).output(path) as out:
-        write_xlsx(out, {"Summary": summary, "Error Summary": [columns, *[[r[c] for c in columns] for r in counted]], "Error Data": rows()})
+    files, folder = Files(messages.sparkSession), scratch(messages.sparkSession, "workbook")
+    files.make(folder)
+    try:
+        rendered = _render(report, sum(r["Count"] for r in counted), folder)
+        with files.output(path) as out:
+            write_xlsx(out, {"Summary": summary, "Error Summary": [columns, *[[r[c] for c in columns] for r in counted]], "Error Data": rendered}, files)
+    finally:
+        files.delete(folder)
     return verdict(found, processing_failed)

@@ -83,6 +83,24 @@ class Files:
         store, place = self._at(path)
         return io.BufferedWriter(_Output(store.create(place, True)), CHUNK)
 
+    def append(self, path: str, out: io.BufferedWriter) -> None:
+        """The bytes of a file to one of :meth:`output`, a buffer at a time and none of them through Python."""
+        out.flush()
+        size, stream = self.size(path), self.input(path)
+        try:
+            out.raw.copy(self._jvm, stream, size)
+        finally:
+            stream.close()
+
+    def make(self, folder: str) -> None:
+        store, place = self._at(folder)
+        store.mkdirs(place)
+
+    def delete(self, folder: str) -> None:
+        """A folder and what is in it."""
+        store, place = self._at(folder)
+        store.delete(place, True)
+
     def write_text(self, path: str, text: str) -> None:
         with self.output(path) as out:
             out.write(text.encode())
@@ -133,6 +151,11 @@ class _Output(io.RawIOBase):
         self._at += len(data)
         return len(data)
 
+    def copy(self, jvm: Any, source: Any, size: int) -> None:
+        """All bytes of a Java input stream, which are ``size``."""
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, self._stream, CHUNK, False)
+        self._at += size
+
     def tell(self) -> int:
         return self._at
 

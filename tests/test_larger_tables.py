@@ -83,3 +83,47 @@ def test_workbook_of_several_sheets_is_read_whole(spark, monkeypatch):
     monkeypatch.setattr("lakewarden.plans.report.FETCHED_ROWS", 300)
     found = QUERIES["report_workbook"](spark, str(SMALLEST))
     assert found.count() == whole > 2 * 700 and {r.in_order for r in found.select("in_order").distinct().collect()} == {True}
+
+
+def test_workbook_rows_are_rendered_by_tasks(spark, tmp_path, monkeypatch):
+    import zipfile
+    from xml.etree import ElementTree
+
+    from pyspark.sql import DataFrame
+
+    from lakewarden.plans import report
+    from lakewarden.plans.messages import from_mapping
+
+    def fetched(self, *_):
+        raise AssertionError("rows of the driver")
+
+    # Frames of a classic session have a class of their own.
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", fetched)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", fetched)
+    monkeypatch.setattr(report, "SHEET_ROWS", 40)
+    monkeypatch.setattr(report, "FETCHED_ROWS", 15)
+    texts = ["<&>]]>", "a\x01b\tc", "", None, "é\U0001f600", "&amp;"]
+    messages = from_mapping(spark, [{"Entity": "p", "FailureType": "record", "Status": "error", "ErrorCode": "E", "ErrorMessage": texts[k % 6], "RecordIndex": k} for k in range(119)])
+    report.write_report(str(tmp_path / "r.xlsx"), messages, ["p"], {})
+    found = []
+    with zipfile.ZipFile(tmp_path / "r.xlsx") as book:
+        assert book.testzip() is None
+        assert sum(n.startswith("xl/worksheets") for n in book.namelist()) == 5
+        for sheet in (3, 4, 5):
+            rows = ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml"))[0]
+            assert [r.get("r") for r in rows] == [str(k) for k in range(1, 41)]
+            assert all(c.get("r").lstrip("ABCDEFGHI") == r.get("r") for r in rows for c in r)
+            found += [{c.get("r")[0]: "".join(c.itertext()) for c in r} for r in rows]
+    assert [r["F"] for r in found] == ["Record_Index", *(str(k) for k in range(119))]
+    assert [r.get("E") for r in found[1:]] == [("ab\tc" if k % 6 == 1 else texts[k % 6]) for k in range(119)]
+
+
+def test_messages_are_built_by_generated_code(spark):
+    from lakewarden.operators.filters import apply_filters
+    from lakewarden.plans.config import build_filter
+
+    specs = [{"entity": "t", "name": n, "expression": f"id > {n}", "error_code": f"E{n}", "failure_message": "id {{id}}"} for n in (1, 2)]
+    messages = apply_filters(spark.range(4).toDF("id"), [build_filter(s) for s in specs], ("id",)).messages
+    assert sorted((r.ErrorCode, r.ErrorMessage) for r in messages.collect()) == [("E1", "id 0"), ("E1", "id 1"), ("E2", "id 0"), ("E2", "id 1"), ("E2", "id 2")]
+    generate = next(line for line in messages._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in line)
+    assert "*(" in generate and "concat" not in generate
